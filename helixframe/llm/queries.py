@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, licenses, secrets, url_filter, warc
+from . import ann, decontaminate, language_id, licenses, mixing, secrets, toxicity, url_filter, warc
 from .common import table
 
 
@@ -24,6 +24,29 @@ def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs).select("doc_id", "n_sentences", "sentence_ids", "licenses", "spans")
 
 
+#: Shares of the mixed tokens by language and quality.
+MIX_TARGETS = {
+    "en:good": 0.40, "de:good": 0.20, "fr:good": 0.20, "es:good": 0.15,
+    "en:poor": 0.02, "de:poor": 0.01, "fr:poor": 0.01, "es:poor": 0.01,
+}
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    labelled = mixing.language_quality(docs, table(spark, sf_dir, "labels"))
+    return mixing.mix(docs, labelled, MIX_TARGETS)
+
+
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return toxicity.judge(docs, labels)
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict")
@@ -42,7 +65,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_language_id, op2_warc, op3_license_scans, op7_url_filters, op8_secret_scans, op10_decontamination,
+        op1_language_id, op2_warc, op3_license_scans, op4_mixing, op5_nearest, op6_toxicity, op7_url_filters,
+        op8_secret_scans, op10_decontamination,
     )
 }
 
@@ -57,6 +81,22 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM keeper THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM keeper THEN keeper END AS refers_to
 FROM p
+""",
+    "op5_nearest": """
+WITH v AS (
+  SELECT vec_id, max(embedding::DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: NOT coalesce(isfinite(x), false))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+  GROUP BY vec_id
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+    list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS score
+  FROM v q JOIN v c ON len(q.e) = len(c.e) AND q.vec_id <> c.vec_id
+  WHERE q.vec_id % 20 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
 """,
     "op7_url_filters": url_filter.sql(),
     "op10_decontamination": r"""
