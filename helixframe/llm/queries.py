@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, language_id, licenses, mixing, secrets, toxicity, url_filter, warc
+from . import ann, decontaminate, jaccard, language_id, licenses, mixing, secrets, toxicity, url_filter, warc
 from .common import table
 
 
@@ -57,6 +57,10 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_lex")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scanned = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"))
@@ -66,7 +70,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_language_id, op2_warc, op3_license_scans, op4_mixing, op5_nearest, op6_toxicity, op7_url_filters,
-        op8_secret_scans, op10_decontamination,
+        op8_secret_scans, op9_jaccard_join, op10_decontamination,
     )
 }
 
