@@ -1,0 +1,134 @@
+from __future__ import annotations
+
+import collections
+import itertools
+
+import numpy as np
+import pytest
+
+from helixframe.llm import components as cc
+from helixframe.llm import jaccard, queries
+from helixframe.llm.common import table
+
+
+def shingles(text):
+    w = jaccard.set_words((text or "").encode())
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def brute(rows, threshold=0.8):
+    """class and links of each (id, text), every pair compared."""
+    sets = [shingles(t) for _, t in rows]
+    parent, links = list(range(len(rows))), [0] * len(rows)
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        a, b = sets[i], sets[j]
+        if a and b and 10 * len(a & b) >= 10 * threshold * len(a | b) - 1e-9:
+            links[i] += 1
+            links[j] += 1
+            parent[root(j)] = root(i)
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        least[root(i)] = min(least.get(root(i), k), k)
+    return sorted((k, least[root(i)], links[i]) for i, (k, _) in enumerate(rows))
+
+
+def got(frame):
+    return sorted((r.doc_id, r.class_id, r.n_links) for r in frame.collect())
+
+
+def corpus(seed=0, n=120):
+    """Texts with exact copies, near copies of all degrees, a large group of near copies, and shared passages."""
+    rng = np.random.default_rng(seed)
+    vocabulary = [f"w{i}" for i in range(400)]
+    passage = list(rng.choice(vocabulary, 40))
+    texts = []
+    for _ in range(n):
+        text = list(rng.choice(vocabulary, rng.integers(3, 80)))
+        if rng.random() < 0.4:
+            text = passage + text
+        texts.append(text)
+    base = list(rng.choice(vocabulary, 120))
+    for _ in range(90):  # near copies of one text
+        t = list(base)
+        t[int(rng.integers(120))] = str(rng.choice(vocabulary))
+        texts.append(t)
+    for t in list(texts[:60]):
+        t = list(t)
+        for _ in range(int(rng.integers(0, 4))):
+            t[int(rng.integers(len(t)))] = str(rng.choice(vocabulary))
+        texts.append(t)
+    order = rng.permutation(len(texts))
+    return [(int(i) * 3 + 1, " ".join(texts[k])) for i, k in enumerate(order)]
+
+
+@pytest.mark.parametrize("blocks", [None, 16])
+def test_brute_force(spark, monkeypatch, blocks):
+    if blocks:
+        monkeypatch.setattr(jaccard, "BLOCK_SETS", blocks)  # groups over several blocks
+    rows = corpus()
+    assert got(jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_query_against_an_index(spark, medium):
+    """The whole table against pairs found through an index of all shingles."""
+    rows = [(r.doc_id, r.text) for r in table(spark, medium, "documents").collect()]
+    sets = {k: shingles(t) for k, t in rows}
+    where = collections.defaultdict(list)
+    for k, s in sets.items():
+        for x in s:
+            where[x].append(k)
+    links = collections.Counter()
+    for k, s in sets.items():
+        shared = collections.Counter(j for x in s if len(where[x]) < 400 for j in where[x] if j != k)
+        for j in shared:
+            if len(s & sets[j]) >= 0.8 * len(s | sets[j]) - 1e-9:
+                links[k] += 1
+    result = queries.op9_jaccard_join(spark, medium).collect()
+    assert len(result) == len(rows) and {r.doc_id: r.n_links for r in result if r.n_links} == dict(links)
+
+
+def test_candidates_reach_the_target_recall():
+    rng = np.random.default_rng(4)
+    tokens, runs = jaccard.Embedding(), jaccard.runs_for()
+    hits, pairs = 0, 300
+    order = np.random.default_rng(jaccard.SEED + 1).permutation(jaccard.COORDINATES)
+    for _ in range(pairs):
+        both = rng.integers(0, 1 << 63, 160, dtype=np.uint64)
+        a = np.concatenate([both, rng.integers(0, 1 << 63, 20, dtype=np.uint64)])
+        b = np.concatenate([both, rng.integers(0, 1 << 63, 20, dtype=np.uint64)])  # similarity 0.8
+        same = np.equal(*tokens([np.unique(a), np.unique(b)]))
+        hits += any(same[order[r * jaccard.LEVELS : r * jaccard.LEVELS + jaccard.USUAL_LEVEL]].all() for r in range(runs))
+    assert hits / pairs >= 0.985
+
+
+def test_edges(spark, edges, no_docs):
+    result = jaccard.join(edges).collect()
+    assert len(result) == edges.count()
+    by_id = {r.doc_id: (r.class_id, r.n_links) for r in result}
+    assert by_id[5] == by_id[6] == (5, 2)  # a repeated row counts
+    assert by_id[1] == (1, 0) and by_id[2] == (2, 0) and by_id[None] == (None, 0) and by_id[8] == (8, 0)
+    assert jaccard.join(no_docs).count() == 0
+    kept = jaccard.keep_first(edges)
+    assert kept.columns == edges.columns
+    assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 1, 2, 3, 4, 5, 7, 8]
+
+
+def test_threshold_itself_counts(spark):
+    a = [f"a{i}" for i in range(13)]  # 9 shingles
+    rows = [(1, " ".join(a)), (2, " ".join(a[:12])), (3, " ".join(a[1:12])), (4, " ".join(a[2:11]))]
+    assert got(jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    assert brute(rows)[0] == (1, 1, 1)
+
+
+def test_components_of_long_paths(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 100), (7, 7)] + [(200, k) for k in range(201, 400)]
+    label = {r.node: r.label for r in cc.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert {label[i] for i in range(41)} == {0} and {label[i] for i in (100, 101, 103)} == {100}
+    assert {label[i] for i in range(200, 400)} == {200} and len(label) == 41 + 3 + 200
+    assert cc.components(spark.createDataFrame([], "u long, v long")).count() == 0
