@@ -1,25 +1,56 @@
-"""The corpus pipeline: stages that each read the documents which the stage before kept."""
+"""The corpus pipeline: stages that each read the documents which the stage before kept.
+
+Toxic documents go, one document of each near-duplicate class stays, documents with benchmark
+passages go, secrets in the remaining texts are replaced, and the result is what share of each
+document to take so that languages and qualities are mixed to their targets.
+
+Null and empty texts pass every stage; rows that repeat an id count as one document from the second
+stage on; rows without an id pass all stages; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from helixframe.llm import decontaminate, secrets
+from helixframe.llm import decontaminate, jaccard, mixing, queries, secrets, toxicity
 from helixframe.llm.common import materialise, table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity operator does not predict to be toxic."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_documents(docs.withColumn("__text", F.col("text")), model, "__text")
+    return scored.filter("predicted = 0").select(docs.columns)
+
+
+def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep_first(docs)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
+    """All documents, with found secrets replaced in their texts and n_chars counted anew."""
     return secrets.redacted(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
-STAGES = [("decontamination", drop_contaminated), ("secret scans", redact_secrets)]
+def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labelled = mixing.language_quality(docs, table(spark, sf_dir, "labels"))
+    return mixing.mix(docs, labelled, queries.MIX_TARGETS)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", keep_one_of_each_class),
+    ("benchmark decontamination", drop_contaminated),
+    ("secret scans", redact_secrets),
+    ("mixing to target weights", mix_to_targets),
+]
 
+#: A trained tagger, a recursive join and an iterative fit are no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
