@@ -20,7 +20,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -31,7 +30,7 @@ from pyspark.sql import types as T
 
 from .common import WORD_TABLE, WordIds, append_columns, fold, held_out, sample_by_class, slices, utf8
 
-PER_CLASS = {1: 1200, 0: 2400}
+PER_CLASS = {1: 800, 0: 1600}
 TRAIN_MAX_CHARS = 100_000
 CHAIN_WORDS = 128
 BUCKETS = 1 << 15
@@ -159,30 +158,46 @@ def _copy_key(words: list[bytes]) -> int:
     return min((zlib.crc32(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))), default=0)
 
 
-def seed_features(toxic: list[set[str]], other: list[set[str]]) -> set[str]:
-    """Features found in many toxic documents and hardly any other; one set a document, copies merged."""
+def _document_features(texts: list[bytes], known: dict[str, int], grow: bool) -> tuple[np.ndarray, int]:
+    """How many of the texts, near copies taken together, hold each known feature; and how many such texts there are.
+
+    Only pairs of numbers are held, never sets of strings; with grow, new features become known.
+    """
+    group: dict[int, int] = {}
+    of_word: dict[bytes, np.ndarray] = {}
+    pairs = []
+    for text in texts:
+        words = [w for w in tokens(text) if w and w != b"\n"]
+        doc = group.setdefault(_copy_key(words), len(group))
+        found = []
+        for w in set(words):
+            if (ids := of_word.get(w)) is None:
+                named = word_features(w.decode("utf-8", "replace"))
+                ids = [known.setdefault(f, len(known)) for f in named] if grow else [known[f] for f in named if f in known]
+                of_word[w] = ids = np.array(ids, np.int64)
+            found.append(ids)
+        if found:
+            pairs.append(np.unique(np.concatenate(found)) + (doc << 32))
+    held = np.unique(np.concatenate(pairs)) & 0xFFFFFFFF if pairs else np.zeros(0, np.int64)
+    return np.bincount(held, minlength=len(known)), len(group)
+
+
+def seed_features(toxic: list[bytes], other: list[bytes]) -> set[str]:
+    """Features found in many toxic documents and hardly any other; near copies count once."""
     if not toxic or not other:
         return set()
-    hits = Counter(f for doc in toxic for f in doc)
-    hits = Counter({f: n for f, n in hits.items() if n >= 3})
-    misses = Counter(f for doc in other for f in doc if f in hits)
-    odds = math.log((len(toxic) + len(other)) / len(toxic))
-    return {
-        f for f, n in hits.items()
-        if n * odds >= SEED_EVIDENCE and n / len(toxic) >= SEED_RATIO * (misses[f] + 0.5) / len(other)
-    }
+    known: dict[str, int] = {}
+    hits, n_toxic = _document_features(toxic, known, grow=True)
+    misses, n_other = _document_features(other, known, grow=False)
+    odds = math.log((n_toxic + n_other) / n_toxic)
+    good = (hits * odds >= SEED_EVIDENCE) & (hits / n_toxic >= SEED_RATIO * (misses + 0.5) / n_other)
+    return {f for f, k in known.items() if good[k]}
 
 
 def fit(rows: list[tuple[bytes, int]], epochs: int = 60, rate: float = 0.3, decay: float = 1e-3) -> ToxicModel:
     """The model of (text, label) rows; it stays without a head if a class or every seed is missing."""
     model = ToxicModel()
-    merged: dict[int, dict[int, set[str]]] = {0: {}, 1: {}}
-    for text, label in rows:
-        words = [w for w in tokens(text) if w and w != b"\n"]
-        into = merged[label].setdefault(_copy_key(words), set())
-        into.update(f for w in set(words) for f in word_features(w.decode("utf-8", "replace")))
-    seeds = seed_features(list(merged[1].values()), list(merged[0].values()))
-    del merged
+    seeds = seed_features(*([t for t, y in rows if y == label] for label in (1, 0)))
     if not seeds:
         return model
     vocabulary: dict[bytes, int] = {b"": 0, b"\n": 1}
@@ -192,9 +207,9 @@ def fit(rows: list[tuple[bytes, int]], epochs: int = 60, rate: float = 0.3, deca
     seeded = np.array([any(f in seeds for f in word_features(w.decode("utf-8", "replace"))) for w in forms])
     label = np.array([y for _, y in rows])[chains.docs]
     gold = seeded[chains.words] & (label == 1)
-    buckets = [word_buckets(w) for w in forms]
-    sizes = [len(b) for b in buckets]
-    flat, owner = np.concatenate(buckets), np.repeat(np.arange(len(forms)), sizes)
+    buckets = [word_buckets(w).astype(np.int32) for w in forms]
+    flat, owner = np.concatenate(buckets), np.repeat(np.arange(len(forms), dtype=np.int32), [len(b) for b in buckets])
+    del buckets
     inner = np.flatnonzero(~chains.first)
     had = np.zeros((2, 2))
     np.add.at(had, (gold[inner - 1].astype(int), gold[inner].astype(int)), 1)
