@@ -53,7 +53,7 @@ VIEWS = {
   SELECT k::INT AS atom_idx, ['N','CA','C'][k%3+1] AS atom_name, ['ALA','GLY','SER','LEU','LYS','ASP','VAL'][k//3+1] AS res_name,
     'A' AS chain_id, (k//3+1)::BIGINT AS res_seq, ['N','C','C'][k%3+1] AS element FROM range(21) t(k))""",
     "cells": "cells AS (SELECT vec_id AS frame, 60.0::DOUBLE + vec_id % 7 AS a, 60.0::DOUBLE + vec_id % 5 AS b, 80.0::DOUBLE AS c FROM embeddings)",
-    "windows": "windows AS (SELECT k::INT AS window_idx, -0.8::DOUBLE + 2.9::DOUBLE * k / 29 AS val0 FROM range(30) t(k))",
+    "windows": "windows AS (SELECT k::INT AS window_idx, -0.8::DOUBLE + (2.1::DOUBLE - -0.8::DOUBLE) * k / 29 AS val0 FROM range(30) t(k))",
     "cv": """cv AS (
   SELECT window_idx, event_id AS sample_idx, val0 + (value - 50) / 250 AS x FROM events JOIN windows ON window_idx = event_id % 30)""",
     "states": """states AS (
@@ -325,9 +325,16 @@ def betweenness(spark, sf_dir):
     return network.betweenness(_edges(spark, sf_dir), fixtures.N_ATOMS)
 
 
-@query()
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT i AS src, j AS dst, -ln(abs(value)) AS c FROM dccm WHERE i <> j AND abs(value) >= 0.001),
+walk(v, cost, path, costs) AS (
+  SELECT 0, 0.0::DOUBLE, [0], [0.0::DOUBLE]
+  UNION ALL SELECT dst, cost + c, list_append(path, dst), list_append(costs, cost + c) FROM walk JOIN e ON src = v
+  WHERE NOT list_contains(path, dst) AND len(path) < 4 AND v <> 20
+), best AS (SELECT path, costs FROM walk WHERE v = 20 ORDER BY cost LIMIT 1)
+SELECT k::INT AS hop, path[k]::INT AS src, path[k + 1]::INT AS dst, {{costs[k + 1]}} AS cost FROM best, range(1, 4) t(k) WHERE k < len(path)""")
 def optimal_path(spark, sf_dir):
-    return network.optimal_path(_edges(spark, sf_dir), fixtures.N_ATOMS, 0, 20)
+    graph = network.edges(correlation.dccm(traj(spark, sf_dir)), 0.001)
+    return network.optimal_path(graph, fixtures.N_ATOMS, 0, 20)
 
 
 @query()
@@ -442,8 +449,8 @@ def mbar_one_sweep(spark, sf_dir):
     return mbar.one_sweep(fixtures.cv_samples(spark, sf_dir), fixtures.windows(spark), FORCE)
 
 
-@query(f"""WITH {_SWEEP} SELECT greatest(0, least(28, floor((x + 0.8) / 2.9 * 29)))::INT AS bin, count(*) AS n, {{{{-ln(sum(exp(-d)))}}}} AS pmf_kt
-FROM d WHERE x BETWEEN -0.8 AND (SELECT max(val0) FROM windows) GROUP BY ALL""")
+@query(f"""WITH {_SWEEP} SELECT greatest(0, least(28, floor((x - lo) / (hi - lo) * 29)))::INT AS bin, count(*) AS n, {{{{-ln(sum(exp(-d)))}}}} AS pmf_kt
+FROM d, (SELECT min(val0) AS lo, max(val0) AS hi FROM windows) WHERE x BETWEEN lo AND hi GROUP BY ALL""")
 def mbar_pmf_fixed_f(spark, sf_dir):
     return mbar.pmf_at(fixtures.cv_samples(spark, sf_dir), fixtures.windows(spark), FORCE, [0.0] * fixtures.N_WINDOWS, 29)
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.functions.expr import atom, bin_index, dihedral_degrees, finite
+from helixframe.functions.expr import bin_index, finite
 from helixframe.model import Trajectory
+from helixframe.plans.primitives import map_frames
 
 BINS = 60
 
@@ -31,40 +34,52 @@ def residues(traj: Trajectory) -> tuple[str, list[dict]]:
     return mode, chosen
 
 
-def _angles(mode: str, chosen: list[dict], k: int) -> tuple[Column, Column]:
-    none = F.lit(None).cast("double")
-    at = lambda i, name: atom("xyz", chosen[i]["names"][name])
-    phi = psi = none
-    if mode == "backbone":
-        if k > 0:
-            phi = dihedral_degrees(at(k - 1, "C"), at(k, "N"), at(k, "CA"), at(k, "C"))
-        if k < len(chosen) - 1:
-            psi = dihedral_degrees(at(k, "N"), at(k, "CA"), at(k, "C"), at(k + 1, "N"))
-    elif 0 < k < len(chosen) - 2:
-        phi = dihedral_degrees(*[atom("xyz", chosen[k + d]["atom"]) for d in (-1, 0, 1, 2)])
-    return phi, psi
+def _quads(mode: str, chosen: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """The four atoms of each residue's phi and psi; -1 where an angle is undefined."""
+    quads = np.full((2, len(chosen), 4), -1)
+    for k, r in enumerate(chosen):
+        if mode == "backbone":
+            at = r["names"]
+            if k > 0:
+                quads[0, k] = chosen[k - 1]["names"]["C"], at["N"], at["CA"], at["C"]
+            if k < len(chosen) - 1:
+                quads[1, k] = at["N"], at["CA"], at["C"], chosen[k + 1]["names"]["N"]
+        elif 0 < k < len(chosen) - 2:
+            quads[0, k] = [chosen[k + d]["atom"] for d in (-1, 0, 1, 2)]
+    return quads[0], quads[1]
+
+
+def torsions(at: np.ndarray, quads: np.ndarray) -> np.ndarray:
+    """Signed torsions in degrees, frames x quads; nan where an atom is missing or the middle two are closer than 1e-10."""
+    a, b, c, d = (at[:, quads[:, k]] for k in range(4))
+    axis = c - b
+    n1, n2 = np.cross(b - a, axis), np.cross(axis, d - c)
+    length = np.sqrt((axis**2).sum(axis=2))
+    good = (length >= 1e-10) & (quads[:, 0] >= 0)
+    sine = (np.cross(n1, axis) * n2).sum(axis=2) / np.where(good, length, 1.0)
+    return np.where(good, -np.degrees(np.arctan2(sine, (n1 * n2).sum(axis=2))), np.nan)
 
 
 def series(traj: Trajectory) -> DataFrame:
     """res_idx, res_seq, res_name, atom_idx, frame, phi, psi in degrees; undefined angles are null.
 
-    All angles of a frame are computed in its row and exploded; nothing is shuffled.
+    Angles are array arithmetic on batches of frames; nothing is shuffled.
     """
     mode, chosen = residues(traj)
-    structs = []
-    for k, r in enumerate(chosen):
-        phi, psi = _angles(mode, chosen, k)
-        structs.append(
-            F.struct(
-                F.lit(k).alias("res_idx"), F.lit(r["res_seq"]).cast("long").alias("res_seq"), F.lit(r["res_name"]).alias("res_name"),
-                F.lit(r["atom"]).alias("atom_idx"), phi.alias("phi"), psi.alias("psi"),
-            )
-        )
-    if not structs:
-        schema = "res_idx int, res_seq long, res_name string, atom_idx int, frame long, phi double, psi double"
-        return traj.spark.createDataFrame([], schema)
-    rows = traj.frames.select("frame", F.inline(F.array(*structs)))
-    return rows.select("res_idx", "res_seq", "res_name", "atom_idx", "frame", "phi", "psi")
+    phi_atoms, psi_atoms = _quads(mode, chosen)
+    n = len(chosen)
+    seq, atom = np.array([r["res_seq"] for r in chosen], np.int64), np.array([r["atom"] for r in chosen], np.int32)
+    names = [r["res_name"] for r in chosen]
+
+    def make(frames, x):
+        at, m = x.reshape(len(x), -1, 3), len(x)
+        phi, psi = (torsions(at, q).ravel() for q in (phi_atoms, psi_atoms))
+        return {
+            "res_idx": np.tile(np.arange(n, dtype=np.int32), m), "res_seq": np.tile(seq, m), "res_name": names * m, "atom_idx": np.tile(atom, m),
+            "frame": np.repeat(frames, n), "phi": pa.array(phi, mask=np.isnan(phi)), "psi": pa.array(psi, mask=np.isnan(psi)),
+        }
+
+    return map_frames(traj, "res_idx int, res_seq long, res_name string, atom_idx int, frame long, phi double, psi double", make)
 
 
 def summary(angles: DataFrame, circular: bool = False) -> DataFrame:

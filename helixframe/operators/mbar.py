@@ -9,6 +9,8 @@ since drawing blocks again only repeats samples, and all replicates are solved i
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -53,6 +55,19 @@ def counts_of(samples: DataFrame, n_windows: int) -> np.ndarray:
     return n
 
 
+def _with_denominator(samples: DataFrame, n: np.ndarray, f: list[float], centers: list[float], fc: float, b: float) -> DataFrame:
+    """samples with D, the log of the sum over windows of n_k exp(f_k - u_k), and each window's g_k = f_k - u_k.
+
+    Every window is a column of its own, so the whole sum is compiled code.
+    """
+    shown = samples.select("*", *[(F.lit(g) - bias(F.col("x"), c, fc, b)).alias(f"g{k}") for k, (g, c) in enumerate(zip(f, centers))])
+    some = [k for k in range(len(centers)) if n[k] > 0]
+    terms = [F.lit(float(np.log(n[k]))) + F.col(f"g{k}") for k in some]
+    topped = shown.withColumn("top", F.greatest(*terms) if len(terms) > 1 else terms[0])
+    total = reduce(lambda a, t: a + t, [F.exp(t - F.col("top")) for t in terms])
+    return topped.withColumn("D", F.col("top") + F.ln(total))
+
+
 def one_sweep(samples: DataFrame, windows: DataFrame, fc: float, temperature: float = 300.0, f: list[float] | None = None) -> DataFrame:
     """k, f after one self-consistent sweep from f (zeros), shifted to f_0 = 0; in expressions only.
 
@@ -63,11 +78,8 @@ def one_sweep(samples: DataFrame, windows: DataFrame, fc: float, temperature: fl
     n = counts_of(samples, len(centers))
     f = f or [0.0] * len(centers)
     b = beta(temperature)
-    u = [bias(F.col("x"), c, fc, b) for c in centers]
-    terms = F.array(*[F.lit(float(np.log(m))) + F.lit(g) - v for m, g, v in zip(n, f, u) if m > 0])
-    top = F.array_max(terms)
-    denominator = top + F.ln(F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + F.exp(t - top)))
-    shares = samples.select("x", denominator.alias("D")).agg(*[F.sum(F.exp(F.lit(g) - v - F.col("D"))).alias(f"s{k}") for k, (g, v) in enumerate(zip(f, u))])
+    rows = _with_denominator(samples.select("x"), n, f, centers, fc, b)
+    shares = rows.agg(*[F.sum(F.exp(F.col(f"g{k}") - F.col("D"))).alias(f"s{k}") for k in range(len(centers))])
     new = shares.select(F.posexplode(F.array(*[F.lit(g) - F.ln(F.col(f"s{k}")) for k, g in enumerate(f)])).alias("k", "f"))
     base = shares.select((F.lit(f[0]) - F.ln(F.col("s0"))).alias("f0"))
     return new.crossJoin(F.broadcast(base)).select("k", (F.col("f") - F.col("f0")).alias("f"))  # one row
@@ -136,8 +148,8 @@ class Mbar:
                     e = np.exp(t - top[:, None])
                     total = e.sum(axis=1)
                     if log:
-                        value = mass * np.exp(-(top + np.log(total)))
-                        heap[r] += np.bincount(at[inside], value[inside], bins)
+                        value = mass[inside] * np.exp(-(top + np.log(total))[inside])
+                        heap[r] += np.bincount(at[inside], value, bins)
                     else:
                         share = e / total[:, None]
                         first[r] += mass @ np.exp(f[r] - u - (top + np.log(total))[:, None])
@@ -224,11 +236,8 @@ def pmf_at(samples: DataFrame, windows: DataFrame, fc: float, f: list[float], n_
     n = counts_of(samples, len(centers))
     b = beta(temperature)
     low, high = min(centers), max(centers)
-    terms = F.array(*[F.lit(float(np.log(m))) + F.lit(g) - bias(F.col("x"), c, fc, b) for m, g, c in zip(n, f, centers) if m > 0])
-    top = F.array_max(terms)
-    denominator = top + F.ln(F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + F.exp(t - top)))
-    inside = samples.filter(F.col("x").between(low, high))
-    rows = inside.select(bin_index(F.col("x"), low, high - low, n_bins).alias("bin"), denominator.alias("D"))
+    inside = samples.select("x").filter(F.col("x").between(low, high))
+    rows = _with_denominator(inside, n, f, centers, fc, b).select(bin_index(F.col("x"), low, high - low, n_bins).alias("bin"), "D")
     return rows.groupBy("bin").agg(F.count("*").alias("n"), (-F.ln(F.sum(F.exp(-F.col("D"))))).alias("pmf_kt"))
 
 
