@@ -55,29 +55,50 @@ def grams(word: bytes, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)] if n > 1 else list(marked[1:-1])
 
 
+class _Table:
+    """Counts by key and language, and then the log frequencies of the kept keys: a number a key, a row a number."""
+
+    def __init__(self, width: int):
+        self.width, self.number, self.at, self.lang, self.n = width, {}, [], [], []
+
+    def add(self, key, lang: int, n: int) -> None:
+        self.at.append(self.number.setdefault(key, len(self.number)))
+        self.lang.append(lang)
+        self.n.append(n)
+
+    def close(self, least: int = 1) -> None:
+        """Keep keys that were counted at least that often, as log frequencies with SMOOTHING added to each count."""
+        counts = np.zeros((len(self.number), self.width))
+        np.add.at(counts, (self.at, self.lang), self.n)
+        total = counts.sum(axis=0)
+        kept = counts.sum(axis=1) >= least
+        place = np.cumsum(kept) - 1
+        self.number = {k: int(place[i]) for k, i in self.number.items() if kept[i]}
+        spread = np.log(total + SMOOTHING * max(1, kept.sum()))
+        self.logs = (np.log(counts[kept] + SMOOTHING) - spread).astype(np.float32)
+        self.at = self.lang = self.n = None
+
+    def get(self, key) -> np.ndarray | None:
+        i = self.number.get(key)
+        return None if i is None else self.logs[i]
+
+
 class LanguageModel:
     """Log frequencies of words and n-grams for each language, from (word, language, count) rows."""
 
     def __init__(self, rows: list[tuple[bytes, str, int]], max_gram: int = MAX_GRAM):
         self.langs = sorted({lang for _, lang, _ in rows})
         at = {lang: i for i, lang in enumerate(self.langs)}
-        width = len(self.langs)
-        counts: dict[bytes, np.ndarray] = {}
-        by_gram: list[dict[str, np.ndarray]] = [{} for _ in range(max_gram + 1)]
+        self.words = _Table(len(self.langs))
+        self.grams = [_Table(len(self.langs)) for _ in range(max_gram + 1)]
         for word, lang, n in rows:
-            counts.setdefault(word, np.zeros(width))[at[lang]] += n
+            self.words.add(word, at[lang], n)
             for size in range(1, max_gram + 1):
                 for g in grams(word, size):
-                    by_gram[size].setdefault(g, np.zeros(width))[at[lang]] += n
-        self.words = self.logs({w: c for w, c in counts.items() if c.sum() >= 2})
-        self.grams = [self.logs(c) for c in by_gram]
-
-    def logs(self, counts: dict) -> dict:
-        if not counts:
-            return {}
-        total = sum(counts.values())
-        spread = np.log(total + SMOOTHING * len(counts))
-        return {k: (np.log(c + SMOOTHING) - spread).astype(np.float32) for k, c in counts.items()}
+                    self.grams[size].add(g, at[lang], n)
+        self.words.close(least=2)
+        for t in self.grams:
+            t.close()
 
     def vector(self, word: bytes) -> np.ndarray:
         """What a word adds to each language's sum, less the best language's part."""
