@@ -21,11 +21,23 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/helixframe/{tag}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, paths: list[str] | None = None) -> DataFrame:
     """Write the frame to the shared folder and read it back, which cuts its lineage.
 
-    The files outlive lost executors, and what follows never recomputes the frame.
+    The files outlive lost executors, and what follows never recomputes the frame.  The path is
+    added to `paths`, for discard() once nothing reads the table any more.
     """
     path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that materialise() wrote, by the file system they are on."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    paths.clear()
