@@ -1,4 +1,4 @@
-"""Shared pieces of the text operators: table access, materialisation, sampling, Arrow plumbing.
+"""Shared pieces of the text operators: table access, sampling, Arrow plumbing, joins on skewed keys.
 
 Every operator here follows the same conventions.  Inputs are DataFrames that may carry any
 extra columns; only the named ones are read.  A result column replaces an input column of the
@@ -7,8 +7,6 @@ same name.  Null text counts as empty text unless an operator says otherwise.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from helixframe.plans.tables import discard, fresh_path, materialise  # noqa: F401  for the operators
+
+#: Classes that a sample is drawn from, the most frequent ones.
+MAX_CLASSES = 1000
 #: Rows of an Arrow batch that are scored together, so that arrays stay within a few tens of MB.
 SLICE_ROWS = 256
 SLICE_BYTES = 4 << 20
@@ -26,33 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# ----------------------------------------------------------------------------------------------
-# Materialised tables in the folder that the whole cluster shares
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where that setting is absent (tests)."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not set_dir:
-        set_dir = tempfile.mkdtemp(prefix="helixframe-")
-        spark.sparkContext.setCheckpointDir(set_dir)
-    return set_dir.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/helixframe/{tag}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write the frame to the shared folder and read it back, which cuts its lineage.
-
-    The files outlive lost executors, and what follows never recomputes the frame.
-    """
-    path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 # ----------------------------------------------------------------------------------------------
 # Folds and bounded training samples
 
@@ -67,18 +42,18 @@ def held_out(id_col: str) -> Column:
 
 
 def sample_by_class(rows: DataFrame, id_col: str, class_col: str, per_class: int) -> DataFrame:
-    """About per_class rows of each class, chosen by a hash of the id.
+    """About per_class rows of each of the MAX_CLASSES most frequent classes, chosen by a hash of the id.
 
     One aggregation counts the classes; a row then stays if its hash falls under per_class / count.
-    The expected size is per_class times the number of classes whatever the input's size.
+    The expected size is per_class times the number of classes whatever the input's size, and the
+    rows are filtered where they are read, without a shuffle.
     """
-    counts = rows.groupBy(class_col).agg(F.count("*").alias("__n"))
+    kind = rows.schema[class_col]
+    counts = rows.groupBy(class_col).agg(F.count("*").alias("__n")).orderBy(F.desc("__n"), class_col).limit(MAX_CLASSES).collect()
+    share = [(r[0], float(per_class) / r[1]) for r in counts]
+    small = rows.sparkSession.createDataFrame(share, T.StructType([kind, T.StructField("__share", T.DoubleType())]))
     unit = F.pmod(F.xxhash64(F.col(id_col), F.lit(20177)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return (
-        rows.join(F.broadcast(counts), class_col)
-        .filter(unit < F.lit(float(per_class)) / F.col("__n"))
-        .drop("__n")
-    )
+    return rows.join(F.broadcast(small), class_col).filter(unit < F.col("__share")).drop("__share")
 
 
 # ----------------------------------------------------------------------------------------------

@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_by_key, materialise
+from .common import discard, join_by_key, materialise
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, paths: list[str]) -> DataFrame:
     """Each node hands its larger neighbours to its least neighbour (or itself)."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = materialise(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("deg")), "cc-least")
+    least = materialise(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("deg")), "cc-least", paths)
     out = join_by_key(both, least, "u", "deg", "inner").filter("v > u")
     return out.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, paths: list[str]) -> DataFrame:
     """Each node hands its smaller neighbours, and itself, to the least of them."""
-    least = materialise(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("deg")), "cc-least")
+    least = materialise(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("deg")), "cc-least", paths)
     out = join_by_key(edges, least, "u", "deg", "inner").filter("v <> m")
     moved = out.select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
@@ -31,13 +31,19 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     shared folder; rounds end when the edges, by count and hash, no longer change.  A node with
     many neighbours is no hot spot: its least neighbour is pre-aggregated and joined by broadcast.
     """
+    spark = edges.sparkSession
+    kept: list[str] = []
     now = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u > v").distinct()
-    now, before = materialise(now, "cc-edges"), None
+    now, before = materialise(now, "cc-edges", kept), None
     while True:
-        print_now = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if print_now == before or not print_now[0]:
+        state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if state == before or not state[0]:
             break
-        before = print_now
-        now = materialise(_small_star(materialise(_large_star(now), "cc-edges")), "cc-edges")
+        before, round_ = state, kept
+        large = materialise(_large_star(now, round_), "cc-edges", round_)
+        small = _small_star(large, round_)
+        kept = []
+        now = materialise(small, "cc-edges", kept)
+        discard(spark, round_)
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("label", F.col("node"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, WordIds, join_by_key, materialise, slices, utf8
+from .common import WORD_TABLE, WordIds, discard, join_by_key, materialise, slices, utf8
 from .components import components
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
@@ -235,8 +235,11 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def candidate_edges(sets: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """Edges u, v between sets that may be similar; sets: node and tokens."""
+def candidate_edges(sets: DataFrame, paths: list[str], threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """Edges u, v between sets that may be similar; sets: node and tokens.
+
+    The tables that the edges are read from are added to `paths`.
+    """
     state = _paths(sets, runs_for(recall, threshold))
     least = threshold - SLACK * math.sqrt(threshold * (1 - threshold) / COORDINATES)
     found: list[DataFrame] = []
@@ -245,13 +248,13 @@ def candidate_edges(sets: DataFrame, threshold: float = THRESHOLD, recall: float
         sized = keyed.groupBy("key").agg(
             F.count("*").alias("n"), F.min("node").alias("m"), F.bit_xor(F.xxhash64("node")).alias("members")
         )
-        sized = materialise(sized.filter("n > 1"), "cp-sizes")
+        sized = materialise(sized.filter("n > 1"), "cp-sizes", paths)
         # Runs often meet the same bucket again; of buckets with the same members one is compared.
         small = sized.filter(F.col("n") <= LEAF).groupBy("n", "members").agg(F.min("key").alias("key"))
         split = sized.filter(F.col("n") > LEAF).select("key", "n", "m").unionByName(
             small.select("key", "n", F.lit(None).cast("long").alias("m"))
         )
-        joined = materialise(join_by_key(keyed, materialise(split, "cp-split"), "key", "n", "inner"), "cp-level")
+        joined = materialise(join_by_key(keyed, materialise(split, "cp-split", paths), "key", "n", "inner"), "cp-level", paths)
         leaves = joined.filter(F.col("n") <= LEAF).select("key", "node")
         found.append(_compare_leaves(leaves.join(sets.select("node", "tokens"), "node"), least))
         large = joined.filter(F.col("n") > LEAF)
@@ -384,7 +387,9 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
         F.first("tokens").alias("tokens"),
     )
     sets = materialise(folded.withColumn("node", F.monotonically_increasing_id()), "jac-sets")
-    groups = materialise(components(candidate_edges(sets, threshold, recall)), "jac-groups")
+    paths: list[str] = []
+    groups = materialise(components(candidate_edges(sets, paths, threshold, recall)), "jac-groups")
+    discard(docs.sparkSession, paths)
 
     # Blocks: a group is dealt into as many as keep each under both bounds.
     member = groups.join(sets.drop("tokens"), "node").withColumnRenamed("label", "comp")
