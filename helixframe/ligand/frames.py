@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,10 +39,7 @@ def properties(frame: DataFrame, column: str = "smiles") -> DataFrame:
             "torsions": writers.torsions(m), "charge": m.charge, "smiles_out": to_smiles(m), "error": None,
         }
 
-    @F.pandas_udf(PROPERTIES)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_safe(t, one) for t in texts], columns=PROPERTIES.names)
-
+    run = F.udf(lambda t: tuple(_safe(t, one).get(k) for k in PROPERTIES.names), PROPERTIES, useArrow=True)
     return frame.withColumn("properties", run(F.col(column)))
 
 
@@ -57,8 +53,5 @@ def minimised(frame: DataFrame, column: str = "smiles", hydrogens: bool = True,
         at, _, energy = forcefield.minimise(m, forcefield.generate_coordinates(m), steps)
         return {"xyz": writers.to_xyz(m, at), "energy": energy, "error": None}
 
-    @F.pandas_udf(schema)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_safe(t, one) for t in texts], columns=schema.names)
-
+    run = F.udf(lambda t: tuple(_safe(t, one).get(k) for k in schema.names), schema, useArrow=True)
     return frame.withColumn("m", run(F.col(column))).select("*", "m.*").drop("m")

@@ -14,7 +14,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"\s*(<=|>=|==|!=|<|>|\(|\)|[^\s()<>=!]+)")
+_TOKEN = re.compile(r"\s*(<=|>=|==|!=|<|>|\(|\)|[\w*'+:.-]+)")
 _TEXT = {"name": "atom_name", "resname": "res_name", "type": "element", "element": "element", "chain": "chain_id"}
 _NUMBER = ("resid", "index", "serial")
 _WORDS = {"and", "or", "not", "(", ")"}

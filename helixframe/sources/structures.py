@@ -16,7 +16,7 @@ from helixframe.model import Trajectory, from_long
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line (from 0), text of each line of the files at a path or glob."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     lines = whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
     return lines
 
@@ -75,7 +75,7 @@ def parse_xyz(text: str) -> list[tuple[str, float, float, float]]:
 
 def read_xyz(spark: SparkSession, path: str) -> Trajectory:
     """S2. A trajectory of XYZ text, one or more frames in one file; atoms are residue UNK."""
-    whole = spark.read.option("wholetext", True).text(path).first()
+    whole = spark.read.text(path, wholetext=True).first()
     lines = whole[0].splitlines() if whole else []
     frames, at, names = [], 0, None
     while at < len(lines) and lines[at].strip():
@@ -146,7 +146,7 @@ def _close(blocks: list[dict], block: dict, column: int) -> None:
 def read_restraints(spark: SparkSession, path: str) -> DataFrame:
     """A row a block of each restraint file."""
     schema = "file string, block_idx int, iat array<long>, rstwt array<double>, r2 double, rk2 double, comment string, label string"
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
 
     def run(batches):
         import pandas as pd

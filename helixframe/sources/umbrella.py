@@ -22,7 +22,7 @@ def read_cv_samples(spark: SparkSession, windows: DataFrame, column: int = 2) ->
     rows = windows.select("window_idx", "cv_file").orderBy("window_idx").collect()  # a row a window
     parts = []
     for r in rows:
-        lines = spark.read.option("wholetext", True).text(r.cv_file).select(
+        lines = spark.read.text(r.cv_file, wholetext=True).select(
             F.lit(r.window_idx).alias("window_idx"), F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text")
         )
         parts.append(lines)
