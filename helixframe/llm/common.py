@@ -105,10 +105,12 @@ def append_columns(
 class WordIds(dict):
     """Word -> row of a growing table of vectors; unseen words are computed once and kept.
 
-    The table is bounded: at `limit` words it starts anew, so a worker's memory does not follow
-    the number of distinct words in the corpus.
+    The table is bounded: at `limit` words it starts anew, and words over KEPT_BYTES are computed
+    each time, so a worker's memory follows neither the number nor the length of a corpus's words.
     """
 
+    KEPT_BYTES = 64
+
     def __init__(self, width: int, compute: Callable[[bytes], np.ndarray], limit: int = 400_000, dtype=np.float32):
         super().__init__()
         self.width, self.compute, self.limit = width, compute, limit
@@ -119,7 +121,8 @@ class WordIds(dict):
         if self.n == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
         self.rows[self.n] = self.compute(word)
-        self[word] = self.n
+        if len(word) <= self.KEPT_BYTES:
+            self[word] = self.n
         self.n += 1
         return self.n - 1
 

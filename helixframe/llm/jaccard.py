@@ -41,7 +41,9 @@ COORDINATES, LEVELS, LEAF = 64, 6, 64
 USUAL_LEVEL = 2
 #: Estimates within so many standard errors under the threshold are candidates.
 SLACK = 3.5
-BLOCK_SETS, BLOCK_SHINGLES = 2048, 1_500_000
+#: The most sets and shingles of a block of a candidate group; a group of some size is dealt into up to SPREAD
+#: blocks of at least LEAST_SETS even below these, so that its comparison is shared by several tasks.
+BLOCK_SETS, BLOCK_SHINGLES, LEAST_SETS, SPREAD = 2048, 1_500_000, 256, 16
 COLUMNS = 2048
 SEED = 7919
 
@@ -395,7 +397,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     member = groups.join(sets.drop("tokens"), "node").withColumnRenamed("label", "comp")
     member = materialise(member, "jac-members")
     size = member.groupBy("comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_SETS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("long")
+    shared = F.least(F.lit(SPREAD), F.ceil(F.col("n") / LEAST_SETS))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_SETS), F.ceil(F.col("s") / BLOCK_SHINGLES), shared).cast("long")
     size = materialise(size.select("comp", "n", blocks.alias("blocks")), "jac-sizes")
     placed = join_by_key(member, size, "comp", "n", "inner").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     with_sets = _member_sets(docs, placed.select("rep_id", "print", "comp", "node", "block", "blocks", "copies"), id_col, text_col)

@@ -32,6 +32,8 @@ MAX_WORDS = 60_000
 MAX_GRAM = 5
 #: Texts longer than this are not learned from (they are all scored whole).
 TRAIN_MAX_CHARS = 200_000
+#: A run of letters of more bytes counts as pieces of that length.
+MAX_WORD_BYTES = 100
 SMOOTHING = 0.5
 
 #: Like common.WORD_TABLE, but digits are no part of a word either.
@@ -43,7 +45,10 @@ FIELDS = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField
 def words_of(text: bytes) -> list[bytes]:
     """Words of a text's UTF-8 bytes: runs of letters after lower-casing; other scripts' signs stay in."""
     low = text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode("utf-8")
-    return low.translate(LETTER_TABLE).split()
+    words = low.translate(LETTER_TABLE).split()
+    if max(map(len, words), default=0) <= MAX_WORD_BYTES:
+        return words
+    return [w[i : i + MAX_WORD_BYTES] for w in words for i in range(0, len(w), MAX_WORD_BYTES)]
 
 
 def has_letter(words: list[bytes]) -> bool:
