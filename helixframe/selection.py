@@ -142,3 +142,15 @@ def resolve_mask(atoms: DataFrame, mask: str) -> DataFrame:
     if found.isEmpty():
         raise ValueError(f"mask {mask!r} names no atom")
     return found
+
+
+def residue_mates(atoms: DataFrame, atom_idx: int) -> DataFrame:
+    """P14. The atoms of the residue (number and chain) that an atom belongs to."""
+    own = atoms.filter(F.col("atom_idx") == atom_idx).select("res_seq", "chain_id")
+    return atoms.join(F.broadcast(own), ["res_seq", "chain_id"], "left_semi")  # one row
+
+
+def surroundings(atoms: DataFrame, atom_idx: int, reach: int = 5) -> DataFrame:
+    """P14. The whole residues of the atoms at most `reach` places before or after an atom."""
+    near = atoms.filter(F.col("atom_idx").between(atom_idx - reach, atom_idx + reach)).select("res_seq", "chain_id").distinct()
+    return atoms.join(F.broadcast(near), ["res_seq", "chain_id"], "left_semi")  # 2 x reach + 1 rows at most

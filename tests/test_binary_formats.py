@@ -170,3 +170,21 @@ def test_files_become_a_trajectory(spark, tmp_path):
     assert t.cells.filter("frame = 0").first()[1:] == (30, 31, 32)
     with pytest.raises(ValueError, match="unknown trajectory format"):
         binary.read_frames(spark, f"{tmp_path}/x.gro")
+
+
+def test_window_snapshots(spark, tmp_path):
+    from helixframe.operators import geometry
+    from helixframe.sinks.structures import pdb_lines
+    from helixframe.sources.umbrella import window_frames, window_table
+
+    for k in range(2):
+        (tmp_path / f"0{k}.ncrst").write_bytes(netcdf(X[k:], restart=True))
+    atoms = noise(spark, atoms=13).atoms
+    windows = window_table(spark, 2, 0.0, 1.0, rst_pattern=f"{tmp_path}/{{window}}.ncrst")
+    t = window_frames(spark, windows, atoms)
+    assert t.frames.filter("frame = 1").first().xyz == X[1].ravel().astype(float).tolist()
+    assert pdb_lines(t, 1).count() == 15
+    got = geometry.series(t, [(0, 1), (0, 99)], strict=False).filter("t = 0").orderBy("series_idx").collect()
+    assert got[0].value == pytest.approx(np.linalg.norm(X[0, 0] - X[0, 1]), rel=1e-6) and got[1].value is None
+    with pytest.raises(ValueError, match="no restart file"):
+        window_frames(spark, window_table(spark, 2, 0.0, 1.0), atoms)

@@ -222,3 +222,12 @@ def test_project(spark, tmp_path):
     assert bytes(files.first().data) == b"ATOM"
     assert [r.tool_id for r in project.analyses(spark, str(tmp_path / "p")).collect()] == ["thing"]
     assert project.as_json(values).filter(F.col("value").contains("1.5")).count() == 1
+
+
+def test_residues_around_an_atom(spark):
+    from helixframe.selection import residue_mates, surroundings
+
+    rows = [("X", "ALA", "A", k // 3, "C") for k in range(30)]
+    table = make(spark, [[[0, 0, 0]] * 30], rows).atoms
+    assert sorted(r.atom_idx for r in residue_mates(table, 13).collect()) == [12, 13, 14]
+    assert sorted(r.atom_idx for r in surroundings(table, 13, 2).collect()) == list(range(9, 18))
