@@ -1 +1 @@
-"""Operators for preparing training text; self-contained, nothing else in the library imports it."""
+"""Operators for preparing training text; nothing else in the library imports this subpackage."""

@@ -31,8 +31,13 @@ SEED = 20240917
 #: Standard errors of the estimate that the bound spans.
 EPSILON = 4.0
 MIN_BITS = 256
-CANDIDATE_BLOCK = 8192
-QUERY_BLOCK = 2048
+#: Components of a block of candidates and of queries (at 64 a vector, 32,768 and 16,384 vectors).  What is
+#: sent to the pairs of blocks falls with their size; a task holds one block of each.
+CANDIDATE_CELLS, QUERY_CELLS = 1 << 21, 1 << 20
+#: Small inputs are dealt into up to SPREAD blocks of LEAST_BLOCK candidates, to be shared by several tasks.
+LEAST_BLOCK, SPREAD = 4096, 16
+#: Estimates that a task holds at once.
+ESTIMATES = 1 << 22
 
 INDEX_SCHEMA = "vec_id long, dim int, vec binary, code binary, norm double, own double"
 
@@ -117,8 +122,9 @@ def search_block(queries: pa.Table, candidates: pa.Table, k: int, seed: int = SE
         norm, own = cs["norm"].to_numpy(), cs["own"].to_numpy()
         scale = norm / (own * math.sqrt(bits))
         spread = norm * np.sqrt(np.maximum(0, 1 - own**2)) / own * epsilon / math.sqrt(bits - 1)
-        for lo in range(0, len(q), 256):
-            turned = (q[lo : lo + 256] @ rot).astype(np.float32)
+        step = max(1, ESTIMATES // len(x))
+        for lo in range(0, len(q), step):
+            turned = (q[lo : lo + step] @ rot).astype(np.float32)
             guess = (turned @ signs.T).astype(np.float64) * scale
             for j, estimate in enumerate(guess, lo):
                 other = c_ids != q_ids[j]
@@ -138,8 +144,9 @@ def search_block(queries: pa.Table, candidates: pa.Table, k: int, seed: int = SE
 
 def search(index: DataFrame, is_query: Column, k: int = 20, seed: int = SEED, epsilon: float = EPSILON) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest among all other rows of the index."""
-    n, nq = index.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
-    nb, nqb = max(1, -(-n // CANDIDATE_BLOCK)), max(1, -(-nq // QUERY_BLOCK))
+    n, nq, dim = index.agg(F.count("*"), F.count(F.when(is_query, 1)), F.coalesce(F.max("dim"), F.lit(1))).first()
+    nb = max(1, -(-n * dim // CANDIDATE_CELLS), min(SPREAD, -(-n // LEAST_BLOCK)))
+    nqb = max(1, -(-nq * dim // QUERY_CELLS))
     place = lambda salt, blocks: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(blocks)).cast("int")
     candidates = index.withColumn("cb", place(1, nb)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nqb - 1))))
     queries = index.filter(is_query).drop("code", "norm", "own").withColumn("qb", place(2, nqb))

@@ -29,10 +29,10 @@ def test_query_matches_sql(spark, medium):
     same(queries.op5_nearest(spark, medium), queries.SQL["op5_nearest"], medium)
 
 
-@pytest.mark.parametrize("blocks", [(8192, 2048), (64, 3)])
-def test_recall_against_brute_force(spark, small, monkeypatch, blocks):
-    monkeypatch.setattr(ann, "CANDIDATE_BLOCK", blocks[0])
-    monkeypatch.setattr(ann, "QUERY_BLOCK", blocks[1])
+@pytest.mark.parametrize("cells", [(ann.CANDIDATE_CELLS, ann.QUERY_CELLS, ann.ESTIMATES), (64 * 64, 3 * 64, 100)])
+def test_recall_against_brute_force(spark, small, monkeypatch, cells):
+    for name, value in zip(("CANDIDATE_CELLS", "QUERY_CELLS", "ESTIMATES"), cells):
+        monkeypatch.setattr(ann, name, value)
     e = table(spark, small, "embeddings").toPandas()
     x = np.stack(e.embedding.values).astype(float)
     truth = pd.DataFrame(brute(e.vec_id, x), columns=["query_id", "rank", "vec_id", "score"])
