@@ -1 +1 @@
-
+"""Small molecules."""

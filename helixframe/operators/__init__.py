@@ -1 +1 @@
-
+"""Analyses of trajectories and umbrella samples."""

@@ -1 +1 @@
-
+"""Writers of structures, tables and projects."""

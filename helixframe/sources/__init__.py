@@ -1 +1 @@
-
+"""Readers of trajectories, topologies, text structures and samples."""

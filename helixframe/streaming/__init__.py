@@ -1 +1 @@
-
+"""Measures over frames that arrive as a stream."""

@@ -82,6 +82,15 @@ def test_trans_and_cis(spark):
     assert np.isnan(dihedrals.torsions(np.array([flat], float), quads)[0, 0])
 
 
+def test_column_torsions_agree(spark):
+    from helixframe.functions.expr import atom, dihedral_degrees
+
+    t = noise(spark, frames=20, atoms=4)
+    got = t.frames.select("frame", dihedral_degrees(*[atom("xyz", k) for k in range(4)]).alias("v")).orderBy("frame").collect()
+    x = np.array([r.xyz for r in t.frames.orderBy("frame").collect()]).reshape(20, 4, 3)
+    assert [r.v for r in got] == pytest.approx(dihedrals.torsions(x, np.array([[0, 1, 2, 3]]))[:, 0])
+
+
 def test_modes_and_chains(spark):
     backbone = [(n, "ALA", "A", r, "C") for r in (1, 2, 3) for n in ("N", "CA", "C")]
     t = make(spark, np.random.default_rng(1).normal(size=(3, 9, 3)), backbone)
