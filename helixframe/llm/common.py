@@ -102,6 +102,17 @@ def append_columns(
     return source.mapInArrow(run, schema)
 
 
+def kept_rows(df: DataFrame, text_col: str, score: Callable[[DataFrame, str], DataFrame], keep: Column) -> DataFrame:
+    """The rows of df, with exactly its columns, for which the scored frame's condition holds.
+
+    score(frame, text column) appends its columns; it sees df under other names, so that columns of
+    df that are named like them come through untouched.
+    """
+    private = [f"__c{k}" for k in range(len(df.columns))]
+    scored = score(df.toDF(*private), private[df.columns.index(text_col)])
+    return scored.filter(keep).select(private).toDF(*df.columns)
+
+
 class WordIds(dict):
     """Word -> row of a growing table of vectors; unseen words are computed once and kept.
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, ascii_words, utf8
+from .common import append_columns, ascii_words, kept_rows, utf8
 
 #: Bytes of benchmark text whose windows go out in one broadcast.  A larger benchmark is dealt
 #: into parts by hash, and the documents are scanned once for each part.
@@ -205,11 +205,13 @@ def remove_spans(text: str, spans: list[list[int]]) -> str:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, mode: str = "documents", text_col: str = "text") -> DataFrame:
     """docs without contaminated documents, or (mode='spans') without the hit spans of their texts."""
-    scanned = scan(docs, benchmark, n, text_col)
     if mode == "documents":
-        return scanned.filter(~F.col("contaminated")).select([F.col(f"`{c}`") for c in docs.columns])
+        return kept_rows(docs, text_col, lambda d, t: scan(d, benchmark, n, t), ~F.col("contaminated"))
     if mode != "spans":
         raise ValueError(f"mode is documents or spans, not {mode!r}")
+    private = [f"__c{k}" for k in range(len(docs.columns))]
+    at = private[docs.columns.index(text_col)]
+    scanned = scan(docs.toDF(*private), benchmark, n, at)
     cut = F.udf(lambda t, s: None if t is None else remove_spans(t, s or []), "string", useArrow=True)
-    clean = F.when(F.col("contaminated"), cut(F.col(text_col), F.col("hit_spans"))).otherwise(F.col(text_col))
-    return scanned.withColumn(text_col, clean).select([F.col(f"`{c}`") for c in docs.columns])
+    clean = F.when(F.col("contaminated"), cut(F.col(at), F.col("hit_spans"))).otherwise(F.col(at))
+    return scanned.withColumn(at, clean).select(private).toDF(*docs.columns)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, ascii_words, utf8
+from .common import append_columns, ascii_words, kept_rows, utf8
 
 # Public licence sentences by identifier.
 SENTENCES = {
@@ -198,5 +198,4 @@ def scan(docs: DataFrame, text_col: str = "text", gap: int = 2) -> DataFrame:
 def licensed(docs: DataFrame, allowed: list[str], text_col: str = "text") -> DataFrame:
     """docs of which every recognised licence is allowed; documents without one stay."""
     names = F.filter(F.split("licenses", ","), lambda x: x != "")
-    scanned = scan(docs, text_col).filter(F.size(F.array_except(names, F.array(*map(F.lit, allowed)))) == 0)
-    return scanned.select([F.col(f"`{c}`") for c in docs.columns])
+    return kept_rows(docs, text_col, scan, F.size(F.array_except(names, F.array(*map(F.lit, allowed)))) == 0)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_TABLE, WordIds, append_columns, fold, held_out, sample_by_class, slices, utf8
+from .common import WORD_TABLE, WordIds, append_columns, fold, held_out, kept_rows, sample_by_class, slices, utf8
 
 PER_CLASS = {1: 800, 0: 1600}
 TRAIN_MAX_CHARS = 100_000
@@ -311,3 +311,9 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = train(docs, labels, id_col, text_col)
     rows = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), F.col(text_col).alias("__text"))
     return score_documents(rows, model, "__text").select(id_col, "held_out", "score", "predicted", "spans")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, with exactly their columns, that are not predicted to be toxic."""
+    model = train(docs, labels, id_col, text_col)
+    return kept_rows(docs, text_col, lambda d, t: score_documents(d, model, t), F.col("predicted") == 0)

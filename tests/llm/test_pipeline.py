@@ -70,6 +70,7 @@ def test_odd_documents_pass(spark, small, edges, tmp_path):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             docs = materialise(stage(spark, docs, str(tmp_path)), "test-odd")
             assert docs.columns == names, name
+            assert docs.filter("score <> 'clash' or n_words <> 'clash' or spans <> 'clash'").count() == 0, name
         last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
         assert last.count() == docs.count()
     assert docs.count() == 0
