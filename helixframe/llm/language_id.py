@@ -6,8 +6,8 @@ mean log frequency of the known n-grams is added.  The language of the largest s
 is its share after normalising the sums over the languages.
 
 Counts come from a sample of about `docs_per_lang` labelled documents a language, chosen by a
-hash of the id; at most `max_words` words, the most frequent, are kept.  Both bounds hold whatever
-the corpus's size.
+hash of the id; at most `max_words` words, the most frequent of those seen twice, are kept.  Both bounds
+hold whatever the corpus's size.
 
 Edge cases: null text, empty text and text without a letter get `und` and score 0, as does every
 text if nothing was learned; ties go to the language that sorts first; a document whose id is null
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_TABLE, WordIds, append_columns, fold, held_out, sample_by_class, slices, utf8
+from .common import WORD_TABLE, WordIds, append_columns, fold, held_out, materialise, sample_by_class, slices, utf8
 
 DOCS_PER_LANG = 1500
 MAX_WORDS = 60_000
@@ -148,9 +148,11 @@ def fit(
     by_word = (
         counted.groupBy("word", "lang").agg(F.sum("n").alias("n"))
         .groupBy("word").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
-        .orderBy(F.desc("total"), "word").limit(max_words)
+        .filter("total > 1").orderBy(F.desc("total"), "word").limit(max_words)
     )
-    return LanguageModel([(bytes(r.word), x.lang, x.n) for r in by_word.collect() for x in r.by])
+    # Written first, so that the best words are merged on the executors and no more than max_words rows come here.
+    rows = materialise(by_word, "language-words").collect()
+    return LanguageModel([(bytes(r.word), x.lang, x.n) for r in sorted(rows) for x in r.by])
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
