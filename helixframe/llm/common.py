@@ -122,7 +122,7 @@ class WordIds(dict):
 
     KEPT_BYTES = 64
 
-    def __init__(self, width: int, compute: Callable[[bytes], np.ndarray], limit: int = 400_000, dtype=np.float32):
+    def __init__(self, width: int, compute: Callable[[bytes], np.ndarray], limit: int = 250_000, dtype=np.float32):
         super().__init__()
         self.width, self.compute, self.limit = width, compute, limit
         self.rows = np.zeros((1024, width), dtype)

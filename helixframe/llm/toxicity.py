@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from .common import WORD_TABLE, WordIds, append_columns, fold, held_out, kept_rows, sample_by_class, slices, utf8
 
-PER_CLASS = {1: 800, 0: 1600}
+PER_CLASS = {1: 700, 0: 1400}
 TRAIN_MAX_CHARS = 100_000
 CHAIN_WORDS = 128
 BUCKETS = 1 << 15
