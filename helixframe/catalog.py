@@ -98,8 +98,8 @@ def _complete(sql: str, digits: int) -> str:
     return ("WITH " + ",\n".join(views) + "\n" if views else "") + body
 
 
-def traj(spark, sf_dir, frames=None):
-    return fixtures.trajectory(spark, sf_dir, frames)
+def traj(spark, sf_dir):
+    return fixtures.trajectory(spark, sf_dir)
 
 
 # ---------------------------------------------------------------------------------------------- structure
@@ -522,17 +522,9 @@ def membrane_summary(spark, sf_dir):
 # ---------------------------------------------------------------------------------------------- surface
 
 
-@query("""WITH s AS (SELECT k, 1 - 2 * k / 91.0::DOUBLE AS y, pi() * (3 - sqrt(5)) * k AS phi FROM range(92) t(k)),
-r AS (SELECT atom_idx, CASE element WHEN 'C' THEN 1.70 ELSE 1.55 END::DOUBLE + 1.4 AS r FROM atoms),
-a AS (SELECT frame, atom_idx, x, y, z, r FROM traj JOIN r USING (atom_idx) WHERE frame < 20),
-q AS (SELECT a.frame, a.atom_idx, k, a.r, a.x + a.r * sqrt(greatest(0, 1 - s.y*s.y)) * cos(phi) AS px, a.y + a.r * s.y AS py, a.z + a.r * sqrt(greatest(0, 1 - s.y*s.y)) * sin(phi) AS pz FROM a CROSS JOIN s),
-e AS (SELECT frame, atom_idx, any_value(r) AS r, count(*) AS n FROM q WHERE NOT EXISTS (
-  SELECT 1 FROM a o WHERE o.frame = q.frame AND o.atom_idx <> q.atom_idx AND (o.x-px)**2 + (o.y-py)**2 + (o.z-pz)**2 < o.r**2) GROUP BY frame, atom_idx)
-SELECT a.frame, (a.atom_idx // 3)::INT AS res_idx, any_value(res_name) || ' ' || any_value(res_seq) AS residue,
-  {{sum(4 * pi() * a.r**2 * coalesce(e.n, 0) / 92)}} AS sasa
-FROM a JOIN atoms USING (atom_idx) LEFT JOIN e ON e.frame = a.frame AND e.atom_idx = a.atom_idx GROUP BY a.frame, a.atom_idx // 3""")
-def sasa_small(spark, sf_dir):
-    return sasa.residue_series(traj(spark, sf_dir, frames=20))
+@query()
+def sasa_residue_series(spark, sf_dir):
+    return sasa.residue_series(traj(spark, sf_dir))
 
 
 @query()

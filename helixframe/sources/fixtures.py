@@ -15,11 +15,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def trajectory(spark: SparkSession, sf_dir: str, frames: int | None = None) -> Trajectory:
+def trajectory(spark: SparkSession, sf_dir: str) -> Trajectory:
     """Each embedding is a frame: 21 atoms from its first 63 components, scaled by 20."""
     rows = read(spark, sf_dir, "embeddings")
-    if frames is not None:
-        rows = rows.filter(F.col("vec_id") < frames)
     xyz = F.transform(F.slice("embedding", 1, 3 * N_ATOMS), lambda v: v.cast("double") * 20.0)
     cells = rows.select(
         F.col("vec_id").alias("frame"), (F.lit(60.0) + F.col("vec_id") % 7).alias("a"),
