@@ -5,8 +5,10 @@ is embedded as COORDINATES tokens, its min-hashes; two sets share a token with a
 their Jaccard similarity.  A run samples one coordinate at each level and splits the sets on the
 tokens they share there; a bucket of at most LEAF sets is compared by brute force on the
 embeddings, a larger one is split again.  Runs are repeated until a pair at the threshold is
-found with the target recall.  A bucket that is still large at the last level shares that many
-sampled tokens; its sets are linked without comparison, since all links are verified.
+found with the target recall: first as many as USUAL_LEVEL levels need, then, for the sets that any
+run split further, as many as the deepest level that their buckets reached needs.  A bucket that is
+still large at the last level shares that many sampled tokens; its sets are linked without
+comparison, since all links are verified.
 
 What the runs find are candidate groups, not results: the shingle sets of each connected candidate
 group are brought together once, in blocks of bounded size, and every pair of the group is
@@ -37,7 +39,7 @@ from .components import components
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
 COORDINATES, LEVELS, LEAF = 64, 6, 64
-#: Levels at which most buckets are small enough; runs are counted for it.
+#: Levels at which most buckets are small enough; the first runs are counted for it.
 USUAL_LEVEL = 2
 #: Estimates within so many standard errors under the threshold are candidates.
 SLACK = 3.5
@@ -56,6 +58,18 @@ def runs_for(recall: float = RECALL, threshold: float = THRESHOLD, level: int =
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**level))
 
 
+def deep_runs_for(level: int, recall: float = RECALL, threshold: float = THRESHOLD) -> int:
+    """As runs_for, where each run draws anew from the same coordinates, so that runs are independent only given
+    how many of those a pair shares."""
+    share = [math.comb(COORDINATES, k) * threshold**k * (1 - threshold) ** (COORDINATES - k) for k in range(COORDINATES + 1)]
+    fails = [1 - math.comb(k, level) / math.comb(COORDINATES, level) for k in range(COORDINATES + 1)]
+    missed = lambda runs: sum(p * f**runs for p, f in zip(share, fails))
+    runs = runs_for(recall, threshold, level)
+    while missed(runs) > 1 - recall:
+        runs += 1
+    return runs
+
+
 # ----------------------------------------------------------------------------------------------
 # Sets
 
@@ -169,20 +183,29 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple
 # Candidate groups by chosen paths
 
 
-def _paths(sets: DataFrame, runs: int) -> DataFrame:
+def _coordinates(runs: int, first: int = 0) -> np.ndarray:
+    """The coordinates of each level of each run, a row a run; the runs from `first` > 0 on are drawn one by one."""
+    if not first:
+        order = np.random.default_rng(SEED + 1).permutation(max(COORDINATES, runs * LEVELS)) % COORDINATES
+        return order[: runs * LEVELS].reshape(runs, LEVELS)
+    rng = np.random.default_rng([SEED, first])
+    return np.stack([rng.permutation(COORDINATES)[:LEVELS] for _ in range(runs)])
+
+
+def _paths(sets: DataFrame, runs: int, first: int = 0) -> DataFrame:
     """node, and for each run the keys of the buckets that its path visits, a level after the other."""
 
     def run(batches):
-        order = np.random.default_rng(SEED + 1).permutation(max(COORDINATES, runs * LEVELS)) % COORDINATES
+        order = _coordinates(runs, first)
         for b in batches:
             if not b.num_rows:
                 continue
             tokens = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(b.num_rows, -1).astype(np.uint64)
             keys = np.empty((b.num_rows, runs, LEVELS), np.uint64)
             for r in range(runs):
-                path = np.full(b.num_rows, r + 1, np.uint64)
+                path = np.full(b.num_rows, first + r + 1, np.uint64)
                 for d in range(LEVELS):
-                    path = (path ^ (path >> np.uint64(31))) * _MIX + tokens[:, order[r * LEVELS + d]] * _MIX2 + np.uint64(d)
+                    path = (path ^ (path >> np.uint64(31))) * _MIX + tokens[:, order[r, d]] * _MIX2 + np.uint64(d)
                     keys[:, r, d] = path ^ (path >> np.uint64(32))
             flat = pa.array(keys.view(np.int64).reshape(-1))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows * runs + 1, dtype=np.int32) * LEVELS), flat)
@@ -237,14 +260,12 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def candidate_edges(sets: DataFrame, paths: list[str], threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """Edges u, v between sets that may be similar; sets: node and tokens.
-
-    The tables that the edges are read from are added to `paths`.
-    """
-    state = _paths(sets, runs_for(recall, threshold))
-    least = threshold - SLACK * math.sqrt(threshold * (1 - threshold) / COORDINATES)
+def _split(
+    sets: DataFrame, state: DataFrame, paths: list[str], least: float
+) -> tuple[list[DataFrame], DataFrame | None, int]:
+    """Edges found along the paths, key, node and n of buckets that are split past USUAL_LEVEL, and the most levels of a path."""
     found: list[DataFrame] = []
+    deep = None
     for level in range(LEVELS):
         keyed = state.select("node", "path", F.col("path")[level].alias("key"))
         sized = keyed.groupBy("key").agg(
@@ -264,9 +285,43 @@ def candidate_edges(sets: DataFrame, paths: list[str], threshold: float = THRESH
             found.append(large.filter("node <> m").select(F.col("node").alias("u"), F.col("m").alias("v")))
         elif large.isEmpty():
             break
+        elif level == USUAL_LEVEL - 1:
+            deep = large.select("key", "node", "n")
         state = large.select("node", "path")
-    out = found[0]
-    for f in found[1:]:
+    return found, deep, level + 1
+
+
+def candidate_edges(sets: DataFrame, paths: list[str], threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """Edges u, v between sets that may be similar; sets: node and tokens.
+
+    The tables that the edges are read from are added to `paths`.
+    """
+    least = threshold - SLACK * math.sqrt(threshold * (1 - threshold) / COORDINATES)
+    runs = runs_for(recall, threshold)
+    found, deep, reached = _split(sets, _paths(sets, runs), paths, least)
+    if deep is None:
+        return _union(found)
+    # A pair in a large bucket at USUAL_LEVEL has both its sets among the deep ones; where a bucket's sets are all linked
+    # to one another by now, no pair is left to be found.
+    linked = materialise(components(_union(found)), "cp-linked", paths)
+    told = deep.join(linked, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
+    told = materialise(told, "cp-told", paths)
+    open_keys = told.groupBy("key").agg(F.max("n").alias("n"), F.min("label").alias("a"), F.max("label").alias("b"))
+    open_keys = materialise(open_keys.filter("a <> b").select("key", "n"), "cp-open", paths)
+    crowd = join_by_key(told.select("key", "node"), open_keys, "key", "n", "inner").select("node").distinct()
+    crowd = materialise(sets.select("node", "tokens").join(crowd, "node"), "cp-deep", paths)
+    found = [linked.select(F.col("node").alias("u"), F.col("label").alias("v"))]
+    extra = 0
+    while not crowd.isEmpty() and extra < (need := deep_runs_for(reached, recall, threshold)):
+        added, _, now = _split(crowd, _paths(crowd, need - extra, runs + extra), paths, least)
+        found += added
+        reached, extra = max(reached, now), need
+    return _union(found)
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
         out = out.unionByName(f)
     return out
 

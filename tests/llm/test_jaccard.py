@@ -132,3 +132,22 @@ def test_components_of_long_paths(spark):
     assert {label[i] for i in range(41)} == {0} and {label[i] for i in (100, 101, 103)} == {100}
     assert {label[i] for i in range(200, 400)} == {200} and len(label) == 41 + 3 + 200
     assert cc.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_pair_in_a_crowd_that_is_split_to_the_last_level(spark):
+    """A pair at 0.8 among many sets that share tokens with it, but are too unlike to be linked."""
+    rng = np.random.default_rng(11)
+    n, c = 7000, jaccard.COORDINATES
+    order = np.random.default_rng(jaccard.SEED + 1).permutation(c)
+    tokens = rng.integers(1000, 1 << 32, (n + 2, c), dtype=np.uint64).astype(np.uint32)
+    for row in tokens[:n]:
+        row[rng.permutation(c)[:32]] = 7  # half of the tokens, under the estimate cut against any other set
+    tokens[n:] = 7
+    apart = [order[r * jaccard.LEVELS + 3] for r in range(jaccard.runs_for())]  # buckets are still large there
+    apart += [k for k in range(c) if k not in apart][: round(0.2 * c) - len(apart)]
+    tokens[n + 1, apart] = 9
+    sets = spark.createDataFrame([(i, bytearray(row.tobytes())) for i, row in enumerate(tokens)], "node long, tokens binary")
+    paths: list[str] = []
+    edges = jaccard.candidate_edges(sets, paths).filter("u <> v")
+    label = {r.node: r.label for r in cc.components(edges).collect()}
+    assert label.get(n, n) == label.get(n + 1, n + 1)
