@@ -6,7 +6,8 @@ concatenations of them, and scores each literal by how sensitive the names are t
 
 Spans are `kind:start:end` in code points, end exclusive, ordered by start, then kind in the
 order assign, access, hex, lex, then end.  A lex span that lies inside a span of the fixed
-patterns is not repeated.  Null text counts as empty: no spans, and the digest of nothing.
+patterns is not repeated.  A literal is read to its closing quote or last character, and a
+concatenation to its last piece.  Null text counts as empty: no spans, and the digest of nothing.
 Repeated rows are scanned each for itself; texts of any length are read whole.
 """
 
@@ -55,16 +56,19 @@ PLACEHOLDERS = re.compile(
     r"(?i)^(?:x+|\*+|\.+|-+|_+|null|none|nil|true|false|undefined|change_?me|example.*|your[_-].*|placeholder|redacted|dummy|todo|password|secret|token|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s)$"
 )
 
+#: Characters kept of each end of a literal, more than any placeholder's fixed part.
+ENDS = 32
 _OP = re.compile(r":=|=>|[:=]")
 _NAME = re.compile(
     r"""([A-Za-z_$][\w$.-]{0,127})["'\]]{0,2}[ \t]*(?::[ \t]*[A-Za-z_][\w\[\]<>., |]{0,40}?[ \t]*)?$""", re.ASCII
 )
 _VALUE = re.compile(
-    r"""[ \t]*(?:[bruf]{1,2}(?=["']))?(?:"((?:[^"\\\n]|\\.){0,4096})"|'((?:[^'\\\n]|\\.){0,4096})'|`([^`\n]{0,4096})`|([A-Za-z0-9_$@%+/.=~^!*#&?-]{1,4096}))""",
+    r"""[ \t]*(?:[bruf]{1,2}(?=["']))?(?:"((?:[^"\\\n]++|\\.)*+)"|'((?:[^'\\\n]++|\\.)*+)'|`([^`\n]*+)`|(?=([A-Za-z0-9_$@%+/.=~^!*#&?-])))""",
     re.ASCII,
 )
+_BARE = re.compile(r"[A-Za-z0-9_$@%+/.=~^!*#&?-]++")
 _JOIN = re.compile(r"[ \t]*(?:\+|\.\.|\.(?=[ \t]*[\"'$])|\\?\n[ \t]*(?=[\"']))")
-_TAG = re.compile(r"<([A-Za-z_][\w.-]{0,127})>([^<>\s]{1,4096})</\1>", re.ASCII)
+_TAG = re.compile(r"<([A-Za-z_][\w.-]{0,127})>([^<>\s]++)</\1>", re.ASCII)
 _IDENT = re.compile(r"\$?\{?([A-Za-z_][\w.-]*)\}?$", re.ASCII)
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _HEX_MAP = bytes(104 if 48 <= c <= 57 or 97 <= c <= 102 else 32 for c in range(256))
@@ -90,17 +94,35 @@ def name_weight(name: str) -> float:
     return max((NAME_WEIGHTS.get(p, 0.0) for p in parts + pairs), default=0.0)
 
 
-def value_weight(value: str, quoted: bool) -> float:
+class Value:
+    """What is known of a literal or of joined ones: the characters, whether all are quoted, and both ends."""
+
+    def __init__(self, counts: Counter, quoted: bool, head: str, tail: str):
+        self.counts, self.quoted, self.head, self.tail = counts, quoted, head[:ENDS], tail[-ENDS:]
+        self.length = sum(counts.values())
+
+    def __add__(self, other: Value) -> Value:
+        # An end that is shorter than ENDS is the whole value.
+        return Value(self.counts + other.counts, self.quoted and other.quoted, self.head + other.head if self.length < ENDS else self.head,
+                     self.tail + other.tail if other.length < ENDS else other.tail)
+
+    def probe(self) -> str:
+        """The text, or one in its place to which PLACEHOLDERS answers alike: both ends, and each character between them."""
+        return self.head if self.length <= ENDS else self.head + "".join(self.counts) + self.tail
+
+
+def value_weight(value: Value) -> float:
     """How much a literal looks like a secret: its length, its letters' entropy, and its classes."""
-    if len(value) < 6 or PLACEHOLDERS.match(value) or " " in value:
+    counts, n = value.counts, value.length
+    if n < 6 or " " in counts or PLACEHOLDERS.match(value.probe()):
         return 0.0
-    counts = Counter(value)
-    entropy = -sum(c / len(value) * math.log2(c / len(value)) for c in counts.values())
-    classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    score = min(1.0, entropy / 3.0) * min(1.0, 0.5 + len(value) / 24)
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+    letters = "".join(counts)
+    classes = sum(bool(re.search(p, letters)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    score = min(1.0, entropy / 3.0) * min(1.0, 0.5 + n / 24)
     if classes == 1:
         score *= 0.75
-    if not quoted and not any(c.isdigit() for c in value):
+    if not value.quoted and not any(c.isdigit() for c in counts):
         score *= 0.4  # a bare word after a colon is mostly prose
     return score
 
@@ -110,9 +132,14 @@ class Lexer:
 
     def __init__(self, text: str):
         self.text = text
-        #: name -> the literal pieces that its value is made of, each (start, end, quoted).
-        self.constants: dict[str, list[tuple[int, int, bool]]] = {}
-        self.pairs: list[tuple[str, list[tuple[int, int, bool]]]] = []
+        #: name -> the pieces that its value is made of: literals, (start, end, quoted), and lists of pieces for constants.
+        self.constants: dict[str, list] = {}
+        self.pairs: list[tuple[str, list]] = []
+        self.has_quoted: dict[int, bool] = {}  # by the id of a list of pieces
+        self.made: list[list] = []  # keeps those lists, and so their ids
+        self.bare = (0, 0)  # the run of characters of bare literals that was met last
+        self.known: dict[int, Value] = {}  # by the id of a list of pieces
+        self.suffix: dict[int, tuple[int, Counter]] = {}  # by the end of a literal: a start, and the characters from there
 
     def run(self) -> Lexer:
         text, after = self.text, 0
@@ -123,45 +150,91 @@ class Lexer:
             left = text[max(0, a - 180) : a]
             if not (name := _NAME.search(left[left.rfind("\n") + 1 :])):
                 continue
-            pieces, end = self.value(b)
+            pieces, end, quoted = self.value(b)
             if pieces:
                 self.constants[name[1]] = pieces
                 self.pairs.append((name[1], pieces))
-                if any(quoted for *_, quoted in pieces):
+                if quoted:
                     after = end  # operators inside a quoted literal are no statements
         for m in _TAG.finditer(text):
             self.pairs.append((m[1], [(m.start(2), m.end(2), True)]))
         return self
 
-    def value(self, at: int) -> tuple[list[tuple[int, int, bool]], int]:
-        """The literal pieces of the expression that begins at `at`, and where it ends."""
-        pieces: list[tuple[int, int, bool]] = []
+    def value(self, at: int) -> tuple[list, int, bool]:
+        """The pieces of the expression that begins at `at`, where it ends, and whether a literal in them is quoted."""
+        pieces: list = []
+        any_quoted = False
         while m := _VALUE.match(self.text, at):
             group = next(i for i in (1, 2, 3, 4) if m[i] is not None)
-            at = m.end()
             if group < 4:
+                at = m.end()
                 pieces.append((m.start(group), m.end(group), True))
-            elif (ref := _IDENT.match(m[4])) and ref[1] in self.constants:
-                pieces += self.constants[ref[1]]
-            elif self.text[at : at + 1] in ("(", "["):
-                return [], at  # a call or an index: no literal
+                any_quoted = True
             else:
-                pieces.append((m.start(4), m.end(4), False))
-            if not (more := _JOIN.match(self.text, at)) or len(pieces) >= 64:
+                start, at = m.start(4), self.bare_end(m.start(4))
+                ref = _IDENT.match(self.text, start, at) if at - start < 256 else None
+                if ref and ref[1] in self.constants:
+                    pieces.append(self.constants[ref[1]])
+                    any_quoted |= self.has_quoted[id(pieces[-1])]
+                elif self.text[at : at + 1] in ("(", "["):
+                    return [], at, False  # a call or an index: no literal
+                else:
+                    pieces.append((start, at, False))
+            if not (more := _JOIN.match(self.text, at)):
                 break
             at = more.end()
-        return pieces, at
+        self.has_quoted[id(pieces)] = any_quoted
+        self.made.append(pieces)
+        return pieces, at, any_quoted
+
+    def bare_end(self, at: int) -> int:
+        """Where the bare literal ends that begins at `at`; a run is read once, however many operators it holds."""
+        if not self.bare[0] <= at < self.bare[1]:
+            self.bare = (at, _BARE.match(self.text, at).end())
+        return self.bare[1]
+
+    def literal(self, start: int, end: int, quoted: bool) -> Value:
+        """A literal's value; of literals with one end only what lies before the last one is counted."""
+        at, counts = self.suffix.get(end, (end, Counter()))
+        if at < start:
+            at, counts = end, Counter()
+        counts = Counter(self.text[start:at]) + counts
+        self.suffix[end] = start, counts
+        return Value(counts, quoted, self.text[start : min(end, start + ENDS)], self.text[max(start, end - ENDS) : end])
+
+    def whole(self, pieces: list) -> Value:
+        """The value of joined pieces; that of each constant is put together once."""
+        todo = [pieces]
+        while todo:
+            now = todo[-1]
+            missing = [p for p in now if isinstance(p, list) and id(p) not in self.known]
+            if missing:
+                todo += missing
+                continue
+            todo.pop()
+            if id(now) not in self.known:
+                total = Value(Counter(), True, "", "")
+                for p in now:
+                    total += self.known[id(p)] if isinstance(p, list) else self.literal(*p)
+                self.known[id(now)] = total
+        return self.known[id(pieces)]
 
     def secrets(self, threshold: float = 0.5) -> list[tuple[int, int]]:
         """Spans of literals whose best score over the names they reach is at least the threshold."""
-        found = set()
-        for name, pieces in self.pairs:
+        found, seen = set(), set()
+        for name, pieces in reversed(self.pairs):
             weight = name_weight(name)
-            if weight < threshold:
+            if weight < threshold or weight * value_weight(self.whole(pieces)) < threshold:
                 continue
-            whole = "".join(self.text[a:b] for a, b, _ in pieces)
-            if weight * value_weight(whole, all(q for *_, q in pieces)) >= threshold:
-                found.update((a, b) for a, b, _ in pieces if b > a)
+            todo = [pieces]
+            while todo:
+                for p in todo.pop():
+                    if not isinstance(p, list):
+                        if p[1] > p[0]:
+                            found.add(p[:2])
+                    elif id(p) not in seen:
+                        seen.add(id(p))
+                        todo.append(p)
         return sorted(found)
 
 

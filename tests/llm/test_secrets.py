@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 
 import pytest
 
@@ -90,3 +91,30 @@ def test_redaction_and_edges(spark, edges, no_docs):
     assert secrets.scan(no_docs).count() == 0
     none = secrets.scan(edges).filter("doc_id = 1").first()
     assert none.base_sha256 == hashlib.sha256(b"").hexdigest() and none.spans == ""
+
+
+LETTERS = "Zx9vBn2LmQ8rTy5w"
+
+
+@pytest.mark.parametrize("form", ['client_credential = "{}"', "client_credential = '{}'", "client_credential := `{}`", "client_credential={}", "<accessKey>{}</accessKey>"])
+def test_long_literals_are_read_whole(form):
+    value = (LETTERS * 320)[:5000]
+    text = f"a\n{form.format(value)}\nb"
+    assert [text[a:b] for a, k, b in secrets.all_spans(text)[1] if k == 3] == [value]
+    assert LETTERS[:6] not in secrets.redact(text)
+
+
+def test_every_piece_of_a_concatenation():
+    pieces = [f"{LETTERS[i % 9 : i % 9 + 7]}{i:03d}" for i in range(100)]
+    at_once = "signing_key = " + " + ".join(f'"{p}"' for p in pieces)
+    by_lines = 'k = ""\n' + "\n".join(f'k = k + "{p}"' for p in pieces) + "\nsigning_key = k\n"
+    for text in (at_once, by_lines):
+        assert [text[a:b] for a, k, b in secrets.all_spans(text)[1] if k == 3] == pieces
+        assert not any(p in secrets.redact(text) for p in pieces)
+
+
+def test_long_runs_and_doublings_take_linear_time():
+    for text in ("auth_key=7" * 20_000, 'k = "Zx9vBn2"\n' + "k = k + k\n" * 200 + "signing_key = k", 'k = ""\n' + 'k = k + "Zx9v"\n' * 5_000 + "signing_key = k"):
+        start = time.monotonic()
+        assert secrets.Lexer(text).run().secrets()
+        assert time.monotonic() - start < 10
