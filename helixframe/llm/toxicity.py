@@ -6,9 +6,11 @@ marginal; a document's score is a logistic function of its expected number of to
 largest marginal, and words whose marginal reaches one half are its offending spans.
 
 Labelled tokens come from labelled documents: a word of a toxic document is labelled toxic if its
-form or a prefix of it is found in many toxic and hardly any other sampled documents; near copies
-of a document count once.  Learning uses a sample of about PER_CLASS documents of each label,
-chosen by a hash of the id; that bound and the model's size hold whatever the corpus's size.
+form or a prefix of it is found in many toxic and hardly any other labelled documents; near copies
+of a toxic document count once.  These are counted on the executors over all labelled documents
+outside the held-out fold, so that a language with few of them has its words too; whether a word is
+one of them is a feature.  The weights are fitted on a sample of about PER_CLASS documents of each
+label, chosen by a hash of the id; that bound holds whatever the corpus's size.
 
 Edge cases: null and empty texts score like a text without toxic words; with no toxic or no other
 label every document scores 0; null labels are ignored, and of several labels for one id the
@@ -20,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_TABLE, WordIds, append_columns, fold, held_out, kept_rows, sample_by_class, slices, utf8
+from .common import WORD_TABLE, WordIds, append_columns, discard, fold, held_out, kept_rows, materialise, sample_by_class, slices, utf8
 
 PER_CLASS = {1: 700, 0: 1400}
 TRAIN_MAX_CHARS = 100_000
@@ -37,6 +40,8 @@ BUCKETS = 1 << 15
 #: A seed feature's toxic documents, times the log odds of that class, must reach this (one in 10^7 by chance).
 SEED_EVIDENCE = 16.0
 SEED_RATIO = 20.0
+#: Features that a task counts, and words that it remembers, before it passes them on.
+COUNTED_FEATURES = 200_000
 
 FIELDS = T.StructType(
     [
@@ -68,6 +73,10 @@ def word_buckets(word: bytes) -> np.ndarray:
     return np.array([zlib.crc32(f.encode("utf-8", "replace")) % BUCKETS for f in named])
 
 
+def is_seed(word: bytes, seeds: set[str]) -> bool:
+    return any(f in seeds for f in word_features(word.decode("utf-8", "replace")))
+
+
 class Chains:
     """The chains of a run of texts: for each word its row and document, and the chains by length."""
 
@@ -127,12 +136,16 @@ class ToxicModel:
     """Weights of the field and of the document score."""
 
     def __init__(self) -> None:
-        self.theta = np.zeros(BUCKETS)
+        self.theta = np.zeros(BUCKETS + 1)  # the last one is that of seed words
+        self.seeds: set[str] = set()
         self.start, self.move = np.zeros(2), np.zeros((2, 2))
         self.head: np.ndarray | None = None  # weights of log expected count, logit of the largest marginal, and 1
 
     def emission(self, word: bytes) -> np.ndarray:
-        return np.array([self.theta[word_buckets(word)].sum()])
+        return np.array([self.theta[self.buckets(word)].sum()])
+
+    def buckets(self, word: bytes) -> np.ndarray:
+        return np.append(word_buckets(word), BUCKETS) if is_seed(word, self.seeds) else word_buckets(word)
 
     @staticmethod
     def summary(marginal: np.ndarray, docs: np.ndarray, n_docs: int) -> np.ndarray:
@@ -194,20 +207,82 @@ def seed_features(toxic: list[bytes], other: list[bytes]) -> set[str]:
     return {f for f, k in known.items() if good[k]}
 
 
-def fit(rows: list[tuple[bytes, int]], epochs: int = 60, rate: float = 0.3, decay: float = 1e-3) -> ToxicModel:
-    """The model of (text, label) rows; it stays without a head if a class or every seed is missing."""
+def count_seeds(labelled: DataFrame) -> set[str]:
+    """Seed features of all rows of a table of __t, a text, and __y, its label.
+
+    A task gives the features of each toxic document with the document's copy key, and adds up those
+    of its other documents, at most COUNTED_FEATURES at a time.  Only seeds reach the driver.
+    """
+
+    def run(batches):
+        features: dict[bytes, list[str]] = {}
+        misses: Counter = Counter()
+        schema = pa.schema([("feature", pa.string()), ("key", pa.int64()), ("n", pa.int64())])
+
+        def rows(names, keys, counts):
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], schema=schema)
+
+        for b in batches:
+            texts, labels = utf8(b.column(0)), b.column(1).to_pylist()
+            others = 0
+            for text, label in zip(texts, labels):
+                words = [w for w in tokens(text) if w and w != b"\n"]
+                if len(features) > COUNTED_FEATURES:
+                    features.clear()
+                found = set()
+                for w in set(words):
+                    if (named := features.get(w)) is None:
+                        features[w] = named = word_features(w.decode("utf-8", "replace"))
+                    found.update(named)
+                if label == 1:
+                    key = _copy_key(words)
+                    yield rows([*found, None], [key] * (len(found) + 1), [0] * (len(found) + 1))
+                else:
+                    others += 1
+                    misses.update(found)
+            if others:
+                yield rows([None], [None], [others])
+            if len(misses) > COUNTED_FEATURES:
+                yield rows(list(misses), [None] * len(misses), list(misses.values()))
+                misses.clear()
+        if misses:
+            yield rows(list(misses), [None] * len(misses), list(misses.values()))
+
+    counted = labelled.select("__t", "__y").mapInArrow(run, "feature string, key long, n long").groupBy("feature").agg(
+        F.countDistinct("key").alias("hits"), F.sum("n").alias("misses")
+    )
+    paths: list[str] = []
+    counted = materialise(counted, "tox-counts", paths)
+    total = counted.filter("feature is null").first()  # of documents
+    seeds: set[str] = set()
+    if total and total.hits and total.misses:
+        odds = math.log((total.hits + total.misses) / total.hits)
+        evident = F.col("hits") * odds >= SEED_EVIDENCE
+        rare = F.col("hits") / total.hits >= SEED_RATIO * (F.col("misses") + 0.5) / total.misses
+        seeds = {r[0] for r in counted.filter(F.col("feature").isNotNull() & evident & rare).select("feature").collect()}
+    discard(labelled.sparkSession, paths)
+    return seeds
+
+
+def fit(
+    rows: list[tuple[bytes, int]], epochs: int = 60, rate: float = 0.3, decay: float = 1e-3, seeds: set[str] | None = None
+) -> ToxicModel:
+    """The model of (text, label) rows, with the seeds given or those of the rows; it stays without a head if a class or
+    every seed is missing."""
     model = ToxicModel()
-    seeds = seed_features(*([t for t, y in rows if y == label] for label in (1, 0)))
-    if not seeds:
+    if seeds is None:
+        seeds = seed_features(*([t for t, y in rows if y == label] for label in (1, 0)))
+    if not seeds or len({y for _, y in rows}) < 2:
         return model
+    model.seeds = seeds
     vocabulary: dict[bytes, int] = {b"": 0, b"\n": 1}
     known = lambda ws: np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in ws), np.int32, len(ws))
     chains = _flat([t for t, _ in rows], known)
     forms = list(vocabulary)
-    seeded = np.array([any(f in seeds for f in word_features(w.decode("utf-8", "replace"))) for w in forms])
+    seeded = np.array([is_seed(w, seeds) for w in forms])
     label = np.array([y for _, y in rows])[chains.docs]
     gold = seeded[chains.words] & (label == 1)
-    buckets = [word_buckets(w).astype(np.int32) for w in forms]
+    buckets = [model.buckets(w).astype(np.int32) for w in forms]
     flat, owner = np.concatenate(buckets), np.repeat(np.arange(len(forms), dtype=np.int32), [len(b) for b in buckets])
     del buckets
     inner = np.flatnonzero(~chains.first)
@@ -222,7 +297,7 @@ def fit(rows: list[tuple[bytes, int]], epochs: int = 60, rate: float = 0.3, deca
         emission = word_score[chains.words]
         marginal, fwd, bwd = chains.marginals(emission, model.start, model.move)
         by_word = np.bincount(chains.words, marginal - gold, len(forms))
-        grads = [np.bincount(flat, by_word[owner], BUCKETS), None, chains.moves(emission, model.move, fwd, bwd) - had]
+        grads = [np.bincount(flat, by_word[owner], BUCKETS + 1), None, chains.moves(emission, model.move, fwd, bwd) - had]
         p1 = marginal[chains.first].sum()
         grads[1] = np.array([chains.first.sum() - p1, p1]) - begun
         for p, g, m, v in zip(params, grads, mean, square):
@@ -250,18 +325,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 30
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicModel:
-    """A model from the labelled documents outside the held-out fold, by way of a bounded sample."""
+    """A model from the labelled documents outside the held-out fold: seeds of all of them, weights of a bounded sample."""
     marked = (
         labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y"))
         .filter(F.col("__y").isin(0, 1) & (fold("__id") != 0)).groupBy("__id").agg(F.max("__y").alias("__y"))
     )
     parts = [sample_by_class(marked.filter(F.col("__y") == y), "__id", "__y", n) for y, n in PER_CLASS.items()]
     chosen = parts[0].unionByName(parts[1])
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).filter(
-        F.col("__t").isNotNull() & (F.length("__t") <= TRAIN_MAX_CHARS)
-    )
-    rows = texts.join(F.broadcast(chosen), "__id").select("__id", "__t", "__y").collect()
-    return fit([(r[1].encode("utf-8", "replace"), r[2]) for r in sorted(rows)])
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).filter(F.col("__t").isNotNull())
+    seeds = count_seeds(texts.join(marked, "__id"))
+    short = texts.filter(F.length("__t") <= TRAIN_MAX_CHARS)
+    rows = short.join(F.broadcast(chosen), "__id").select("__id", "__t", "__y").collect() if seeds else []
+    return fit([(r[1].encode("utf-8", "replace"), r[2]) for r in sorted(rows)], seeds=seeds)
 
 
 def score_documents(docs: DataFrame, model: ToxicModel, text_col: str = "text") -> DataFrame:

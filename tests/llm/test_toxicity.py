@@ -102,3 +102,21 @@ def test_edges_with_a_model(spark, edges):
     got = {r.doc_id: r for r in toxicity.score_documents(edges, model).collect()}
     assert all(0 <= r.score < 0.5 and r.predicted == 0 for r in got.values())
     assert got[1].score == got[2].score  # no words at all
+
+
+def test_recall_of_each_language(spark):
+    """A language with 2 % of the toxic documents, too few of which are sampled to show its words."""
+    rng = np.random.default_rng(8)
+    words = {"en": [f"word{i}" for i in range(300)], "xx": [f"palabra{i}" for i in range(300)]}
+    bad = {"en": ["scumbag", "vileone", "grubber"], "xx": ["zopenco", "mugroso", "canalla"]}
+    rows = []
+    for i in range(9000):
+        toxic, lang = int(i % 3 == 0), "xx" if i % 150 < 3 else "en"
+        text = list(rng.choice(words[lang], 12)) + (list(rng.choice(bad[lang], 2)) if toxic else [])
+        rows.append((i, " ".join(rng.permutation(text)), toxic, lang))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int, lang string")
+    got = toxicity.judge(frame.select("doc_id", "text"), frame.select("doc_id", "toxic")).join(frame.drop("text"), "doc_id")
+    held = got.filter("held_out").groupBy("lang", "toxic").agg(F.count("*").alias("n"), F.sum("predicted").alias("marked")).collect()
+    assert len(held) == 4
+    for r in held:
+        assert r.n >= 5 and r.marked == (r.n if r.toxic else 0), r
