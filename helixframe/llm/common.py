@@ -7,6 +7,7 @@ same name.  Null text counts as empty text unless an operator says otherwise.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,8 +18,10 @@ from pyspark.sql import types as T
 
 from helixframe.plans.tables import discard, fresh_path, materialise  # noqa: F401  for the operators
 
-#: Classes that a sample is drawn from, the most frequent ones.
-MAX_CLASSES = 1000
+#: Classes that a sample may be drawn from; the table of them is sent to every task.
+MAX_CLASSES = 100_000
+#: Characters of a training text at most; of a longer text a window at a hashed place is taken.
+WINDOW_CHARS = 20_000
 #: Rows of an Arrow batch that are scored together, so that arrays stay within a few tens of MB.
 SLICE_ROWS = 256
 SLICE_BYTES = 4 << 20
@@ -42,20 +45,50 @@ def held_out(id_col: str) -> Column:
 
 
 def sample_by_class(rows: DataFrame, id_col: str, class_col: str, per_class: int) -> DataFrame:
-    """About per_class rows of each of the MAX_CLASSES most frequent classes, chosen by a hash of the id.
+    """About per_class rows of each class, chosen by a hash of the id.
 
     One aggregation counts the classes; a row then stays if its hash falls under per_class / count.
     The expected size is per_class times the number of classes whatever the input's size, and the
-    rows are filtered where they are read, without a shuffle.
+    rows are filtered where they are read, without a shuffle.  More than MAX_CLASSES classes are an
+    error: such a column holds no labels, and none is dropped.
     """
     kind = rows.schema[class_col]
-    counts = rows.groupBy(class_col).agg(F.count("*").alias("__n")).orderBy(F.desc("__n"), class_col).limit(MAX_CLASSES).collect()
-    share = [(r[0], float(per_class) / r[1]) for r in counts]
+    counts = rows.groupBy(class_col).agg(F.count("*").alias("__n")).limit(MAX_CLASSES + 1).collect()
+    if len(counts) > MAX_CLASSES:
+        raise ValueError(f"{class_col} holds more than {MAX_CLASSES} classes")
+    share = sorted((r[0], float(per_class) / r[1]) for r in counts)
     small = rows.sparkSession.createDataFrame(share, T.StructType([kind, T.StructField("__share", T.DoubleType())]))
     unit = F.pmod(F.xxhash64(F.col(id_col), F.lit(20177)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return rows.join(F.broadcast(small), class_col).filter(unit < F.col("__share")).drop("__share")
 
 
+def window(text: str, key: str, chars: int = WINDOW_CHARS) -> Column:
+    """The text, or of a longer one `chars` characters from a place that a hash of the key gives."""
+    spare = F.greatest(F.length(text) - F.lit(chars - 1), F.lit(1))
+    return F.substr(F.col(text), F.pmod(F.xxhash64(key, F.lit(977)), spare.cast("long")).cast("int") + 1, F.lit(chars))
+
+
+def texts_of(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, class_col: str) -> DataFrame:
+    """__id, __t and the class of the chosen ids (a bounded table): one text an id, at most WINDOW_CHARS of it."""
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__t")).filter(F.col("__t").isNotNull())
+    found = texts.join(F.broadcast(chosen.select("__id", class_col)), "__id").withColumn("__t", window("__t", "__id"))
+    return found.groupBy("__id", class_col).agg(F.min("__t").alias("__t"))
+
+
+def fitted(sample: DataFrame, fit: Callable[[list[tuple]], object], columns: list[str]) -> object:
+    """What fit returns for a bounded sample's rows, in order of the columns; the rows meet in one executor's task.
+
+    Only the fitted object, pickled, reaches the driver.
+    """
+
+    def run(batches):
+        rows = sorted(r for b in batches for r in zip(*(utf8(c) if pa.types.is_string(c.type) else c.to_pylist() for c in b.columns)))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], names=["model"])
+
+    made = sample.select(columns).repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(made[0][0]) if made else fit([])
+
+
 # ----------------------------------------------------------------------------------------------
 # Arrow plumbing
 
@@ -114,34 +147,45 @@ def kept_rows(df: DataFrame, text_col: str, score: Callable[[DataFrame, str], Da
 
 
 class WordIds(dict):
-    """Word -> row of a growing table of vectors; unseen words are computed once and kept.
+    """Word -> row of a growing table of vectors; unseen words are numbered at once and computed together.
 
-    The table is bounded: at `limit` words it starts anew, and words over KEPT_BYTES are computed
-    each time, so a worker's memory follows neither the number nor the length of a corpus's words.
+    compute gives the vectors of a list of words.  The table is bounded: at `limit` words it starts
+    anew, and words over KEPT_BYTES are computed each time, so a worker's memory follows neither the
+    number nor the length of a corpus's words.
     """
 
     KEPT_BYTES = 64
 
-    def __init__(self, width: int, compute: Callable[[bytes], np.ndarray], limit: int = 250_000, dtype=np.float32):
+    def __init__(self, width: int, compute: Callable[[list[bytes]], np.ndarray], limit: int = 250_000, dtype=np.float32):
         super().__init__()
         self.width, self.compute, self.limit = width, compute, limit
-        self.rows = np.zeros((1024, width), dtype)
+        self.table = np.zeros((1024, width), dtype)
         self.n = 0
+        self.fresh: list[bytes] = []
 
     def __missing__(self, word: bytes) -> int:
-        if self.n == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[self.n] = self.compute(word)
         if len(word) <= self.KEPT_BYTES:
             self[word] = self.n
+        self.fresh.append(word)
         self.n += 1
         return self.n - 1
 
+    @property
+    def rows(self) -> np.ndarray:
+        if self.fresh:
+            if self.n > len(self.table):
+                grown = np.zeros((max(self.n, 2 * len(self.table)), self.width), self.table.dtype)
+                grown[: len(self.table)] = self.table
+                self.table = grown
+            self.table[self.n - len(self.fresh) : self.n] = np.asarray(self.compute(self.fresh)).reshape(-1, self.width)
+            self.fresh = []
+        return self.table
+
     def trim(self) -> None:
         """Call between texts: ids handed out before are void afterwards if the table was full."""
         if self.n >= self.limit:
             self.clear()
-            self.n = 0
+            self.n, self.fresh, self.table = 0, [], self.table[: min(len(self.table), 2 * self.limit)]
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int32, len(words))

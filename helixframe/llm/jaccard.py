@@ -79,8 +79,8 @@ def set_words(text: bytes) -> list[bytes]:
     return low.translate(WORD_TABLE).split()
 
 
-def _word_hash(word: bytes) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(word)], np.uint64)
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 class Shingler:
@@ -88,7 +88,7 @@ class Shingler:
 
     def __init__(self, n: int = WORDS):
         self.n = n
-        self.ids = WordIds(1, _word_hash, dtype=np.uint64)
+        self.ids = WordIds(1, _word_hashes, dtype=np.uint64)
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         self.ids.trim()

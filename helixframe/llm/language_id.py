@@ -5,9 +5,10 @@ n-grams, padded with word marks: the longest length of which any n-gram is known
 mean log frequency of the known n-grams is added.  The language of the largest sum wins; the score
 is its share after normalising the sums over the languages.
 
-Counts come from a sample of about `docs_per_lang` labelled documents a language, chosen by a
-hash of the id; at most `max_words` words, the most frequent of those seen twice, are kept.  Both bounds
-hold whatever the corpus's size.
+Counts come from a sample of about `docs_per_lang` labelled documents a language, chosen by a hash
+of the id, at most WINDOW_CHARS characters of each; of each language the `words_per_lang` most
+frequent words are kept, if they were seen twice.  These bounds hold whatever the corpus's size;
+every text is scored whole.
 
 Edge cases: null text, empty text and text without a letter get `und` and score 0, as does every
 text if nothing was learned; ties go to the language that sorts first; a document whose id is null
@@ -21,19 +22,17 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_TABLE, WordIds, append_columns, fold, held_out, materialise, sample_by_class, slices, utf8
+from .common import WORD_TABLE, WordIds, append_columns, discard, fold, held_out, materialise, sample_by_class, slices, utf8, window
 
 DOCS_PER_LANG = 1500
-MAX_WORDS = 60_000
+WORDS_PER_LANG = 20_000
 MAX_GRAM = 5
-#: Texts longer than this are not learned from (they are all scored whole).
-TRAIN_MAX_CHARS = 200_000
-#: A run of letters of more bytes counts as pieces of that length.
-MAX_WORD_BYTES = 100
+#: A run of more letters counts as pieces of that length.
+MAX_WORD_CHARS = 100
 SMOOTHING = 0.5
 
 #: Like common.WORD_TABLE, but digits are no part of a word either.
@@ -46,9 +45,10 @@ def words_of(text: bytes) -> list[bytes]:
     """Words of a text's UTF-8 bytes: runs of letters after lower-casing; other scripts' signs stay in."""
     low = text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode("utf-8")
     words = low.translate(LETTER_TABLE).split()
-    if max(map(len, words), default=0) <= MAX_WORD_BYTES:
+    if max(map(len, words), default=0) <= MAX_WORD_CHARS:
         return words
-    return [w[i : i + MAX_WORD_BYTES] for w in words for i in range(0, len(w), MAX_WORD_BYTES)]
+    long = (w.decode("utf-8", "replace") for w in words)
+    return [w[i : i + MAX_WORD_CHARS].encode("utf-8") for w in long for i in range(0, len(w), MAX_WORD_CHARS)]
 
 
 def has_letter(words: list[bytes]) -> bool:
@@ -105,29 +105,41 @@ class LanguageModel:
         for t in self.grams:
             t.close()
 
-    def vector(self, word: bytes) -> np.ndarray:
-        """What a word adds to each language's sum, less the best language's part."""
-        v = self.words.get(word)
-        if v is None:
-            for size in range(len(self.grams) - 1, 0, -1):
-                known = [g for g in map(self.grams[size].get, grams(word, size)) if g is not None]
-                if known:
-                    v = np.mean(known, axis=0)
-                    break
+    def vectors(self, words: list[bytes]) -> np.ndarray:
+        """What each word adds to each language's sum, less the best language's part; nothing if none of its n-grams is known."""
+        out = np.zeros((len(words), len(self.langs)), np.float32)
+        left = []
+        for i, word in enumerate(words):
+            if (at := self.words.number.get(word)) is None:
+                left.append((i, word))
             else:
-                return np.zeros(len(self.langs), np.float32)
-        return v - v.max()
+                out[i] = self.words.logs[at]
+        for size in range(len(self.grams) - 1, 0, -1):
+            get = self.grams[size].number.get
+            rows, flat, counts, unknown = [], [], [], []
+            for i, word in left:
+                if found := [k for k in map(get, grams(word, size)) if k is not None]:
+                    rows.append(i)
+                    flat += found
+                    counts.append(len(found))
+                else:
+                    unknown.append((i, word))
+            if rows:
+                starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+                out[rows] = np.add.reduceat(self.grams[size].logs[flat], starts, axis=0) / np.array(counts, np.float32)[:, None]
+            left = unknown
+        return out - out.max(axis=1, keepdims=True) if self.langs else out
 
 
 def fit(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    docs_per_lang: int = DOCS_PER_LANG, max_words: int = MAX_WORDS,
+    docs_per_lang: int = DOCS_PER_LANG, words_per_lang: int = WORDS_PER_LANG,
 ) -> LanguageModel:
     """A model from the labelled rows of docs; the counts are summed on the executors."""
     labelled = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).filter(
-        (F.coalesce(F.length("t"), F.lit(0)) > 0) & (F.length("t") <= TRAIN_MAX_CHARS) & F.col("l").isNotNull()
+        (F.coalesce(F.length("t"), F.lit(0)) > 0) & F.col("l").isNotNull()
     )
-    chosen = sample_by_class(labelled, "i", "l", docs_per_lang)
+    chosen = sample_by_class(labelled, "i", "l", docs_per_lang).withColumn("t", window("t", "i"))
 
     def count(batches):
         for b in batches:
@@ -145,14 +157,15 @@ def fit(
             )
 
     counted = chosen.select("t", "l").mapInArrow(count, "word binary, lang string, n long")
-    by_word = (
-        counted.groupBy("word", "lang").agg(F.sum("n").alias("n"))
-        .groupBy("word").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
-        .filter("total > 1").orderBy(F.desc("total"), "word").limit(max_words)
-    )
-    # Written first, so that the best words are merged on the executors and no more than max_words rows come here.
-    rows = materialise(by_word, "language-words").collect()
-    return LanguageModel([(bytes(r.word), x.lang, x.n) for r in sorted(rows) for x in r.by])
+    # Written first, so that the words are chosen on the executors and only the kept ones come here.
+    paths: list[str] = []
+    counted = materialise(counted.groupBy("word", "lang").agg(F.sum("n").alias("n")), "language-words", paths)
+    twice = counted.groupBy("word").agg(F.sum("n").alias("total")).filter("total > 1").select("word")
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    best = counted.join(twice, "word").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= words_per_lang)
+    rows = counted.join(best.select("word").distinct(), "word").select("word", "lang", "n").collect()
+    discard(docs.sparkSession, paths)
+    return LanguageModel([(bytes(r.word), r.lang, r.n) for r in sorted(rows)])
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
@@ -162,7 +175,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
     def scorer():
         model = shared.value
         width = max(1, len(model.langs))
-        ids = WordIds(width, model.vector)
+        ids = WordIds(width, model.vectors)
 
         def score(column: pa.Array) -> list[pa.Array]:
             texts = [t or b"" for t in utf8(column)]

@@ -7,18 +7,22 @@ least squares from rates of one: an iteration sums K totals over all documents a
 document's rate by its posterior times the K residuals, cut at zero.  Only these K sums meet on the
 driver; a document's rate is a function of its posterior and of the residuals so far.
 
-Learning uses a sample of about DOCS_PER_DOMAIN documents a domain, chosen by a hash of the id;
-the sums and rates cover every document.
+Learning uses a sample of about DOCS_PER_DOMAIN documents a domain, chosen by a hash of the id, and
+at most WINDOW_CHARS characters of each; one executor's task fits it.  The sums and rates cover
+every document.  If the targets cannot be met, the fit ends when it no longer gains, and a warning
+names the shares reached.
 
 Edge cases: null and empty texts have no tokens, a posterior like any other text, and a rate, but
 weigh nothing; unlabelled documents are mixed like labelled ones; null labels or domains are ignored
 and of several for one id the largest counts; a domain without labelled documents cannot be
-predicted, its target is dropped and the other targets are rescaled; if nothing is labelled every
-rate is one; repeated rows get equal rates.
+predicted, its target is dropped and the other targets are rescaled; a domain without a target
+keeps its share; if nothing is labelled every rate is one; repeated rows get equal rates; of several
+texts for one id the least in byte order is learned from.
 """
 
 from __future__ import annotations
 
+import logging
 import zlib
 from dataclasses import dataclass, field
 from functools import reduce
@@ -29,16 +33,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_TABLE, WordIds, append_columns, fold, materialise, sample_by_class, slices, utf8
+from .common import WORD_TABLE, WordIds, append_columns, discard, fitted, fold, materialise, sample_by_class, slices, texts_of, utf8
 
 DOCS_PER_DOMAIN = 400
-TRAIN_MAX_CHARS = 100_000
 LEXICAL, SHAPES = 512, 24
 DENSE = 5
-#: Iterations of the fit at most, those whose rates are recomputed in one expression, and the error to stop at.
-MAX_STEPS, CHAIN_STEPS, TOLERANCE = 60, 10, 1e-4
+#: Iterations of the fit at most, those whose rates are recomputed in one expression, those without a gain of a
+#: hundredth after which targets count as out of reach, and the error to stop at.
+MAX_STEPS, CHAIN_STEPS, STALL, TOLERANCE = 500, 10, 20, 1e-4
 #: A domain's weight in the least squares is one over its share, of at least this.
-LEAST_SHARE = 1e-3
+LEAST_SHARE = 1e-9
+
+_LOG = logging.getLogger(__name__)
 
 # ----------------------------------------------------------------------------------------------
 # Classifier
@@ -48,14 +54,17 @@ def _shape(token: bytes) -> int:
     """Coarse form of a token: letters' case, digits, and what is around them."""
     core = token.strip(b".,;:!?")
     marks = len(token) - len(token.rstrip(b"!?*$%&#"))
-    text = core.decode("utf-8", "replace")
-    case = 0 if not any(c.isalpha() for c in text) else 1 if text.islower() else 2 if text.isupper() and len(text) > 1 else 3
-    return (case * 3 + min(marks, 2)) * 2 + any(c.isdigit() for c in text)
+    text = core if core.isascii() else core.decode("utf-8", "replace")
+    letters = text.lower() != text.upper() if core.isascii() else any(c.isalpha() for c in text)
+    case = 0 if not letters else 1 if text.islower() else 2 if text.isupper() and len(text) > 1 else 3
+    digits = core.translate(None, b"0123456789") != core if core.isascii() else any(c.isdigit() for c in text)
+    return (case * 3 + min(marks, 2)) * 2 + digits
 
 
-def _token_buckets(token: bytes) -> np.ndarray:
-    low = token.decode("utf-8", "replace").lower().encode("utf-8").translate(WORD_TABLE).strip()
-    return np.array([zlib.crc32(low) % LEXICAL, LEXICAL + _shape(token)], np.float32)
+def _token_buckets(tokens: list[bytes]) -> np.ndarray:
+    """For each token the bucket of its lower-cased word, and that of its shape."""
+    low = [t.lower() if t.isascii() else t.decode("utf-8", "replace").lower().encode("utf-8") for t in tokens]
+    return np.array([(zlib.crc32(w.translate(WORD_TABLE).strip()) % LEXICAL, LEXICAL + _shape(t)) for w, t in zip(low, tokens)])
 
 
 class Features:
@@ -64,7 +73,7 @@ class Features:
     width = LEXICAL + SHAPES + DENSE
 
     def __init__(self) -> None:
-        self.ids = WordIds(2, _token_buckets)
+        self.ids = WordIds(2, _token_buckets, dtype=np.int64)
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The rows and the number of tokens of each text."""
@@ -73,7 +82,7 @@ class Features:
         n = np.array([len(e) for e in each])
         flat = np.concatenate(each) if each else np.zeros(0, np.int32)
         owner = np.repeat(np.arange(len(texts)), n)
-        pairs = self.ids.rows[flat].astype(np.int64)
+        pairs = self.ids.rows[flat]
         hist = np.bincount((owner[:, None] * self.width + pairs).ravel(), minlength=len(texts) * self.width)
         x = np.sqrt(hist.reshape(len(texts), -1) / np.maximum(1, n)[:, None])
         same = np.bincount(owner[1:][(flat[1:] == flat[:-1]) & (owner[1:] == owner[:-1])], minlength=len(texts))
@@ -137,12 +146,8 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
         labelled.select(F.col(id_col).alias("__id"), F.col(domain_col).cast("string").alias("__d"))
         .filter(F.col("__d").isNotNull() & (fold("__id") != 0)).groupBy("__id").agg(F.max("__d").alias("__d"))
     )
-    chosen = sample_by_class(marked, "__id", "__d", DOCS_PER_DOMAIN)
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).filter(
-        F.col("__t").isNotNull() & (F.length("__t") <= TRAIN_MAX_CHARS)
-    )
-    rows = texts.join(F.broadcast(chosen), "__id").select("__id", "__t", "__d").collect()
-    return fit_domains([(r[1].encode("utf-8", "replace"), r[2]) for r in sorted(rows)])
+    sample = texts_of(docs, sample_by_class(marked, "__id", "__d", DOCS_PER_DOMAIN), id_col, text_col, "__d")
+    return fitted(sample, lambda rows: fit_domains([(t, d.decode("utf-8", "replace")) for _, t, d in rows]), ["__id", "__t", "__d"])
 
 
 def posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text") -> DataFrame:
@@ -185,7 +190,8 @@ def _stepped(rate: Column, residuals: list[np.ndarray], k: int) -> Column:
 def fit_rates(rows: DataFrame, targets: np.ndarray, max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE) -> tuple[DataFrame, dict]:
     """rows with `rate`, and the fit's report.
 
-    rows: n_tokens and p0..pK-1, one row a document; targets: K shares of all tokens.
+    rows: n_tokens and p0..pK-1, one row a document; targets: K shares of all tokens, of which those that
+    are NaN stand for the share that the domain has, and the others are scaled to what these leave.
     Every CHAIN_STEPS steps the rates are written out, so that no expression grows with the steps.
     """
     k = len(targets)
@@ -194,28 +200,36 @@ def fit_rates(rows: DataFrame, targets: np.ndarray, max_steps: int = MAX_STEPS,
     sums = [F.sum(tokens)] + [F.sum(tokens * post[i] * post[j]) for i in range(k) for j in range(i, k)]
     first = rows.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()
     total = first[0] or 0.0
-    report = {"steps": 0, "error": None, "tokens": total}
+    report = {"steps": 0, "error": None, "tokens": total, "met": True}
     if not total or not k:
         return rows.withColumn("rate", F.lit(1.0)), report
     gram = np.zeros((k, k))
     gram[np.triu_indices(k)] = np.array(first[1:], float) / total
     gram = gram + np.triu(gram, 1).T
-    weight = 1 / np.maximum(gram.sum(axis=1), LEAST_SHARE)
+    share, kept = gram.sum(axis=1), np.isnan(targets)
+    rest, wanted = 1 - share[kept].sum(), np.where(kept, 0, targets)
+    targets = np.where(kept, share, wanted / wanted.sum() * rest if wanted.sum() else 0)
+    weight = 1 / np.maximum(share, LEAST_SHARE)
     root = np.sqrt(weight)
     step = 1 / np.linalg.eigvalsh(root[:, None] * gram * root)[-1]
     base, pending = rows.withColumn("rate", F.lit(1.0)), []
+    written: list[str] = []
+    best, stalled = np.inf, 0
     while True:
         rate = _stepped(F.col("rate"), pending, k)
         had = base.agg(*[F.sum(tokens * p * rate).alias(f"s{j}") for j, p in enumerate(post)]).first()
         residual = np.array(had, float) / total - targets
-        report["error"] = float(np.abs(residual).max())
-        report["shares"] = (residual + targets).tolist()
-        if report["error"] < tolerance or report["steps"] >= max_steps:
+        error = float(np.abs(residual).max())
+        best, stalled = (error, 0) if error < 0.99 * best else (best, stalled + 1)
+        if error < tolerance or stalled >= STALL or report["steps"] >= max_steps:
+            report |= {"error": error, "shares": (residual + targets).tolist(), "targets": targets.tolist(), "met": error < tolerance}
             return base.withColumn("rate", rate), report
         pending.append(step * weight * residual)
         report["steps"] += 1
         if len(pending) == CHAIN_STEPS:
-            base, pending = materialise(base.withColumn("rate", _stepped(F.col("rate"), pending, k)), "mix-rates"), []
+            before, written = written, []
+            base, pending = materialise(base.withColumn("rate", _stepped(F.col("rate"), pending, k)), "mix-rates", written), []
+            discard(rows.sparkSession, before)
 
 
 def mix(
@@ -230,8 +244,10 @@ def mix(
     k = len(model.domains)
     columns = [F.col("posterior")[j].alias(f"p{j}") for j in range(k)]
     scored = materialise(posteriors(rows, model, "__text").select(id_col, "n_tokens", *columns), "mix-posteriors")
-    wanted = np.array([float(targets.get(d, 0.0)) for d in model.domains])
-    rated, _ = fit_rates(scored, wanted / wanted.sum() if wanted.sum() else np.full(k, 1 / max(1, k)))
+    rated, report = fit_rates(scored, np.array([float(targets.get(d, np.nan)) for d in model.domains]))
+    if not report["met"]:
+        reached = ", ".join(f"{d} {a:.4f} of {b:.4f}" for d, a, b in zip(model.domains, report["shares"], report["targets"]))
+        _LOG.warning("targets are not met after %d steps: %s", report["steps"], reached)
     best = F.lit(None).cast("string")
     if k:
         top = F.greatest(*[F.col(f"p{j}") for j in range(k)]) if k > 1 else F.col("p0")

@@ -1,20 +1,23 @@
 """Toxic spans by a linear-chain conditional random field, document scores from its marginals.
 
 A chain is a sentence, cut every CHAIN_WORDS words.  Its labels are toxic and other; a word's
-features are its hashed form, prefixes and last letters.  Forward-backward gives each word's
-marginal; a document's score is a logistic function of its expected number of toxic words and of its
-largest marginal, and words whose marginal reaches one half are its offending spans.
+features are its hashed form, prefixes and last letters, and the forms of the words beside it.
+Forward-backward gives each word's marginal; a document's score is a logistic function of its
+expected number of toxic words and of its largest marginal, and words whose marginal reaches one
+half are its offending spans.
 
 Labelled tokens come from labelled documents: a word of a toxic document is labelled toxic if its
-form or a prefix of it is found in many toxic and hardly any other labelled documents; near copies
-of a toxic document count once.  These are counted on the executors over all labelled documents
-outside the held-out fold, so that a language with few of them has its words too; whether a word is
-one of them is a feature.  The weights are fitted on a sample of about PER_CLASS documents of each
-label, chosen by a hash of the id; that bound holds whatever the corpus's size.
+form or a prefix of it is a seed, found in many toxic and hardly any other labelled documents; near
+copies of a toxic document count once.  How many are enough follows from how many features there are
+to choose from, and if none is enough the best ones are taken.  Seeds are counted on the executors
+over whole texts of about SEED_DOCS labelled documents, the weights are fitted by one executor's
+task on about FIT_DOCS of them, at most WINDOW_CHARS characters of each.  All are chosen by a hash of
+the id from outside the held-out fold; these bounds hold whatever the corpus's size.
 
 Edge cases: null and empty texts score like a text without toxic words; with no toxic or no other
-label every document scores 0; null labels are ignored, and of several labels for one id the
-largest counts; a null id is not held out and not learned from; repeated rows score alike.
+label, or no word that tells them apart, every document scores 0; null labels are ignored, and of
+several labels for one id the largest counts; of several texts for one id the least in byte order is
+fitted; a null id is not held out and not learned from; repeated rows score alike.
 """
 
 from __future__ import annotations
@@ -31,14 +34,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_TABLE, WordIds, append_columns, discard, fold, held_out, kept_rows, materialise, sample_by_class, slices, utf8
+from .common import WORD_TABLE, WordIds, append_columns, discard, fitted, fold, held_out, kept_rows, materialise, sample_by_class, slices, texts_of, utf8
 
-PER_CLASS = {1: 700, 0: 1400}
-TRAIN_MAX_CHARS = 100_000
+#: Labelled documents by label, about so many: those in which seeds are counted, and those on which weights are fitted.
+SEED_DOCS = {1: 8000, 0: 16_000}
+FIT_DOCS = {1: 1000, 0: 2000}
 CHAIN_WORDS = 128
-BUCKETS = 1 << 15
-#: A seed feature's toxic documents, times the log odds of that class, must reach this (one in 10^7 by chance).
-SEED_EVIDENCE = 16.0
+BUCKETS, NEAR = 1 << 15, 1 << 13
+#: A seed's toxic documents, times the log odds of that class, exceed the log of the number of features by this: that
+#: any feature does so by chance has a probability of about exp(-SEED_MARGIN).
+SEED_MARGIN = 4.0
 SEED_RATIO = 20.0
 #: Features that a task counts, and words that it remembers, before it passes them on.
 COUNTED_FEATURES = 200_000
@@ -63,18 +68,28 @@ def tokens(text: bytes) -> list[bytes]:
     return low.translate(_TABLE).replace(b"\n", b" \n ").split(b" ")
 
 
-def word_features(word: str) -> list[str]:
-    return ["w" + word] + [f"p{word[:k]}" for k in (3, 4, 5, 6) if len(word) > k]
+def _cuts(word: bytes) -> tuple[list[bytes], bytes]:
+    """The word's prefixes of 3 to 6 characters, and its last 3."""
+    if word.isascii():
+        return [word[:k] for k in (3, 4, 5, 6) if len(word) > k], word[-3:]
+    text = word.decode("utf-8", "replace")
+    return [text[:k].encode() for k in (3, 4, 5, 6) if len(text) > k], text[-3:].encode()
 
 
-def word_buckets(word: bytes) -> np.ndarray:
-    text = word.decode("utf-8", "replace")
-    named = word_features(text) + ["s" + text[-3:], "b"]
-    return np.array([zlib.crc32(f.encode("utf-8", "replace")) % BUCKETS for f in named])
+def word_features(word: bytes) -> list[bytes]:
+    return [b"w" + word, *(b"p" + c for c in _cuts(word)[0])]
+
 
+def word_buckets(word: bytes, seeds: set[bytes]) -> list[int]:
+    """The word's own features; the bucket after the last hashed one is that of seeds."""
+    cuts, last = _cuts(word)
+    named = [b"w" + word, *(b"p" + c for c in cuts)]
+    found = [zlib.crc32(f) % BUCKETS for f in (*named, b"s" + last, b"b")]
+    return found if seeds.isdisjoint(named) else [*found, BUCKETS]
 
-def is_seed(word: bytes, seeds: set[str]) -> bool:
-    return any(f in seeds for f in word_features(word.decode("utf-8", "replace")))
+
+def near_bucket(word: bytes) -> int:
+    return zlib.crc32(word) % NEAR
 
 
 class Chains:
@@ -123,6 +138,13 @@ class Chains:
         up = fwd * bwd
         return up / (up + (1 - fwd) * (1 - bwd)), fwd, bwd
 
+    def emission(self, own: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Each word's log weight: its own, and what the word before (left) and after it (right) adds."""
+        total, inner = own.astype(np.float64), np.flatnonzero(~self.first)
+        total[inner] += left[inner - 1]
+        total[inner - 1] += right[inner]
+        return total
+
     def moves(self, emission: np.ndarray, move: np.ndarray, fwd: np.ndarray, bwd: np.ndarray) -> np.ndarray:
         """Expected number of each pair of adjacent labels."""
         i = np.flatnonzero(~self.first)
@@ -137,15 +159,17 @@ class ToxicModel:
 
     def __init__(self) -> None:
         self.theta = np.zeros(BUCKETS + 1)  # the last one is that of seed words
-        self.seeds: set[str] = set()
+        self.near = np.zeros((2, NEAR))  # what a word adds to the one after it, and to the one before it
+        self.seeds: set[bytes] = set()
         self.start, self.move = np.zeros(2), np.zeros((2, 2))
         self.head: np.ndarray | None = None  # weights of log expected count, logit of the largest marginal, and 1
 
-    def emission(self, word: bytes) -> np.ndarray:
-        return np.array([self.theta[self.buckets(word)].sum()])
-
-    def buckets(self, word: bytes) -> np.ndarray:
-        return np.append(word_buckets(word), BUCKETS) if is_seed(word, self.seeds) else word_buckets(word)
+    def vectors(self, words: list[bytes]) -> np.ndarray:
+        """For each word its own log weight and those that it adds to its neighbours."""
+        each = [word_buckets(w, self.seeds) for w in words]
+        starts = np.concatenate([[0], np.cumsum([len(e) for e in each])[:-1]])
+        own = np.add.reduceat(self.theta[[k for e in each for k in e]], starts)
+        return np.column_stack([own, *self.near[:, [near_bucket(w) for w in words]]])
 
     @staticmethod
     def summary(marginal: np.ndarray, docs: np.ndarray, n_docs: int) -> np.ndarray:
@@ -171,43 +195,12 @@ def _copy_key(words: list[bytes]) -> int:
     return min((zlib.crc32(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))), default=0)
 
 
-def _document_features(texts: list[bytes], known: dict[str, int], grow: bool) -> tuple[np.ndarray, int]:
-    """How many of the texts, near copies taken together, hold each known feature; and how many such texts there are.
+def enough(features: int) -> float:
+    """The evidence that a seed must have, where there are so many features to choose from."""
+    return math.log(max(1, features)) + SEED_MARGIN
 
-    Only pairs of numbers are held, never sets of strings; with grow, new features become known.
-    """
-    group: dict[int, int] = {}
-    of_word: dict[bytes, np.ndarray] = {}
-    pairs = []
-    for text in texts:
-        words = [w for w in tokens(text) if w and w != b"\n"]
-        doc = group.setdefault(_copy_key(words), len(group))
-        found = []
-        for w in set(words):
-            if (ids := of_word.get(w)) is None:
-                named = word_features(w.decode("utf-8", "replace"))
-                ids = [known.setdefault(f, len(known)) for f in named] if grow else [known[f] for f in named if f in known]
-                of_word[w] = ids = np.array(ids, np.int64)
-            found.append(ids)
-        if found:
-            pairs.append(np.unique(np.concatenate(found)) + (doc << 32))
-    held = np.unique(np.concatenate(pairs)) & 0xFFFFFFFF if pairs else np.zeros(0, np.int64)
-    return np.bincount(held, minlength=len(known)), len(group)
-
-
-def seed_features(toxic: list[bytes], other: list[bytes]) -> set[str]:
-    """Features found in many toxic documents and hardly any other; near copies count once."""
-    if not toxic or not other:
-        return set()
-    known: dict[str, int] = {}
-    hits, n_toxic = _document_features(toxic, known, grow=True)
-    misses, n_other = _document_features(other, known, grow=False)
-    odds = math.log((n_toxic + n_other) / n_toxic)
-    good = (hits * odds >= SEED_EVIDENCE) & (hits / n_toxic >= SEED_RATIO * (misses + 0.5) / n_other)
-    return {f for f, k in known.items() if good[k]}
-
-
-def count_seeds(labelled: DataFrame) -> set[str]:
+
+def count_seeds(labelled: DataFrame) -> set[bytes]:
     """Seed features of all rows of a table of __t, a text, and __y, its label.
 
     A task gives the features of each toxic document with the document's copy key, and adds up those
@@ -215,12 +208,12 @@ def count_seeds(labelled: DataFrame) -> set[str]:
     """
 
     def run(batches):
-        features: dict[bytes, list[str]] = {}
+        features: dict[bytes, list[bytes]] = {}
         misses: Counter = Counter()
-        schema = pa.schema([("feature", pa.string()), ("key", pa.int64()), ("n", pa.int64())])
+        schema = pa.schema([("feature", pa.binary()), ("key", pa.int64()), ("n", pa.int64())])
 
         def rows(names, keys, counts):
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], schema=schema)
 
         for b in batches:
             texts, labels = utf8(b.column(0)), b.column(1).to_pylist()
@@ -232,7 +225,7 @@ def count_seeds(labelled: DataFrame) -> set[str]:
                 found = set()
                 for w in set(words):
                     if (named := features.get(w)) is None:
-                        features[w] = named = word_features(w.decode("utf-8", "replace"))
+                        features[w] = named = word_features(w)
                     found.update(named)
                 if label == 1:
                     key = _copy_key(words)
@@ -248,30 +241,30 @@ def count_seeds(labelled: DataFrame) -> set[str]:
         if misses:
             yield rows(list(misses), [None] * len(misses), list(misses.values()))
 
-    counted = labelled.select("__t", "__y").mapInArrow(run, "feature string, key long, n long").groupBy("feature").agg(
+    counted = labelled.select("__t", "__y").mapInArrow(run, "feature binary, key long, n long").groupBy("feature").agg(
         F.countDistinct("key").alias("hits"), F.sum("n").alias("misses")
     )
     paths: list[str] = []
     counted = materialise(counted, "tox-counts", paths)
-    total = counted.filter("feature is null").first()  # of documents
-    seeds: set[str] = set()
-    if total and total.hits and total.misses:
-        odds = math.log((total.hits + total.misses) / total.hits)
-        evident = F.col("hits") * odds >= SEED_EVIDENCE
-        rare = F.col("hits") / total.hits >= SEED_RATIO * (F.col("misses") + 0.5) / total.misses
-        seeds = {r[0] for r in counted.filter(F.col("feature").isNotNull() & evident & rare).select("feature").collect()}
+    is_total = F.col("feature").isNull()
+    toxic, other, features = counted.agg(  # documents of each label, and features of toxic ones
+        F.sum(F.when(is_total, F.col("hits"))), F.sum(F.when(is_total, F.col("misses"))), F.count(F.when(~is_total & (F.col("hits") > 0), 1))
+    ).first()
+    seeds: set[bytes] = set()
+    if toxic and other:
+        rare = F.col("hits") / toxic >= SEED_RATIO * (F.col("misses") + 0.5) / other
+        good = counted.filter(~is_total & rare)
+        best = good.agg(F.max("hits")).first()[0] or 0
+        least = min(enough(features) / math.log((toxic + other) / toxic), best)
+        if best > 1:
+            seeds = {bytes(r[0]) for r in good.filter(F.col("hits") >= least).select("feature").collect()}
     discard(labelled.sparkSession, paths)
     return seeds
 
 
-def fit(
-    rows: list[tuple[bytes, int]], epochs: int = 60, rate: float = 0.3, decay: float = 1e-3, seeds: set[str] | None = None
-) -> ToxicModel:
-    """The model of (text, label) rows, with the seeds given or those of the rows; it stays without a head if a class or
-    every seed is missing."""
+def fit(rows: list[tuple[bytes, int]], seeds: set[bytes], epochs: int = 60, rate: float = 0.3, decay: float = 1e-3) -> ToxicModel:
+    """The model of (text, label) rows with the seeds given; it stays without a head if a class or every seed is missing."""
     model = ToxicModel()
-    if seeds is None:
-        seeds = seed_features(*([t for t, y in rows if y == label] for label in (1, 0)))
     if not seeds or len({y for _, y in rows}) < 2:
         return model
     model.seeds = seeds
@@ -279,27 +272,37 @@ def fit(
     known = lambda ws: np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in ws), np.int32, len(ws))
     chains = _flat([t for t, _ in rows], known)
     forms = list(vocabulary)
-    seeded = np.array([is_seed(w, seeds) for w in forms])
+    buckets = [word_buckets(w, seeds) for w in forms]
     label = np.array([y for _, y in rows])[chains.docs]
-    gold = seeded[chains.words] & (label == 1)
-    buckets = [model.buckets(w).astype(np.int32) for w in forms]
-    flat, owner = np.concatenate(buckets), np.repeat(np.arange(len(forms), dtype=np.int32), [len(b) for b in buckets])
+    gold = np.array([b[-1] == BUCKETS for b in buckets])[chains.words] & (label == 1)
+    flat = np.fromiter((k for b in buckets for k in b), np.int32)
+    owner = np.repeat(np.arange(len(forms), dtype=np.int32), [len(b) for b in buckets])
+    beside = np.fromiter(map(near_bucket, forms), np.int32, len(forms))[chains.words]
     del buckets
     inner = np.flatnonzero(~chains.first)
     had = np.zeros((2, 2))
     np.add.at(had, (gold[inner - 1].astype(int), gold[inner].astype(int)), 1)
     begun = np.bincount(gold[chains.first].astype(int), minlength=2)
-    params = [model.theta, model.start, model.move]
+    params = [model.theta, model.near, model.start, model.move]
     mean, square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     scale = 1 / max(1, gold.sum())
+
+    def emission() -> np.ndarray:
+        own = np.bincount(owner, model.theta[flat], len(forms))
+        return chains.emission(own[chains.words], model.near[0][beside], model.near[1][beside])
+
     for step in range(1, epochs + 1):
-        word_score = np.bincount(owner, model.theta[flat], len(forms))
-        emission = word_score[chains.words]
-        marginal, fwd, bwd = chains.marginals(emission, model.start, model.move)
-        by_word = np.bincount(chains.words, marginal - gold, len(forms))
-        grads = [np.bincount(flat, by_word[owner], BUCKETS + 1), None, chains.moves(emission, model.move, fwd, bwd) - had]
+        weights = emission()
+        marginal, fwd, bwd = chains.marginals(weights, model.start, model.move)
+        error = marginal - gold
+        by_word = np.bincount(chains.words, error, len(forms))
         p1 = marginal[chains.first].sum()
-        grads[1] = np.array([chains.first.sum() - p1, p1]) - begun
+        grads = [
+            np.bincount(flat, by_word[owner], BUCKETS + 1),
+            np.stack([np.bincount(beside[inner - 1], error[inner], NEAR), np.bincount(beside[inner], error[inner - 1], NEAR)]),
+            np.array([chains.first.sum() - p1, p1]) - begun,
+            chains.moves(weights, model.move, fwd, bwd) - had,
+        ]
         for p, g, m, v in zip(params, grads, mean, square):
             g = g * scale + decay * p
             m *= 0.9
@@ -307,8 +310,7 @@ def fit(
             v *= 0.99
             v += 0.01 * g * g
             p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-    word_score = np.bincount(owner, model.theta[flat], len(forms))
-    marginal, _, _ = chains.marginals(word_score[chains.words], model.start, model.move)
+    marginal, _, _ = chains.marginals(emission(), model.start, model.move)
     x = model.summary(marginal, chains.docs, len(rows))
     model.head = _logistic(x, np.array([float(y) for _, y in rows]))
     return model
@@ -325,18 +327,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 30
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicModel:
-    """A model from the labelled documents outside the held-out fold: seeds of all of them, weights of a bounded sample."""
+    """A model from bounded samples of the labelled documents outside the held-out fold."""
     marked = (
         labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y"))
         .filter(F.col("__y").isin(0, 1) & (fold("__id") != 0)).groupBy("__id").agg(F.max("__y").alias("__y"))
     )
-    parts = [sample_by_class(marked.filter(F.col("__y") == y), "__id", "__y", n) for y, n in PER_CLASS.items()]
-    chosen = parts[0].unionByName(parts[1])
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).filter(F.col("__t").isNotNull())
-    seeds = count_seeds(texts.join(marked, "__id"))
-    short = texts.filter(F.length("__t") <= TRAIN_MAX_CHARS)
-    rows = short.join(F.broadcast(chosen), "__id").select("__id", "__t", "__y").collect() if seeds else []
-    return fit([(r[1].encode("utf-8", "replace"), r[2]) for r in sorted(rows)], seeds=seeds)
+
+    def chosen(sizes: dict[int, int]) -> DataFrame:
+        parts = [sample_by_class(marked.filter(F.col("__y") == y), "__id", "__y", n) for y, n in sizes.items()]
+        return parts[0].unionByName(parts[1])
+
+    whole = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__t")).filter(F.col("__t").isNotNull())
+    seeds = count_seeds(whole.join(F.broadcast(chosen(SEED_DOCS)), "__id"))
+    if not seeds:
+        return ToxicModel()
+    sample = texts_of(docs, chosen(FIT_DOCS), id_col, text_col, "__y")
+    return fitted(sample, lambda rows: fit([(t, y) for _, t, y in rows], seeds), ["__id", "__t", "__y"])
 
 
 def score_documents(docs: DataFrame, model: ToxicModel, text_col: str = "text") -> DataFrame:
@@ -345,7 +351,7 @@ def score_documents(docs: DataFrame, model: ToxicModel, text_col: str = "text")
 
     def scorer():
         model = shared.value
-        cache = WordIds(1, model.emission)
+        cache = WordIds(3, model.vectors)
 
         def ids(ws: list[bytes]) -> np.ndarray:
             return cache.ids(ws)
@@ -362,7 +368,7 @@ def score_documents(docs: DataFrame, model: ToxicModel, text_col: str = "text")
                     for mark in (b"", b"\n"):
                         cache[mark]  # rows 0 and 1, as Chains expects
                 chains = _flat(texts[lo:hi], ids)
-                emission = cache.rows[chains.words, 0].astype(np.float64)
+                emission = chains.emission(*cache.rows[chains.words].T)
                 marginal, _, _ = chains.marginals(emission, model.start, model.move)
                 scores[lo:hi] = model.score(model.summary(marginal, chains.docs, hi - lo))
                 ordinal = np.arange(len(marginal)) - np.searchsorted(chains.docs, chains.docs)

@@ -98,7 +98,7 @@ def test_nothing_to_learn(spark, edges, no_docs, kind):
 
 
 def test_edges_with_a_model(spark, edges):
-    model = toxicity.fit([(t.encode(), y) for _, t, y in planted()])
+    model = toxicity.fit([(t.encode(), y) for _, t, y in planted()], {b"pscumba", b"pvileon", b"pgrubbe"})
     got = {r.doc_id: r for r in toxicity.score_documents(edges, model).collect()}
     assert all(0 <= r.score < 0.5 and r.predicted == 0 for r in got.values())
     assert got[1].score == got[2].score  # no words at all
