@@ -38,9 +38,9 @@ from .common import WORD_TABLE, WordIds, append_columns, discard, fitted, fold,
 DOCS_PER_DOMAIN = 400
 LEXICAL, SHAPES = 512, 24
 DENSE = 5
-#: Iterations of the fit at most, those whose rates are recomputed in one expression, those without a gain of a
-#: hundredth after which targets count as out of reach, and the error to stop at.
-MAX_STEPS, CHAIN_STEPS, STALL, TOLERANCE = 500, 10, 20, 1e-4
+#: Iterations of the fit at most, those whose rates are recomputed in one expression, those in which the error must
+#: fall by a tenth for targets to be in reach, and the error to stop at.
+MAX_STEPS, CHAIN_STEPS, STALL, TOLERANCE = 500, 10, 10, 1e-4
 #: A domain's weight in the least squares is one over its share, of at least this.
 LEAST_SHARE = 1e-9
 
@@ -220,7 +220,7 @@ def fit_rates(rows: DataFrame, targets: np.ndarray, max_steps: int = MAX_STEPS,
         had = base.agg(*[F.sum(tokens * p * rate).alias(f"s{j}") for j, p in enumerate(post)]).first()
         residual = np.array(had, float) / total - targets
         error = float(np.abs(residual).max())
-        best, stalled = (error, 0) if error < 0.99 * best else (best, stalled + 1)
+        best, stalled = (error, 0) if error < 0.9 * best else (best, stalled + 1)
         if error < tolerance or stalled >= STALL or report["steps"] >= max_steps:
             report |= {"error": error, "shares": (residual + targets).tolist(), "targets": targets.tolist(), "met": error < tolerance}
             return base.withColumn("rate", rate), report

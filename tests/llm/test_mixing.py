@@ -15,10 +15,14 @@ def plain_fit(tokens, post, targets, steps, tolerance=mixing.TOLERANCE):
     weight = 1 / np.maximum(gram.sum(axis=1), mixing.LEAST_SHARE)
     root = np.sqrt(weight)
     step = 1 / np.linalg.eigvalsh(root[:, None] * gram * root)[-1]
-    rate, n = np.ones(len(tokens)), 0
+    rate, n, errors = np.ones(len(tokens)), 0, []
     while True:
         residual = (tokens * rate) @ post / total - targets
-        if np.abs(residual).max() < tolerance or n >= steps:
+        errors.append(np.abs(residual).max())
+        lowest = [errors[0]]
+        for e in errors:
+            lowest.append(e if e < 0.9 * lowest[-1] else lowest[-1])
+        if errors[-1] < tolerance or n >= steps or lowest[-1] == lowest[max(0, len(lowest) - 1 - mixing.STALL)] and len(errors) > mixing.STALL:
             return rate, n
         rate = np.maximum(0, rate - post @ (step * weight * residual))
         n += 1
@@ -68,6 +72,58 @@ def test_edges(spark, edges, no_docs):
     assert mixing.mix(no_docs, labelled, {"a": 1.0}).count() == 0
 
 
+def test_domains_without_a_target_keep_their_share(spark, caplog):
+    rows = spark.createDataFrame([(i, 10, float(i % 4 == 0), float(i % 4 == 1), float(i % 4 > 1)) for i in range(40)], "i long, n_tokens long, p0 double, p1 double, p2 double")
+    rated, report = mixing.fit_rates(rows, np.array([0.9, 0.1, np.nan]))
+    got = {r.i % 4: r.rate for r in rated.collect()}
+    assert report["met"] and np.allclose([got[k] for k in range(4)], [1.8, 0.2, 1, 1], atol=1e-3)
+
+
+def test_a_rare_domain_reaches_its_target(spark):
+    """One document of 20,000, a share of 5e-5, is raised to a tenth."""
+    rows = spark.range(20_000).selectExpr("id", "10L n_tokens", "if(id = 7, 1D, 0D) p0", "if(id = 7, 0D, 1D) p1")
+    _, report = mixing.fit_rates(rows, np.array([0.1, 0.9]))
+    assert report["met"] and report["steps"] < 20
+
+
+def test_missed_targets_are_told(spark, edges, caplog):
+    labelled = spark.createDataFrame([(i, d) for i, d in ((3, "a"), (4, "a"), (5, "b"), (6, "b"), (7, "b"), (8, "a"))], "doc_id long, domain string")
+    mixing.mix(edges, labelled, {"a": 0.0, "b": 1.0}).count()
+    post = [r.posterior for r in mixing.mix(edges, labelled, {"a": 0.0, "b": 1.0}).collect()]
+    assert ("targets are not met" in caplog.text) == any(0.001 < p[0] < 0.999 for p in post)
+
+
+def test_posteriors_against_plain_code(spark):
+    """Features and softmax of each text, one by one with dictionaries, against the operator's arrays."""
+    import zlib
+
+    rows = [("Ein Haus, ein Baum! 42", "a"), ("ein ein haus", "a"), ("THE tree is green", "b"), ("tree tree 7?", "b"), ("naïve ÉTÉ", "b")]
+    model = mixing.fit_domains([(t.encode(), d) for t, d in rows])
+
+    def shape(t):
+        core = t.strip(".,;:!?")
+        marks = len(t) - len(t.rstrip("!?*$%&#"))
+        case = 0 if not any(map(str.isalpha, core)) else 1 if core.islower() else 2 if core.isupper() and len(core) > 1 else 3
+        return (case * 3 + min(marks, 2)) * 2 + any(map(str.isdigit, core))
+
+    def plain(text):
+        x, words = np.zeros(mixing.Features.width), text.split()
+        for w in words:
+            low = "".join(c if c.isalnum() else " " for c in w.lower()).strip()
+            x[zlib.crc32(low.encode()) % mixing.LEXICAL] += 1 / len(words)
+            x[mixing.LEXICAL + shape(w)] += 1 / len(words)
+        x, n = np.sqrt(x), max(1, len(words))
+        same = sum(a == b for a, b in zip(words, words[1:]))
+        x[-mixing.DENSE:] = [same / n, len(set(words)) / n, np.log1p(len(words)) / 8, len(text.encode()) / n / 10, text.count("\n") / n]
+        z = (x - model.centre) / model.scale @ model.weights + model.bias
+        return np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+
+    texts = [t for t, _ in rows] + ["", "Haus\nBaum 3", "unbekannt!!"]
+    got = mixing.posteriors(spark.createDataFrame([(t,) for t in texts], "text string"), model).collect()
+    for r in got:
+        assert np.allclose(r.posterior, plain(r.text), atol=1e-4) and r.n_tokens == len(r.text.split()), r.text
+
+
 def test_copies_keep_the_mean(spark):
     rows = spark.range(4000).selectExpr("id as doc_id", "1.3D as rate")
     got = mixing.copies(rows).agg(F.avg("copies"), F.min("copies"), F.max("copies")).first()
