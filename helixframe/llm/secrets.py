@@ -59,16 +59,17 @@ PLACEHOLDERS = re.compile(
 #: Characters kept of each end of a literal, more than any placeholder's fixed part.
 ENDS = 32
 _OP = re.compile(r":=|=>|[:=]")
-_NAME = re.compile(
-    r"""([A-Za-z_$][\w$.-]{0,127})["'\]]{0,2}[ \t]*(?::[ \t]*[A-Za-z_][\w\[\]<>., |]{0,40}?[ \t]*)?$""", re.ASCII
-)
+#: The last name of a stretch of text, read backwards; and a type between a name and its operator, as in `name: str = x`.
+_NAME_BACK = re.compile(r"""["'\]]{0,2}([\w$.-]++)""", re.ASCII)
+_NAME_START = re.compile(r"[A-Za-z_$]", re.ASCII)
+_TYPE = re.compile(r"[ \t]*[A-Za-z_][\w\[\]<>., |]*+[ \t]*", re.ASCII)
 _VALUE = re.compile(
     r"""[ \t]*(?:[bruf]{1,2}(?=["']))?(?:"((?:[^"\\\n]++|\\.)*+)"|'((?:[^'\\\n]++|\\.)*+)'|`([^`\n]*+)`|(?=([A-Za-z0-9_$@%+/.=~^!*#&?-])))""",
     re.ASCII,
 )
 _BARE = re.compile(r"[A-Za-z0-9_$@%+/.=~^!*#&?-]++")
 _JOIN = re.compile(r"[ \t]*(?:\+|\.\.|\.(?=[ \t]*[\"'$])|\\?\n[ \t]*(?=[\"']))")
-_TAG = re.compile(r"<([A-Za-z_][\w.-]{0,127})>([^<>\s]++)</\1>", re.ASCII)
+_TAG = re.compile(r"<([A-Za-z_][\w.-]*+)>([^<>\s]++)</\1>", re.ASCII)
 _IDENT = re.compile(r"\$?\{?([A-Za-z_][\w.-]*)\}?$", re.ASCII)
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _HEX_MAP = bytes(104 if 48 <= c <= 57 or 97 <= c <= 102 else 32 for c in range(256))
@@ -94,6 +95,17 @@ def name_weight(name: str) -> float:
     return max((NAME_WEIGHTS.get(p, 0.0) for p in parts + pairs), default=0.0)
 
 
+def last_name(text: str, low: int, high: int) -> str | None:
+    """The name that stands, with a type or without, right before `high` and not before `low`."""
+    colon = text.rfind(":", low, high)
+    for end in (colon, high) if colon >= 0 and _TYPE.fullmatch(text, colon + 1, high) else (high,):
+        if run := _NAME_BACK.match(text[low:end].rstrip(" \t")[::-1]):
+            name = run[1][::-1]
+            if start := _NAME_START.search(name):
+                return name[start.start() :]
+    return None
+
+
 class Value:
     """What is known of a literal or of joined ones: the characters, whether all are quoted, and both ends."""
 
@@ -143,17 +155,18 @@ class Lexer:
 
     def run(self) -> Lexer:
         text, after = self.text, 0
+        before = last = 0  # ends of the two operators before; a name lies behind the first, its type behind the second
         for op in _OP.finditer(text):
             a, b = op.span()
+            low, before, last = before, last, b
             if a < after or text[max(0, a - 1) : a] in ("=", "!", "<", ">", ":") or text[b : b + 1] == "=" or text[b : b + 2] == "//":
                 continue
-            left = text[max(0, a - 180) : a]
-            if not (name := _NAME.search(left[left.rfind("\n") + 1 :])):
+            if not (name := last_name(text, max(low, text.rfind("\n", low, a) + 1), a)):
                 continue
             pieces, end, quoted = self.value(b)
             if pieces:
-                self.constants[name[1]] = pieces
-                self.pairs.append((name[1], pieces))
+                self.constants[name] = pieces
+                self.pairs.append((name, pieces))
                 if quoted:
                     after = end  # operators inside a quoted literal are no statements
         for m in _TAG.finditer(text):
@@ -172,7 +185,7 @@ class Lexer:
                 any_quoted = True
             else:
                 start, at = m.start(4), self.bare_end(m.start(4))
-                ref = _IDENT.match(self.text, start, at) if at - start < 256 else None
+                ref = _IDENT.match(self.text, start, at)
                 if ref and ref[1] in self.constants:
                     pieces.append(self.constants[ref[1]])
                     any_quoted |= self.has_quoted[id(pieces[-1])]

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import collections
 import hashlib
+import random
 import re
 import time
 
@@ -118,3 +120,48 @@ def test_long_runs_and_doublings_take_linear_time():
         start = time.monotonic()
         assert secrets.Lexer(text).run().secrets()
         assert time.monotonic() - start < 10
+
+
+def test_names_and_distances_of_any_length():
+    value = "q7Zr" * 8
+    long = "x" * 300 + "_password"
+    for text in (f'{long} = "{value}"', f'password{" " * 300}= "{value}"', f'secret: {"Optional[" * 30}str{"]" * 30} = "{value}"',
+                 f"<{long}>{value}</{long}>", f'{long} = "{value}"\ntoken = {long}\n', f'"client_secret" => "{value}"'):
+        at = text.index(value)
+        assert any(a <= at and at + len(value) <= b for a, _, b in secrets.all_spans(text)[1]), text[:40]
+
+
+def test_lexer_against_a_plain_reader():
+    """Statements on lines of their own, read by a plain splitter, against the lexer's spans."""
+    rng = random.Random(4)
+    names = ["db_password", "user", "apiKey", "title", "token", "count", "authToken", "x"]
+    for _ in range(200):
+        lines, want, known, at = [], set(), {}, 0
+        for k in range(rng.randint(1, 8)):
+            name, op = rng.choice(names) + rng.choice(["", str(k)]), rng.choice([" = ", ": ", " := ", " => "])
+            if known and rng.random() < 0.3:
+                ref = rng.choice(sorted(known))
+                line, span = f"{name}{op}{ref}", known[ref]
+            else:
+                value = "".join(rng.choice("abcXYZ019_") for _ in range(rng.choice([3, 12, 30])))
+                line = f'{name}{op}"{value}"'
+                span = (at + len(line) - 1 - len(value), at + len(line) - 1)
+            lines.append(line)
+            known[name] = span
+            text = "\n".join(lines)
+            one = secrets.Value(collections.Counter(text[slice(*span)]), True, text[slice(*span)], text[slice(*span)])
+            if secrets.name_weight(name) >= 0.5 and secrets.name_weight(name) * secrets.value_weight(one) >= 0.5:
+                want.add(span)
+            at += len(line) + 1
+        assert secrets.Lexer("\n".join(lines)).run().secrets() == sorted(want), lines
+
+
+def test_time_of_long_texts_is_linear():
+    def took(text):
+        began = time.perf_counter()
+        secrets.all_spans(text)
+        return time.perf_counter() - began
+
+    for piece in ("a=b=c=d=", "name: ", "x" * 50, 'k = "v" ', "<a>", "a.b-c:d "):
+        took(piece * 2000)
+        assert took(piece * 40_000) < 60 * took(piece * 2000) + 0.5, piece
