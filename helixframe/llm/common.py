@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -198,6 +199,23 @@ WORD_TABLE = bytes(
 )
 
 
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def run_hashes(hashes: np.ndarray, size: int, starts: np.ndarray | None = None) -> np.ndarray:
+    """A hash of each run of `size` words, or of those that begin at `starts`, from the hashes of the words."""
+    n = len(hashes) - size + 1
+    h = np.full(n if starts is None else len(starts), size, np.uint64)
+    for k in range(size):
+        h = h * _MIX + (hashes[k : n + k] if starts is None else hashes[starts + k])
+        h ^= h >> np.uint64(29)
+    return h
+
+
 def ascii_words(text: bytes) -> list[bytes]:
     return text.translate(WORD_TABLE).split()
 
@@ -206,19 +224,32 @@ def ascii_words(text: bytes) -> list[bytes]:
 # Joins on keys of which a few may hold a large part of the rows
 
 
-def join_by_key(rows: DataFrame, per_key: DataFrame, key: str, weight: str, how: str = "left") -> DataFrame:
+#: Keys of no more rows than this are left to the shuffle.
+COOL_ROWS = 10_000
+#: Rows a task of small tables whose size is known before they are written.
+ROWS_A_TASK = 16_384
+
+
+def few(df: DataFrame, rows: int | None) -> DataFrame:
+    """df, which has so many rows at most, in as few partitions as these need; None: not known."""
+    return df if rows is None else df.coalesce(max(1, -(-rows // ROWS_A_TASK)))
+
+
+def join_by_key(
+    rows: DataFrame, per_key: DataFrame, key: str, weight: str, how: str = "left", weights: tuple[int | None, int | None] | None = None
+) -> DataFrame:
     """rows joined with per_key, a table of one row for each key whose column `weight` counts the key's rows.
 
     Keys that hold over a thousandth of all rows number under a thousand by arithmetic, whatever
     the input's size; they are broadcast, so their rows never meet in one task.  The other keys
-    take a shuffle join.  `how` is left or inner.
+    take a shuffle join.  `how` is left or inner; weights: the sum and the largest weight, if known.
     """
     spark = rows.sparkSession
-    total = per_key.agg(F.sum(weight)).first()[0] or 0
-    floor = max(2000, total // 1000)
-    hot = [r[0] for r in per_key.filter(F.col(weight) > floor).select(key).limit(1001).collect()]
-    if not hot:
+    total, most = weights or per_key.agg(F.sum(weight), F.max(weight)).first()
+    floor = max(COOL_ROWS, (total or 0) // 1000)
+    if (most or 0) <= floor:
         return rows.join(per_key, key, how)
+    hot = [r[0] for r in per_key.filter(F.col(weight) > floor).select(key).limit(1001).collect()]
     hot_keys = spark.createDataFrame([(k,) for k in hot], T.StructType([per_key.schema[key]]))
     marked = rows.join(F.broadcast(hot_keys.withColumn("__hot", F.lit(True))), key, "left")
     cool = marked.filter(F.col("__hot").isNull()).drop("__hot").join(

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, ascii_words, kept_rows, utf8
+from .common import WordIds, append_columns, ascii_words, discard, kept_rows, materialise, run_hashes, utf8, word_hashes
 
-#: Bytes of benchmark text whose windows go out in one broadcast.  A larger benchmark is dealt
-#: into parts by hash, and the documents are scanned once for each part.
-PART_BYTES = 16 << 20
+#: Bytes of benchmark text whose windows go out in one broadcast, of about four times that size, and broadcasts that
+#: a worker holds.  A larger benchmark is dealt into parts by hash, and the documents are scanned in several passes.
+PART_BYTES, PARTS_A_PASS = 16 << 20, 4
 
 FIELDS = T.StructType(
     [
@@ -43,45 +43,99 @@ _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 class Windows:
-    """The windows of (item_id, text) pairs: exact word strings by length, and the words they use."""
+    """The windows of (item_id, text) pairs: by length, sorted hashes and where each window is in the normalised texts.
+
+    That is about four bytes a byte of text; a window's own words are read from the texts when a hash is met.
+    """
 
     def __init__(self, items: list[tuple], n: int):
-        self.by_length: dict[int, dict[bytes, set[str]]] = {}
-        self.vocabulary: dict[bytes, int] = {}
+        self.names: list[str] = []
+        texts, begins, found, vocabulary = [], [], {}, []
+        base = 0
         for item_id, text in items:
             words = ascii_words((text or "").encode("utf-8", "replace"))
             if item_id is None or not words:
                 continue
             size = min(n, len(words))
-            found = self.by_length.setdefault(size, {})
-            for i in range(len(words) - size + 1):
-                found.setdefault(b" ".join(words[i : i + size]), set()).add(str(item_id))
-            self.vocabulary.update(dict.fromkeys(words, 1))
-
-    def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
-        """A flag for each word, and the ids of items with occurring windows."""
+            hashes = word_hashes(words)
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1 + base
+            first = np.concatenate([[base], ends[:-1] + 1])
+            found.setdefault(size, []).append((run_hashes(hashes, size), first[: len(words) - size + 1], ends[size - 1 :]))
+            vocabulary.append(np.unique(hashes))
+            self.names.append(str(item_id))
+            begins.append(base)
+            texts.append(b" ".join(words))
+            base = int(ends[-1]) + 1
+        self.text, self.begins = b" ".join(texts), np.array(begins, np.int64)
+        self.vocabulary = np.unique(np.concatenate(vocabulary)) if vocabulary else np.zeros(0, np.uint64)
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        place = np.int64 if base >= 1 << 32 else np.uint32
+        for size, parts in found.items():
+            hashes, first, ends = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(hashes, kind="stable")
+            self.by_length[size] = hashes[order], first[order].astype(place), ends[order].astype(place)
+
+    def scan(self, words: list[bytes], hashes: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, set[str]]:
+        """A flag for each word, and the ids of items with occurring windows; known: whether a word is in the vocabulary."""
         hit = np.zeros(len(words), bool)
         items: set[str] = set()
-        get = self.vocabulary.get
-        known = np.fromiter((get(w, 0) for w in words), np.int32, len(words))
-        upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(known)])
-        for size, found in self.by_length.items():
+        upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(known != 0)])
+        for size, (keys, first, ends) in self.by_length.items():
             if len(words) < size:
                 continue
-            for i in np.flatnonzero(upto[size:] - upto[:-size] == size):
-                if (ids := found.get(b" ".join(words[i : i + size]))) is not None:
-                    hit[i : i + size] = True
-                    items |= ids
+            starts = np.flatnonzero(upto[size:] - upto[:-size] == size)
+            if not len(starts):
+                continue
+            of_run = run_hashes(hashes, size, starts)
+            low, high = np.searchsorted(keys, of_run, "left"), np.searchsorted(keys, of_run, "right")
+            met: set[bytes] = set()
+            for i, a, b in zip(*(x[high > low].tolist() for x in (starts, low, high))):
+                window = b" ".join(words[i : i + size])
+                if window not in met:
+                    same = [k for k in range(a, b) if self.text[first[k] : ends[k]] == window]
+                    if not same:
+                        continue
+                    met.add(window)
+                    items.update(self.names[j] for j in np.searchsorted(self.begins, first[same], "right") - 1)
+                hit[i : i + size] = True
         return hit, items
 
 
-def benchmark_parts(benchmark: DataFrame, n: int, id_col: str, text_col: str, part_bytes: int) -> list[Windows]:
-    """The benchmark's windows in parts of about part_bytes of text; their number comes from its measured size."""
+class Scanner:
+    """Several parts of a benchmark over texts, whose words are hashed and looked up once."""
+
+    def __init__(self, parts: list[Windows]):
+        self.parts = parts
+        self.ids = WordIds(1 + len(parts), self._vectors, dtype=np.uint64)
+
+    def _vectors(self, words: list[bytes]) -> np.ndarray:
+        hashes = word_hashes(words)
+        known = []
+        for p in self.parts:
+            at = np.searchsorted(p.vocabulary, hashes)
+            known.append(p.vocabulary[np.minimum(at, len(p.vocabulary) - 1)] == hashes if len(p.vocabulary) else np.zeros(len(words), bool))
+        return np.column_stack([hashes, *known])
+
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
+        self.ids.trim()
+        rows = self.ids.ids(words)
+        rows = self.ids.rows[rows]
+        hit, items = np.zeros(len(words), bool), set()
+        for k, p in enumerate(self.parts):
+            h, i = p.scan(words, rows[:, 0], rows[:, 1 + k])
+            hit |= h
+            items |= i
+        return hit, items
+
+
+def benchmark_parts(benchmark: DataFrame, n: int, id_col: str, text_col: str, part_bytes: int) -> Iterator[Windows]:
+    """The benchmark's windows in parts of about part_bytes of text, one at a time; their number comes from its measured size."""
     items = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).filter("i is not null and t is not null")
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = max(1, -(-size // part_bytes))
     chosen = F.pmod(F.xxhash64("i", "t"), F.lit(parts))
-    return [Windows([(r.i, r.t) for r in items.filter(chosen == k).collect()], n) for k in range(parts)]
+    for k in range(parts):
+        yield Windows([(r.i, r.t) for r in items.filter(chosen == k).collect()], n)
 
 
 def _runs(hit: np.ndarray) -> np.ndarray:
@@ -96,18 +150,24 @@ def scan(
 ) -> DataFrame:
     """docs with n_words, n_hit, n_items, items_sha256, contaminated and hit_spans, ranges of code points.
 
-    With several benchmark parts each pass hands its flags on in two working columns.
+    The parts of a benchmark are built and sent out one by one; a pass scans with PARTS_A_PASS of them.  With
+    several passes each writes the documents with its flags, packed to bits, for the next one.
     """
-    parts = benchmark_parts(benchmark, n, item_id, item_text, part_bytes)
     carried = T.StructType([T.StructField("__hits", T.BinaryType()), T.StructField("__items", T.ArrayType(T.StringType()))])
-    out = docs
     sc = docs.sparkSession.sparkContext
-    if len(parts) == 1:
-        return append_columns(out, text_col, FIELDS, _digester([sc.broadcast(parts[0])]))
-    # Windows of several parts: one pass each, flags packed to bits between the passes.
-    for k, part in enumerate(parts):
-        out = _merge_pass(out, text_col, carried, sc.broadcast(part), first=k == 0)
-    return _digest_carried(out, text_col)
+    sent, out, before = [], docs, None
+    for part in benchmark_parts(benchmark, n, item_id, item_text, part_bytes):
+        if len(sent) == PARTS_A_PASS:
+            paths: list[str] = []
+            out = materialise(_merge_pass(out, text_col, carried, sent, first=before is None), "decon-pass", paths)
+            for b in sent:
+                b.destroy()
+            discard(docs.sparkSession, before or [])
+            sent, before = [], paths
+        sent.append(sc.broadcast(part))
+    if before is None:
+        return append_columns(out, text_col, FIELDS, _digester(sent))
+    return _digest_carried(_merge_pass(out, text_col, carried, sent, first=False), text_col)
 
 
 def _digest(text: bytes, hit: np.ndarray, items: set[str]) -> tuple:
@@ -126,40 +186,31 @@ def _columns(rows: list[tuple]) -> list[pa.Array]:
 
 def _digester(parts: list) -> Callable:
     def make():
-        windows = [p.value for p in parts]
+        scan_words = Scanner([p.value for p in parts])
 
         def score(column: pa.Array) -> list[pa.Array]:
-            rows = []
-            for text in utf8(column):
-                text = text or b""
-                words = ascii_words(text)
-                hit, items = np.zeros(len(words), bool), set()
-                for w in windows:
-                    h, i = w.scan(words)
-                    hit |= h
-                    items |= i
-                rows.append(_digest(text, hit, items))
-            return _columns(rows)
+            texts = [t or b"" for t in utf8(column)]
+            return _columns([_digest(t, *scan_words(ascii_words(t))) for t in texts])
 
         return score
 
     return make
 
 
-def _merge_pass(docs: DataFrame, text_col: str, carried: T.StructType, part, first: bool) -> DataFrame:
+def _merge_pass(docs: DataFrame, text_col: str, carried: T.StructType, parts: list, first: bool) -> DataFrame:
     names = [c for c in docs.columns if c not in carried.names]
     source = docs.select(*[F.col(f"`{c}`") for c in names], *([] if first else carried.names))
     schema = T.StructType([docs.schema[c] for c in names] + carried.fields)
     at = names.index(text_col)
 
     def run(batches):
-        windows = part.value
+        scan_words = Scanner([p.value for p in parts])
         for b in batches:
             hits, ids = [], []
             before = [None] * b.num_rows if first else b.column(len(names)).to_pylist()
             had = [[]] * b.num_rows if first else b.column(len(names) + 1).to_pylist()
             for text, old, old_items in zip(utf8(b.column(at)), before, had):
-                hit, items = windows.scan(ascii_words(text or b""))
+                hit, items = scan_words(ascii_words(text or b""))
                 packed = np.packbits(hit)
                 if old is not None:
                     packed |= np.frombuffer(old, np.uint8)

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 
+import numpy as np
+
 from helixframe.llm import decontaminate, queries
 from tests.oracle import same
 
@@ -46,6 +49,28 @@ def test_brute_force_and_parts(spark):
         assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got} == want
 
 
+def test_repeated_windows_and_random_texts(spark):
+    """Windows that many items and many places of a text share, and items shorter than a window."""
+    rng = np.random.default_rng(6)
+    words = ["aa", "b", "ccc", "dd", "é"]
+    items = [(i, " ".join(rng.choice(words, rng.integers(0, 25)))) for i in range(40)]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 120))) for _ in range(30)]
+    windows = decontaminate.Windows(items, 4)
+    scan = decontaminate.Scanner([windows])
+    for t in texts:
+        hit, found = scan(decontaminate.ascii_words(t.encode()))
+        want = brute(t, items, 4)
+        assert (int(hit.sum()), len(found)) == want[1:3]
+
+
+def test_memory_of_a_part():
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(50_000)]
+    items = [(i, " ".join(rng.choice(words, 200))) for i in range(2000)]
+    w = decontaminate.Windows(items, 10)
+    assert len(pickle.dumps(w)) < 6 * sum(len(t) for _, t in items)
+
+
 def test_removal(spark):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
