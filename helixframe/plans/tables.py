@@ -8,10 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables that this process wrote and has not discarded, in order.
+_written: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where that setting is absent (tests)."""
+    """The folder of spark.checkpoint.dir; one of our own only in local mode where that setting is absent (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
         found = tempfile.mkdtemp(prefix="helixframe-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -29,6 +35,7 @@ def materialise(df: DataFrame, tag: str, paths: list[str] | None = None) -> Data
     """
     path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
+    _written.append(path)
     if paths is not None:
         paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -40,4 +47,15 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
+    gone = set(paths)
+    _written[:] = [p for p in _written if p not in gone]
     paths.clear()
+
+
+def written() -> frozenset[str]:
+    return frozenset(_written)
+
+
+def discard_since(spark: SparkSession, mark: frozenset[str], keep: list[str]) -> None:
+    """Delete what materialise() wrote after written() gave `mark`, but for `keep`: nothing may read it any more."""
+    discard(spark, [p for p in _written if p not in mark and p not in keep])
