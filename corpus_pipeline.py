@@ -4,8 +4,9 @@ Toxic documents go, one document of each near-duplicate class stays, documents w
 passages go, secrets in the remaining texts are replaced, and the result is what share of each
 document to take so that languages and qualities are mixed to their targets.
 
-Null and empty texts pass every stage; rows that repeat an id count as one document from the second
-stage on; rows without an id pass all stages; an empty table gives an empty result.
+Null and empty texts pass every stage; rows that repeat an id are documents of their own, of which
+copies go in the second stage; rows without an id pass all stages; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm import decontaminate, jaccard, mixing, queries, secrets, toxicity
 from helixframe.llm.common import materialise, table
+from helixframe.plans.tables import discard, discard_since, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +33,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with found secrets replaced in their texts and n_chars counted anew."""
-    return secrets.redacted(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")).select(docs.columns)
+    """All documents, with found secrets replaced in their texts and n_chars, if there is one, counted anew."""
+    clean = secrets.redacted(docs)
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
+    return clean.select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +58,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's result; what a stage wrote on its way goes when its documents are written."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for k, (_, stage) in enumerate(STAGES):
+        mark = written()
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = materialise(docs, f"pipeline-{k}")
+            paths: list[str] = []
+            docs = materialise(docs, f"pipeline-{k}", paths)
+            discard(spark, before)
+            discard_since(spark, mark, paths)
+            before = paths
     return docs
