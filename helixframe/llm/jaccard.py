@@ -2,13 +2,16 @@
 
 A document is the set of its five-word shingles.  Documents of one set are folded first.  Each set
 is embedded as COORDINATES tokens, its min-hashes; two sets share a token with a chance equal to
-their Jaccard similarity.  A run samples one coordinate at each level and splits the sets on the
-tokens they share there; a bucket of at most LEAF sets is compared by brute force on the
-embeddings, a larger one is split again.  Runs are repeated until a pair at the threshold is
-found with the target recall: first as many as USUAL_LEVEL levels need, then, for the sets that any
-run split further, as many as the deepest level that their buckets reached needs.  A bucket that is
-still large at the last level shares that many sampled tokens; its sets are linked without
-comparison, since all links are verified.
+their Jaccard similarity.  A run puts the sets into buckets by their token at one coordinate; a
+bucket of at most LEAF sets is compared by brute force on the embeddings, a larger one is split
+again by one or by two coordinates, half of the buckets each, that its key chooses.  So a pair at
+the threshold has 1.2 chances on average to stay together at each split, and its chance to be in
+one leaf does not vanish with the depth.  Runs are repeated until a pair at the threshold is found
+with the target recall: first as many as USUAL_LEVEL levels need, then, for sets in buckets that are
+split further, as many as the deepest level reached needs.  A large bucket is not split if all but
+LEAF of its sets are near its first one: these are one group, and the others are compared with all.
+One that is still large at the last level shares that many sampled tokens; its sets are linked
+without comparison, since all links are verified.
 
 What the runs find are candidate groups, not results: the shingle sets of each connected candidate
 group are brought together once, in blocks of bounded size, and every pair of the group is
@@ -18,9 +21,9 @@ each set; pairs are never written out.
 Result: a row a document with class_id, the least doc_id of its connected class, and n_links, the
 number of other documents whose similarity is at least the threshold.
 
-Edge cases: a text of fewer than five words is one shingle; null and empty texts have none, and
-are a class of their own without links; equal sets are similar; the threshold itself counts;
-repeated ids are documents of their own, and null ids take no part (null class, no links).
+Edge cases: ids are integers; a text of fewer than five words is one shingle; null and empty texts
+have none, and are a class of their own without links; equal sets are similar; the threshold itself
+counts; repeated ids are documents of their own, and null ids take no part (null class, no links).
 """
 
 from __future__ import annotations
@@ -33,12 +36,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import WORD_TABLE, WordIds, discard, join_by_key, materialise, slices, utf8
+from .common import WORD_TABLE, WordIds, discard, few, join_by_key, materialise, run_hashes, slices, utf8, word_hashes
 from .components import components
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
-COORDINATES, LEVELS, LEAF = 64, 6, 64
+COORDINATES, LEVELS, LEAF = 64, 10, 2048
 #: Levels at which most buckets are small enough; the first runs are counted for it.
 USUAL_LEVEL = 2
 #: Estimates within so many standard errors under the threshold are candidates.
@@ -47,25 +51,31 @@ SLACK = 3.5
 #: blocks of at least LEAST_SETS even below these, so that its comparison is shared by several tasks.
 BLOCK_SETS, BLOCK_SHINGLES, LEAST_SETS, SPREAD = 2048, 1_500_000, 256, 16
 COLUMNS = 2048
+#: Pairs of embeddings of small buckets that a task compares at once, and the size from which it compares set by set.
+PAIRS, BY_SET = 1 << 17, 64
 SEED = 7919
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def runs_for(recall: float = RECALL, threshold: float = THRESHOLD, level: int = USUAL_LEVEL) -> int:
-    """Runs after which a pair at the threshold, split at `level` levels, was once in one bucket with that chance."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**level))
+def chance(similarity: float, levels: int) -> float:
+    """Of a pair that agrees on such a share of the coordinates, the chance to be in one bucket of a run after its last level."""
+    below = 1.0
+    for _ in range(levels - 1):
+        below = 0.5 * similarity * below + 0.5 * (1 - (1 - similarity * below) ** 2)
+    return similarity * below
 
 
-def deep_runs_for(level: int, recall: float = RECALL, threshold: float = THRESHOLD) -> int:
-    """As runs_for, where each run draws anew from the same coordinates, so that runs are independent only given
-    how many of those a pair shares."""
+def runs_for(recall: float = RECALL, threshold: float = THRESHOLD, levels: int = USUAL_LEVEL) -> int:
+    """Runs after which a pair at the threshold was once in one bucket of that many levels with that chance.
+
+    All runs draw on the same coordinates, so they are independent only given how many of those the pair shares.
+    """
     share = [math.comb(COORDINATES, k) * threshold**k * (1 - threshold) ** (COORDINATES - k) for k in range(COORDINATES + 1)]
-    fails = [1 - math.comb(k, level) / math.comb(COORDINATES, level) for k in range(COORDINATES + 1)]
-    missed = lambda runs: sum(p * f**runs for p, f in zip(share, fails))
-    runs = runs_for(recall, threshold, level)
-    while missed(runs) > 1 - recall:
+    missed = [1 - chance(k / COORDINATES, levels) for k in range(COORDINATES + 1)]
+    runs = 1
+    while sum(p * m**runs for p, m in zip(share, missed)) > 1 - recall:
         runs += 1
     return runs
 
@@ -79,16 +89,12 @@ def set_words(text: bytes) -> list[bytes]:
     return low.translate(WORD_TABLE).split()
 
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-
-
 class Shingler:
     """Texts to sorted arrays of distinct 64-bit shingle hashes."""
 
     def __init__(self, n: int = WORDS):
         self.n = n
-        self.ids = WordIds(1, _word_hashes, dtype=np.uint64)
+        self.ids = WordIds(1, word_hashes, dtype=np.uint64)
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         self.ids.trim()
@@ -100,12 +106,7 @@ class Shingler:
                 continue
             at = self.ids.ids(words)
             w = self.ids.rows[at, 0]
-            size = min(self.n, len(w))
-            h = np.full(len(w) - size + 1, size, np.uint64)
-            for k in range(size):
-                h = h * _MIX + w[k : len(w) - size + 1 + k]
-                h ^= h >> np.uint64(29)
-            out.append(np.unique(h * _MIX2))
+            out.append(np.unique(run_hashes(w, min(self.n, len(w))) * _MIX2))
         return out
 
 
@@ -183,35 +184,87 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple
 # Candidate groups by chosen paths
 
 
-def _coordinates(runs: int, first: int = 0) -> np.ndarray:
-    """The coordinates of each level of each run, a row a run; the runs from `first` > 0 on are drawn one by one."""
-    if not first:
-        order = np.random.default_rng(SEED + 1).permutation(max(COORDINATES, runs * LEVELS)) % COORDINATES
-        return order[: runs * LEVELS].reshape(runs, LEVELS)
-    rng = np.random.default_rng([SEED, first])
-    return np.stack([rng.permutation(COORDINATES)[:LEVELS] for _ in range(runs)])
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _MIX
+    return x ^ (x >> np.uint64(29))
+
+
+def root_keys(tokens: np.ndarray, runs: range) -> np.ndarray:
+    """The key of each set's first bucket in each run, a row a set; tokens: a row of 64-bit numbers a set."""
+    order = np.random.default_rng(SEED + 1).permutation(COORDINATES)
+    return np.stack([_mixed(_mixed(tokens[:, order[r % COORDINATES]] + np.uint64(r + 1)) ^ np.uint64(r + 1)) for r in runs], axis=1)
+
+
+def split_keys(keys: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and keys of the buckets into which each row's bucket is split, by one coordinate or by two."""
+    drawn = _mixed(keys)
+    rows = np.arange(len(keys))
+    first = (drawn % np.uint64(COORDINATES)).astype(int)
+    second = (first + 1 + (drawn >> np.uint64(8)).astype(int) % (COORDINATES - 1)) % COORDINATES
+    both = (drawn >> np.uint64(60)) % np.uint64(2) == 1
+    one = _mixed(drawn ^ _mixed(tokens[rows, first] + np.uint64(1)))
+    two = _mixed((drawn + np.uint64(1)) ^ _mixed(tokens[rows, second] + np.uint64(1)))
+    return np.concatenate([rows, rows[both]]), np.concatenate([one, two[both]])
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), -1).astype(np.uint64)
+
+
+def _roots(sets: DataFrame, runs: range) -> DataFrame:
+    """node and key of each set's first bucket in each run."""
 
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                keys = root_keys(_unpacked(b.column(1)), runs)
+                nodes = np.repeat(b.column(0).to_numpy(), len(runs))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(keys.view(np.int64).ravel())], names=["node", "key"])
+
+    return sets.select("node", "tokens").mapInArrow(run, "node long, key long")
 
-def _paths(sets: DataFrame, runs: int, first: int = 0) -> DataFrame:
-    """node, and for each run the keys of the buckets that its path visits, a level after the other."""
+
+def _against_pivots(rows: DataFrame, least: float) -> DataFrame:
+    """key, node, m, n, near (whether the node's embedding is near that of the bucket's pivot m) and the keys of its next buckets.
+
+    rows: key, node, m, n, tokens and pivot, the tokens of m.
+    """
 
     def run(batches):
-        order = _coordinates(runs, first)
         for b in batches:
             if not b.num_rows:
                 continue
-            tokens = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(b.num_rows, -1).astype(np.uint64)
-            keys = np.empty((b.num_rows, runs, LEVELS), np.uint64)
-            for r in range(runs):
-                path = np.full(b.num_rows, first + r + 1, np.uint64)
-                for d in range(LEVELS):
-                    path = (path ^ (path >> np.uint64(31))) * _MIX + tokens[:, order[r, d]] * _MIX2 + np.uint64(d)
-                    keys[:, r, d] = path ^ (path >> np.uint64(32))
-            flat = pa.array(keys.view(np.int64).reshape(-1))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows * runs + 1, dtype=np.int32) * LEVELS), flat)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), runs)), lists], names=["node", "path"])
-
-    return sets.select("node", "tokens").mapInArrow(run, "node long, path array<long>")
+            tokens, pivots = _unpacked(b.column(4)), _unpacked(b.column(5))
+            at, keys = split_keys(b.column(0).to_numpy().view(np.uint64), tokens)
+            order = np.argsort(at, kind="stable")
+            ends = np.searchsorted(at[order], np.arange(b.num_rows + 1)).astype(np.int32)
+            near = (tokens == pivots).sum(axis=1) >= least * tokens.shape[1]
+            next_keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[order].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(near), next_keys], names=["key", "node", "m", "n", "near", "next"])
+
+    kind = "key long, node long, m long, n long, near boolean, next array<long>"
+    return rows.select("key", "node", "m", "n", "tokens", "pivot").mapInArrow(run, kind)
+
+
+def near_pairs(tokens: np.ndarray, size: int, starts: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows within the buckets of that size whose tokens agree on at least that share."""
+    enough = math.ceil(least * tokens.shape[1])
+    if size <= BY_SET:
+        ia, ib = np.triu_indices(size, 1)
+        some = max(1, PAIRS // len(ia))
+        for lo in range(0, len(starts), some):
+            a, b = (np.add.outer(starts[lo : lo + some], i).ravel() for i in (ia, ib))
+            near = (tokens[a] == tokens[b]).sum(axis=1, dtype=np.int16) >= enough
+            yield a[near], b[near]
+        return
+    for first in starts:
+        column = np.ascontiguousarray(tokens[first : first + size].T)
+        low = column.astype(np.uint8)  # if these agree less often, so do the tokens
+        for i in range(size - 1):
+            near = i + 1 + np.flatnonzero((low[:, i + 1 :] == low[:, i : i + 1]).sum(axis=0, dtype=np.uint8) >= enough)
+            near = near[(column[:, near] == column[:, i : i + 1]).sum(axis=0) >= enough]
+            if len(near):
+                yield np.full(len(near), first + i), first + near
 
 
 def _compare_leaves(leaves: DataFrame, least: float) -> DataFrame:
@@ -219,21 +272,14 @@ def _compare_leaves(leaves: DataFrame, least: float) -> DataFrame:
 
     def run(batches):
         for t, starts in whole_groups(batches, 1):
-            ends = np.append(starts[1:], len(t))
+            sizes = np.diff(np.append(starts, len(t)))
             nodes = t.column(1).to_numpy()
             tokens = np.frombuffer(b"".join(t.column(2).to_pylist()), np.uint32).reshape(len(t), -1)
             us, vs = [], []
-            for size in np.unique(ends - starts):
-                if size < 2:
-                    continue
-                ia, ib = np.triu_indices(size, 1)
-                at = starts[ends - starts == size]
-                step = max(1, 200_000 // len(ia))
-                for lo in range(0, len(at), step):
-                    some = at[lo : lo + step]
-                    a, b = (some[:, None] + ia).ravel(), (some[:, None] + ib).ravel()
-                    near = (tokens[a] == tokens[b]).mean(axis=1) >= least
-                    for u, v in _forest(a[near], b[near]):
+            for size in np.unique(sizes[sizes > 1]):
+                grown: dict[int, int] = {}
+                for a, b in near_pairs(tokens, size, starts[sizes == size], least):
+                    for u, v in _forest(a, b, grown):
                         us.append(nodes[u])
                         vs.append(nodes[v])
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
@@ -242,9 +288,8 @@ def _compare_leaves(leaves: DataFrame, least: float) -> DataFrame:
     return grouped.mapInArrow(run, "u long, v long")
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Of the edges (a, b), those that join two trees grown so far."""
-    parent: dict[int, int] = {}
+def _forest(a: np.ndarray, b: np.ndarray, parent: dict[int, int]) -> list[tuple[int, int]]:
+    """Of the edges (a, b), those that join two trees grown so far; parent: the trees, which grow."""
 
     def root(x: int) -> int:
         while (p := parent.get(x, x)) != x:
@@ -260,35 +305,74 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _split(
-    sets: DataFrame, state: DataFrame, paths: list[str], least: float
-) -> tuple[list[DataFrame], DataFrame | None, int]:
-    """Edges found along the paths, key, node and n of buckets that are split past USUAL_LEVEL, and the most levels of a path."""
+def _with_far_sets(told: DataFrame, per_key: DataFrame, weights: tuple) -> DataFrame:
+    """key and node of leaves, in which all sets of the buckets of per_key meet those that are not near the pivot.
+
+    A bucket's near sets are dealt into leaves of about LEAF, each of which has all its other sets, at most LEAF, too.
+    """
+    blocks = F.ceil(F.col("n") / LEAF).cast("long")
+    rows = join_by_key(told.select("key", "node", "near"), per_key.withColumn("blocks", blocks), "key", "n", "inner", weights)
+    leaf = lambda block: F.xxhash64("key", block).alias("key")
+    own = rows.filter("near").select(leaf(F.pmod(F.xxhash64("node"), F.col("blocks"))), "node")
+    far = rows.filter("not near").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return own.unionByName(far.select(leaf(F.col("block")), "node"))
+
+
+def _sizes(per_key: DataFrame, *parts) -> list[tuple[int, int]]:
+    """The sum and the largest of n over the keys of each part."""
+    n = [F.when(part, F.col("n")) for part in parts]
+    found = per_key.agg(*[f(x) for x in n for f in (F.sum, F.max)]).first()
+    return [(found[k] or 0, found[k + 1] or 0) for k in range(0, len(found), 2)]
+
+
+def _split(sets: DataFrame, runs: range, paths: list[str], least: float) -> tuple[list[DataFrame], DataFrame | None, int]:
+    """Edges found in the runs, the nodes of buckets that are split past USUAL_LEVEL, and the most levels of a path.
+
+    In a bucket of more than LEAF sets those near its first one are in one candidate group with it.  If at most LEAF
+    are left, these are compared with all sets of the bucket, and it is done; else it is split.
+    """
     found: list[DataFrame] = []
-    deep = None
-    for level in range(LEVELS):
-        keyed = state.select("node", "path", F.col("path")[level].alias("key"))
+    leaves: list[DataFrame] = []
+    deep = at_most = None
+    embedded = sets.select("node", "tokens")
+    keyed = _roots(sets, runs)
+    for level in range(1, LEVELS + 1):
+        keep = lambda df, tag, rows: materialise(few(df, rows), tag, paths)
         sized = keyed.groupBy("key").agg(
             F.count("*").alias("n"), F.min("node").alias("m"), F.bit_xor(F.xxhash64("node")).alias("members")
         )
-        sized = materialise(sized.filter("n > 1"), "cp-sizes", paths)
-        # Runs often meet the same bucket again; of buckets with the same members one is compared.
-        small = sized.filter(F.col("n") <= LEAF).groupBy("n", "members").agg(F.min("key").alias("key"))
-        split = sized.filter(F.col("n") > LEAF).select("key", "n", "m").unionByName(
-            small.select("key", "n", F.lit(None).cast("long").alias("m"))
-        )
-        joined = materialise(join_by_key(keyed, materialise(split, "cp-split", paths), "key", "n", "inner"), "cp-level", paths)
-        leaves = joined.filter(F.col("n") <= LEAF).select("key", "node")
-        found.append(_compare_leaves(leaves.join(sets.select("node", "tokens"), "node"), least))
-        large = joined.filter(F.col("n") > LEAF)
-        if level == LEVELS - 1:
-            found.append(large.filter("node <> m").select(F.col("node").alias("u"), F.col("m").alias("v")))
-        elif large.isEmpty():
+        # Runs often meet the same bucket again; of small ones with the same members one is compared.
+        same = F.when(F.col("n") > LEAF, F.col("key")).otherwise(F.col("members"))
+        split = sized.filter("n > 1").groupBy("n", same.alias("same")).agg(F.min("key").alias("key"), F.min("m").alias("m")).drop("same")
+        split = keep(split, "cp-split", at_most)
+        large, small = F.col("n") > LEAF, F.col("n") <= LEAF
+        every, big = _sizes(split, F.lit(True), large)
+        joined = keep(join_by_key(keyed, split, "key", "n", "inner", every), "cp-level", every[0])
+        leaves.append(joined.filter(small).select("key", "node"))
+        if not big[0]:
+            break
+        pivots = keep(split.filter(large).join(embedded.toDF("m", "pivot"), "m").select("key", "n", "pivot"), "cp-pivots", big[0] // LEAF)
+        rows = join_by_key(joined.filter(large).drop("n"), pivots, "key", "n", "inner", big)
+        told = keep(_against_pivots(rows.join(embedded, "node"), least), "cp-told", big[0])
+        found.append(told.filter("near and node <> m").select(F.col("node").alias("u"), F.col("m").alias("v")))
+        per_key = told.groupBy("key").agg(F.max("n").alias("n"), F.count(F.when(~F.col("near"), 1)).alias("far"))
+        per_key = keep(per_key.filter("far > 0"), "cp-far", big[0] // LEAF)
+        some, many = F.col("far") <= LEAF, F.col("far") > LEAF
+        done, still = _sizes(per_key, some, many)
+        if done[0]:
+            leaves.append(_with_far_sets(told, per_key.filter(some), done))
+        if not still[0]:
             break
-        elif level == USUAL_LEVEL - 1:
-            deep = large.select("key", "node", "n")
-        state = large.select("node", "path")
-    return found, deep, level + 1
+        rows = join_by_key(told.select("key", "node", "m", "next"), per_key.filter(many).select("key", "n"), "key", "n", "inner", still)
+        if level == USUAL_LEVEL:
+            deep = rows.select("node").distinct()
+        if level == LEVELS:
+            found.append(rows.filter("node <> m").select(F.col("node").alias("u"), F.col("m").alias("v")))
+        else:
+            at_most = 2 * still[0]
+            keyed = keep(rows.select("node", F.explode("next").alias("key")), "cp-branches", at_most)
+    found.append(_compare_leaves(_union(leaves).join(embedded, "node"), least))
+    return found, deep, level
 
 
 def candidate_edges(sets: DataFrame, paths: list[str], threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -298,24 +382,14 @@ def candidate_edges(sets: DataFrame, paths: list[str], threshold: float = THRESH
     """
     least = threshold - SLACK * math.sqrt(threshold * (1 - threshold) / COORDINATES)
     runs = runs_for(recall, threshold)
-    found, deep, reached = _split(sets, _paths(sets, runs), paths, least)
-    if deep is None:
-        return _union(found)
-    # A pair in a large bucket at USUAL_LEVEL has both its sets among the deep ones; where a bucket's sets are all linked
-    # to one another by now, no pair is left to be found.
-    linked = materialise(components(_union(found)), "cp-linked", paths)
-    told = deep.join(linked, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-    told = materialise(told, "cp-told", paths)
-    open_keys = told.groupBy("key").agg(F.max("n").alias("n"), F.min("label").alias("a"), F.max("label").alias("b"))
-    open_keys = materialise(open_keys.filter("a <> b").select("key", "n"), "cp-open", paths)
-    crowd = join_by_key(told.select("key", "node"), open_keys, "key", "n", "inner").select("node").distinct()
-    crowd = materialise(sets.select("node", "tokens").join(crowd, "node"), "cp-deep", paths)
-    found = [linked.select(F.col("node").alias("u"), F.col("label").alias("v"))]
-    extra = 0
-    while not crowd.isEmpty() and extra < (need := deep_runs_for(reached, recall, threshold)):
-        added, _, now = _split(crowd, _paths(crowd, need - extra, runs + extra), paths, least)
-        found += added
-        reached, extra = max(reached, now), need
+    found, deep, reached = _split(sets, range(runs), paths, least)
+    if deep is not None:  # a pair in a bucket that is split further has both its sets among these
+        crowd = materialise(sets.select("node", "tokens").join(deep, "node"), "cp-deep", paths)
+        while runs < (need := runs_for(recall, threshold, reached)):
+            need = runs_for(recall, threshold, min(LEVELS, reached + 2))  # the added runs may go deeper
+            added, _, now = _split(crowd, range(runs, need), paths, least)
+            found += added
+            reached, runs = max(reached, now), need
     return _union(found)
 
 
@@ -436,46 +510,53 @@ def _member_sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str
     return joined.mapInArrow(run, "comp long, node long, block long, blocks long, copies long, shingles binary")
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id and n_links of each document."""
+def _classes(docs: DataFrame, threshold: float, recall: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n_shingles and print of each document with an id; and print, copies, links, label and class_id of each set."""
     embedded = materialise(embed(docs, id_col, text_col), "jac-embedded")
     folded = embedded.filter("n_shingles > 0").groupBy("print").agg(
         F.min("doc_id").alias("rep_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"),
         F.first("tokens").alias("tokens"),
     )
-    sets = materialise(folded.withColumn("node", F.monotonically_increasing_id()), "jac-sets")
     paths: list[str] = []
-    groups = materialise(components(candidate_edges(sets, paths, threshold, recall)), "jac-groups")
-    discard(docs.sparkSession, paths)
+    sets = materialise(folded.withColumn("node", F.monotonically_increasing_id()), "jac-sets", paths)
+    edge_paths: list[str] = []
+    groups = materialise(components(candidate_edges(sets, edge_paths, threshold, recall), edge_paths), "jac-groups", paths)
+    discard(docs.sparkSession, edge_paths)
 
     # Blocks: a group is dealt into as many as keep each under both bounds.
     member = groups.join(sets.drop("tokens"), "node").withColumnRenamed("label", "comp")
-    member = materialise(member, "jac-members")
+    member = materialise(member, "jac-members", paths)
     size = member.groupBy("comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     shared = F.least(F.lit(SPREAD), F.ceil(F.col("n") / LEAST_SETS))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_SETS), F.ceil(F.col("s") / BLOCK_SHINGLES), shared).cast("long")
-    size = materialise(size.select("comp", "n", blocks.alias("blocks")), "jac-sizes")
+    size = materialise(size.select("comp", "n", blocks.alias("blocks")), "jac-sizes", paths)
     placed = join_by_key(member, size, "comp", "n", "inner").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     with_sets = _member_sets(docs, placed.select("rep_id", "print", "comp", "node", "block", "blocks", "copies"), id_col, text_col)
     paired = with_sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
         "comp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "block", "copies", "shingles"
     )
-    checked = materialise(_verify(paired, threshold), "jac-checked")
+    checked = materialise(_verify(paired, threshold), "jac-checked", paths)
 
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
-    label = components(checked.filter("node <> parent").select(F.col("node").alias("u"), F.col("parent").alias("v")))
+    label = components(checked.filter("node <> parent").select(F.col("node").alias("u"), F.col("parent").alias("v")), paths)
     told = (
         sets.drop("tokens").join(links, "node", "left").join(label, "node", "left")
-        .withColumn("label", F.coalesce("label", "node"))
+        .select("print", "rep_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "node").alias("label"))
     )
-    told = materialise(told, "jac-told")
+    told = materialise(told, "jac-told", paths)
     first = told.groupBy("label").agg(F.min("rep_id").alias("class_id"), F.count("*").alias("sets"))
-    classed = join_by_key(told, materialise(first, "jac-classes"), "label", "sets", "inner")
-    by_print = materialise(
-        classed.select("print", "class_id", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "jac-prints"
-    )
-    full = join_by_key(embedded.filter("n_shingles > 0").select("doc_id", "print"), by_print, "print", "copies", "inner")
-    empty = embedded.filter("n_shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    classed = join_by_key(told, materialise(first, "jac-classes", paths), "label", "sets", "inner").drop("sets")
+    classed = materialise(classed, "jac-prints")
+    discard(docs.sparkSession, paths)
+    return embedded.select("doc_id", "n_shingles", "print"), classed
+
+
+def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, class_id and n_links of each document."""
+    rows, classed = _classes(docs, threshold, recall, id_col, text_col)
+    by_print = classed.select("print", "class_id", "copies", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    full = join_by_key(rows.filter("n_shingles > 0").select("doc_id", "print"), by_print, "print", "copies", "inner")
+    empty = rows.filter("n_shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     nulls = docs.filter(F.col(id_col).isNull()).select(
         F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links")
     )
@@ -483,8 +564,42 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     return out.withColumnRenamed("doc_id", id_col)
 
 
+def _with_prints(rows: DataFrame, id_at: int, text_at: int) -> DataFrame:
+    """rows with __id and __print, the print of each text's set (null if it is empty)."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("__id", T.LongType()), T.StructField("__print", T.BinaryType())])
+
+    def run(batches):
+        make = Shingler()
+        for b in batches:
+            texts = [t or b"" for t in utf8(b.column(text_at))]
+            prints = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for lo, hi in slices(texts) for s in make(texts[lo:hi])]
+            yield pa.RecordBatch.from_arrays([*b.columns, b.column(id_at).cast(pa.int64()), pa.array(prints, pa.binary())], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the document of the least id of each class; of rows that repeat an id one stays, null ids all stay."""
-    kept = join(docs, threshold, RECALL, id_col, text_col).filter(F.col(id_col) == F.col("class_id")).select(id_col).distinct()
-    keyed = docs.filter(F.col(id_col).isNotNull()).join(kept, id_col).dropDuplicates([id_col])
-    return keyed.select([F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.filter(F.col(id_col).isNull()))
+    """docs, with exactly their columns, that have the least id of their class; one row of each class stays.
+
+    Rows that repeat an id are documents of their own: those of other classes stay beside one another.  Of several
+    rows that could stay for a class, that of the least print, and then of the least text, does.  Null ids all stay.
+    """
+    rows, classed = _classes(docs, threshold, RECALL, id_col, text_col)
+    full = classed.groupBy("label").agg(F.min(F.struct(F.col("rep_id").alias("doc_id"), "print")).alias("first")).select("first.*")
+    empty = rows.filter("n_shingles = 0").select("doc_id", "print").distinct()
+    counts = rows.groupBy("doc_id").agg(F.count("*").alias("rows"))
+    kept = materialise(full.unionByName(empty).join(counts, "doc_id"), "jac-kept")
+
+    private = [f"__c{k}" for k in range(len(docs.columns))]
+    source = docs.toDF(*private)
+    at = {name: private[docs.columns.index(name)] for name in (id_col, text_col)}
+    key = F.col(at[id_col]).cast("long")
+    once = source.join(kept.filter("rows = 1").select("doc_id"), key == F.col("doc_id"), "left_semi")
+    again = kept.filter("rows > 1").select("doc_id", F.col("print").alias("kept_print"))
+    repeated = source.join(again.select("doc_id").distinct(), key == F.col("doc_id"), "left_semi")
+    marked = _with_prints(repeated, private.index(at[id_col]), private.index(at[text_col]))
+    order = F.struct(F.coalesce(F.col(at[text_col]), F.lit("")), F.xxhash64(*private))
+    one = marked.groupBy("__id", "__print").agg(F.min_by(F.struct(*private), order).alias("row"))
+    chosen = one.join(again, (F.col("__id") == F.col("doc_id")) & F.col("__print").eqNullSafe(F.col("kept_print")), "left_semi")
+    nulls = source.filter(F.col(at[id_col]).isNull())
+    return once.unionByName(chosen.select("row.*")).unionByName(nulls).toDF(*docs.columns)
