@@ -30,6 +30,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,7 +47,7 @@ BUCKETS, NEAR = 1 << 15, 1 << 13
 SEED_MARGIN = 4.0
 SEED_RATIO = 20.0
 #: Features that a task counts, and words that it remembers, before it passes them on.
-COUNTED_FEATURES = 200_000
+COUNTED_FEATURES = 100_000
 
 FIELDS = T.StructType(
     [
@@ -80,12 +81,17 @@ def word_features(word: bytes) -> list[bytes]:
     return [b"w" + word, *(b"p" + c for c in _cuts(word)[0])]
 
 
-def word_buckets(word: bytes, seeds: set[bytes]) -> list[int]:
+def feature_key(feature: bytes) -> int:
+    """A feature's 64-bit key, under which it is counted and kept as a seed."""
+    return xxhash.xxh3_64_intdigest(feature) - (1 << 63)
+
+
+def word_buckets(word: bytes, seeds: set[int]) -> list[int]:
     """The word's own features; the bucket after the last hashed one is that of seeds."""
     cuts, last = _cuts(word)
     named = [b"w" + word, *(b"p" + c for c in cuts)]
     found = [zlib.crc32(f) % BUCKETS for f in (*named, b"s" + last, b"b")]
-    return found if seeds.isdisjoint(named) else [*found, BUCKETS]
+    return found if seeds.isdisjoint(map(feature_key, named)) else [*found, BUCKETS]
 
 
 def near_bucket(word: bytes) -> int:
@@ -110,31 +116,34 @@ class Chains:
         order = np.argsort(-lengths, kind="stable")
         self.first, self.starts, self.lengths = first, starts[order], lengths[order]
         longest = int(lengths.max()) if n else 0
-        #: how many chains have a word at each position
+        #: how many chains have a word at each position; the words by position, and where each position begins there
         self.active = np.searchsorted(-self.lengths, -np.arange(1, longest + 1), side="right")
+        self.by_position = np.concatenate([self.starts[:k] + t for t, k in enumerate(self.active)]) if n else np.zeros(0, int)
+        self.begins = np.concatenate([[0], np.cumsum(self.active)])
 
     def marginals(self, emission: np.ndarray, start: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each word's toxic marginal, and the forward and backward shares that give it.
 
         emission: log weight of toxic against other for each word; start, move: log weights.
         """
-        weight = np.exp(np.clip(emission, -_CLIP, _CLIP))
+        weight = np.exp(np.clip(emission, -_CLIP, _CLIP))[self.by_position]
         m, s = np.exp(move), np.exp(start)
-        fwd, bwd = np.empty(len(emission)), np.empty(len(emission))
-        for t, n in enumerate(self.active):
-            i = self.starts[:n] + t
+        f, b = np.empty(len(emission)), np.full(len(emission), 0.5)
+        for t, (at, n) in enumerate(zip(self.begins, self.active)):
+            w = weight[at : at + n]
             if t:
-                a = fwd[i - 1]
-                u0, u1 = (1 - a) * m[0, 0] + a * m[1, 0], ((1 - a) * m[0, 1] + a * m[1, 1]) * weight[i]
+                a = f[self.begins[t - 1] :][:n]
+                u0, u1 = (1 - a) * m[0, 0] + a * m[1, 0], ((1 - a) * m[0, 1] + a * m[1, 1]) * w
             else:
-                u0, u1 = s[0], s[1] * weight[i]
-            fwd[i] = u1 / (u0 + u1)
-        bwd[self.starts + self.lengths - 1] = 0.5
+                u0, u1 = s[0], s[1] * w
+            f[at : at + n] = u1 / (u0 + u1)
         for t in range(len(self.active) - 1, 0, -1):
-            i = self.starts[: self.active[t]] + t
-            b, w = bwd[i], weight[i]
-            v0, v1 = m[0, 0] * (1 - b) + m[0, 1] * w * b, m[1, 0] * (1 - b) + m[1, 1] * w * b
-            bwd[i - 1] = v1 / (v0 + v1)
+            at, n = self.begins[t], self.active[t]
+            after, w = b[at : at + n], weight[at : at + n]
+            v0, v1 = m[0, 0] * (1 - after) + m[0, 1] * w * after, m[1, 0] * (1 - after) + m[1, 1] * w * after
+            b[self.begins[t - 1] :][:n] = v1 / (v0 + v1)
+        fwd, bwd = np.empty_like(f), np.empty_like(b)
+        fwd[self.by_position], bwd[self.by_position] = f, b
         up = fwd * bwd
         return up / (up + (1 - fwd) * (1 - bwd)), fwd, bwd
 
@@ -160,7 +169,7 @@ class ToxicModel:
     def __init__(self) -> None:
         self.theta = np.zeros(BUCKETS + 1)  # the last one is that of seed words
         self.near = np.zeros((2, NEAR))  # what a word adds to the one after it, and to the one before it
-        self.seeds: set[bytes] = set()
+        self.seeds: set[int] = set()
         self.start, self.move = np.zeros(2), np.zeros((2, 2))
         self.head: np.ndarray | None = None  # weights of log expected count, logit of the largest marginal, and 1
 
@@ -200,20 +209,20 @@ def enough(features: int) -> float:
     return math.log(max(1, features)) + SEED_MARGIN
 
 
-def count_seeds(labelled: DataFrame) -> set[bytes]:
-    """Seed features of all rows of a table of __t, a text, and __y, its label.
+def count_seeds(labelled: DataFrame) -> set[int]:
+    """Keys of the seed features of all rows of a table of __t, a text, and __y, its label.
 
     A task gives the features of each toxic document with the document's copy key, and adds up those
     of its other documents, at most COUNTED_FEATURES at a time.  Only seeds reach the driver.
     """
 
     def run(batches):
-        features: dict[bytes, list[bytes]] = {}
+        features: dict[bytes, list[int]] = {}
         misses: Counter = Counter()
-        schema = pa.schema([("feature", pa.binary()), ("key", pa.int64()), ("n", pa.int64())])
+        schema = pa.schema([("feature", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
 
         def rows(names, keys, counts):
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], schema=schema)
 
         for b in batches:
             texts, labels = utf8(b.column(0)), b.column(1).to_pylist()
@@ -225,7 +234,7 @@ def count_seeds(labelled: DataFrame) -> set[bytes]:
                 found = set()
                 for w in set(words):
                     if (named := features.get(w)) is None:
-                        features[w] = named = word_features(w)
+                        features[w] = named = [feature_key(f) for f in word_features(w)]
                     found.update(named)
                 if label == 1:
                     key = _copy_key(words)
@@ -241,7 +250,7 @@ def count_seeds(labelled: DataFrame) -> set[bytes]:
         if misses:
             yield rows(list(misses), [None] * len(misses), list(misses.values()))
 
-    counted = labelled.select("__t", "__y").mapInArrow(run, "feature binary, key long, n long").groupBy("feature").agg(
+    counted = labelled.select("__t", "__y").mapInArrow(run, "feature long, key long, n long").groupBy("feature").agg(
         F.countDistinct("key").alias("hits"), F.sum("n").alias("misses")
     )
     paths: list[str] = []
@@ -250,19 +259,19 @@ def count_seeds(labelled: DataFrame) -> set[bytes]:
     toxic, other, features = counted.agg(  # documents of each label, and features of toxic ones
         F.sum(F.when(is_total, F.col("hits"))), F.sum(F.when(is_total, F.col("misses"))), F.count(F.when(~is_total & (F.col("hits") > 0), 1))
     ).first()
-    seeds: set[bytes] = set()
+    seeds: set[int] = set()
     if toxic and other:
         rare = F.col("hits") / toxic >= SEED_RATIO * (F.col("misses") + 0.5) / other
         good = counted.filter(~is_total & rare)
         best = good.agg(F.max("hits")).first()[0] or 0
         least = min(enough(features) / math.log((toxic + other) / toxic), best)
         if best > 1:
-            seeds = {bytes(r[0]) for r in good.filter(F.col("hits") >= least).select("feature").collect()}
+            seeds = {r[0] for r in good.filter(F.col("hits") >= least).select("feature").collect()}
     discard(labelled.sparkSession, paths)
     return seeds
 
 
-def fit(rows: list[tuple[bytes, int]], seeds: set[bytes], epochs: int = 60, rate: float = 0.3, decay: float = 1e-3) -> ToxicModel:
+def fit(rows: list[tuple[bytes, int]], seeds: set[int], epochs: int = 60, rate: float = 0.3, decay: float = 1e-3) -> ToxicModel:
     """The model of (text, label) rows with the seeds given; it stays without a head if a class or every seed is missing."""
     model = ToxicModel()
     if not seeds or len({y for _, y in rows}) < 2:

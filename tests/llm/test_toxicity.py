@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import re
 
 import numpy as np
 import pytest
@@ -98,7 +99,7 @@ def test_nothing_to_learn(spark, edges, no_docs, kind):
 
 
 def test_edges_with_a_model(spark, edges):
-    model = toxicity.fit([(t.encode(), y) for _, t, y in planted()], {b"pscumba", b"pvileon", b"pgrubbe"})
+    model = toxicity.fit([(t.encode(), y) for _, t, y in planted()], set(map(toxicity.feature_key, (b"pscumba", b"pvileon", b"pgrubbe"))))
     got = {r.doc_id: r for r in toxicity.score_documents(edges, model).collect()}
     assert all(0 <= r.score < 0.5 and r.predicted == 0 for r in got.values())
     assert got[1].score == got[2].score  # no words at all
@@ -120,3 +121,90 @@ def test_recall_of_each_language(spark):
     assert len(held) == 4
     for r in held:
         assert r.n >= 5 and r.marked == (r.n if r.toxic else 0), r
+
+
+def plain_seeds(rows):
+    """Seeds by sets: near copies by their least triple of words, features of each document, evidence and ratio."""
+    import zlib
+
+    def words(t):
+        return [w for w in re.split(r"[^a-z0-9\u0080-\uffff]+", t.lower()) if w]
+
+    def named(w):
+        return {"w" + w} | {"p" + w[:k] for k in (3, 4, 5, 6) if len(w) > k}
+
+    toxic, other = {}, []
+    for t, y in rows:
+        ws = words(t)
+        found = set().union(*map(named, ws)) if ws else set()
+        if y:
+            key = min((zlib.crc32(" ".join(ws[i : i + 3]).encode()) for i in range(max(1, len(ws) - 2))), default=0)
+            toxic.setdefault(key, set()).update(found)
+        else:
+            other.append(found)
+    features = set().union(*toxic.values())
+    hits = {f: sum(f in d for d in toxic.values()) for f in features}
+    misses = {f: sum(f in d for d in other) for f in features}
+    good = {f: h for f, h in hits.items() if h / len(toxic) >= 20 * (misses[f] + 0.5) / len(other)}
+    least = min((math.log(len(features)) + 4) / math.log((len(toxic) + len(other)) / len(toxic)), max(good.values(), default=0))
+    return {toxicity.feature_key(f.encode()) for f, h in good.items() if h >= least and h > 1}
+
+
+@pytest.mark.parametrize("n", [40, 400])
+def test_seeds_against_sets(spark, n):
+    rows = [(t, y) for _, t, y in planted(n)] + [("", 0), ("scumbag", 1), ("scumbag", 1)]
+    frame = spark.createDataFrame([(t, y) for t, y in rows], "__t string, __y int")
+    want = plain_seeds(rows)
+    assert toxicity.count_seeds(frame) == want and want
+
+
+def test_few_labels_teach_unmistakable_words(spark):
+    """12 labelled toxic documents of 60, each with the same word, are enough for that word."""
+    rng = np.random.default_rng(9)
+    words = [f"word{i}" for i in range(300)]
+    rows = [(i, " ".join([*rng.choice(words, 15), *(["scumbag"] if i % 5 == 0 else [])]), int(i % 5 == 0)) for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    got = toxicity.judge(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")).collect()
+    assert all(r.predicted == rows[r.doc_id][2] for r in got)
+
+
+def test_gradient_is_that_of_the_likelihood():
+    """What fit() descends along, against differences of the chains' log likelihood."""
+    rng = np.random.default_rng(2)
+    chains = toxicity.Chains(rng.integers(2, 9, 12), np.repeat([0, 1, 2], [5, 1, 6]))
+    gold, emission, start, move = rng.integers(0, 2, 12), rng.normal(size=12), rng.normal(size=2), rng.normal(size=(2, 2))
+
+    def loss(e, s, m):
+        total = 0.0
+        for a, n in zip(chains.starts, chains.lengths):
+            score = lambda y: s[y[0]] + sum(e[a + i] * v for i, v in enumerate(y)) + sum(m[p, q] for p, q in zip(y, y[1:]))
+            total += math.log(sum(math.exp(score(y)) for y in itertools.product((0, 1), repeat=int(n)))) - score(tuple(gold[a : a + n]))
+        return total
+
+    marginal, fwd, bwd = chains.marginals(emission, start, move)
+    step = 1e-6
+    slope = [(loss(emission + step * np.eye(12)[i], start, move) - loss(emission, start, move)) / step for i in range(12)]
+    assert np.allclose(marginal - gold, slope, atol=1e-4)
+    pairs = chains.moves(emission, move, fwd, bwd)
+    for p, q in itertools.product((0, 1), repeat=2):
+        d = np.zeros((2, 2))
+        d[p, q] = step
+        inner = np.flatnonzero(~chains.first)
+        had = sum(gold[i - 1] == p and gold[i] == q for i in inner)
+        assert abs((loss(emission, start, move + d) - loss(emission, start, move)) / step - (pairs[p, q] - had)) < 1e-4
+
+
+def test_many_words_and_spans_of_a_long_text(spark):
+    model = toxicity.fit([(t.encode(), y) for _, t, y in planted()], set(map(toxicity.feature_key, (b"pscumba", b"pvileon", b"pgrubbe"))))
+    text = "word1 word2 word3. " * 30_000 + "scumbag"
+    row = toxicity.score_documents(spark.createDataFrame([(text,)], "text string"), model).first()
+    assert row.predicted == 1 and [text[a:b] for a, b in row.spans] == ["scumbag"]
+
+
+def test_repeated_ids_are_learned_from_once(spark):
+    """One labelled id on many rows adds one text to the sample."""
+    docs = spark.createDataFrame([(1, f"text number {i}") for i in range(3000)] + [(2, "x y z")], "doc_id long, text string")
+    chosen = spark.createDataFrame([(1, 1), (2, 0)], "__id long, __y int")
+    from helixframe.llm.common import texts_of
+
+    assert sorted(tuple(r) for r in texts_of(docs, chosen, "doc_id", "text", "__y").collect()) == [(1, 1, "text number 0"), (2, 0, "x y z")]
