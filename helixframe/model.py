@@ -55,9 +55,14 @@ class Trajectory:
     def n_atoms(self) -> int:
         return len(self.atom_rows)
 
+    @property
+    def whole_frames(self) -> DataFrame:
+        """The frames that have a coordinate for each atom; those without coordinates or with others count for nothing."""
+        return self.frames.filter(F.size("xyz") == 3 * self.n_atoms)
+
     @cached_property
     def n_frames(self) -> int:
-        return self.frames.count()
+        return self.whole_frames.count()
 
     @property
     def long(self) -> DataFrame:

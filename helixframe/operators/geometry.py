@@ -40,8 +40,8 @@ def series(
         if a >= simple or b >= simple:
             raise ValueError(f"composite {n} names a series that there is not")
         w = weights[n] if n < len(weights) else -1.0
-        label = composite_labels[n] if n < len(composite_labels) and composite_labels[n].strip() else f"{made[a][0]}{w:+g}*{made[b][0]}"
-        made.append((label, "composite", made[a][2], made[a][3] + F.lit(float(w)) * made[b][3]))
+        label = composite_labels[n] if n < len(composite_labels) and composite_labels[n].strip() else f"RC({a}{'−' if w < 0 else '+'}{b})"
+        made.append((label, "composite", "Å", made[a][3] + F.lit(float(w)) * made[b][3]))
     if not made:
         raise ValueError("no pair or triplet was given")
     structs = [

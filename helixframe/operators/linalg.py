@@ -1,7 +1,7 @@
 """Principal components, elastic networks and entropy: small dense eigenproblems over distributed sums.
 
 The matrices have 3N rows for N atoms; they are summed on the executors and decomposed on the
-driver, so N is bounded by MAX_ROWS.  Eigenvectors have a fixed sign: their largest component, the
+driver, so N is bounded by primitives.MAX_ROWS.  Eigenvectors have a fixed sign: their largest component, the
 first of equal ones, is positive.
 """
 
@@ -12,10 +12,7 @@ from pyspark.sql import DataFrame
 
 from helixframe.model import Trajectory
 from helixframe.operators.structural import square_fluctuations
-from helixframe.plans.primitives import covariance, entries, map_frames
-
-#: Rows of a matrix that the driver decomposes (1.2 GB of doubles).
-MAX_ROWS = 12_000
+from helixframe.plans.primitives import MAX_ROWS, covariance, entries, map_frames
 
 # Constants of the quasi-harmonic entropy.
 BOLTZMANN, AVOGADRO, HBAR = 1.380649e-23, 6.02214076e23, 1.054571817e-34

@@ -13,6 +13,8 @@ from helixframe.model import Trajectory
 
 #: Atoms up to which all pairs of a frame are looked at within its row; beyond, a cell grid is joined.
 MAX_INROW_ATOMS = 512
+#: Rows of a square matrix that the driver holds (1.2 GB of doubles); checked before any frame is read.
+MAX_ROWS = 12_000
 #: Side of the square blocks that a large Gram matrix is summed in.
 GRAM_BLOCK = 1536
 
@@ -32,7 +34,7 @@ def map_frames(traj: Trajectory, schema: str, make: Callable[[np.ndarray, np.nda
             if b.num_rows:
                 yield pa.RecordBatch.from_pydict(make(b.column(0).to_numpy(), matrix(b.column(1))))
 
-    return traj.frames.mapInArrow(run, schema)
+    return traj.whole_frames.mapInArrow(run, schema)
 
 
 def summed_vectors(traj: Trajectory, make: Callable[[np.ndarray], np.ndarray], rows: int) -> np.ndarray:
@@ -49,18 +51,18 @@ def summed_vectors(traj: Trajectory, make: Callable[[np.ndarray], np.ndarray], r
                 part = make(matrix(b.column(0)))
                 total = part if total is None else total + part
         if total is not None:
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * total.shape[1]), pa.array(total.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(rows)), lists], names=["i", "v"])
+            packed = pa.array([row.tobytes() for row in np.ascontiguousarray(total, float)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(rows)), packed], names=["i", "v"])
 
     def add(t: pa.Table) -> pa.Table:
-        total = matrix(pa.concat_arrays(t["v"].chunks)).sum(axis=0)
-        return pa.table({"i": t["i"][:1], "v": pa.array([total], pa.list_(pa.float64()))})
+        total = sum(np.frombuffer(v, float) for v in t["v"].to_pylist())
+        return pa.table({"i": t["i"][:1], "v": pa.array([total.tobytes()], pa.binary())})
 
-    parts = traj.frames.select("xyz").mapInArrow(run, "i long, v array<double>")
-    found = parts.groupBy("i").applyInArrow(add, "i long, v array<double>").collect()
+    parts = traj.whole_frames.select("xyz").mapInArrow(run, "i long, v binary")
+    found = parts.groupBy("i").applyInArrow(add, "i long, v binary").collect()
     if not found:
         return np.zeros((rows, 0))
-    return np.array([r.v for r in sorted(found, key=lambda r: r.i)])
+    return np.array([np.frombuffer(r.v, float) for r in sorted(found, key=lambda r: r.i)])
 
 
 def mean_vector(traj: Trajectory) -> np.ndarray:
@@ -71,6 +73,8 @@ def mean_vector(traj: Trajectory) -> np.ndarray:
 
 def _gram_rows(traj: Trajectory, part: Callable[[np.ndarray, int, int], np.ndarray], n: int) -> np.ndarray:
     """Rows of an n x n sum, gathered a band of GRAM_BLOCK rows at a time, so that a task never holds more than a band."""
+    if n > MAX_ROWS:
+        raise ValueError(f"a matrix of {n} rows; at most {MAX_ROWS} are held, analyse a selection")
     bands = []
     for lo in range(0, n, GRAM_BLOCK):
         hi = min(n, lo + GRAM_BLOCK)

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helixframe.model import Trajectory, from_long
+from helixframe.model import Trajectory, atoms_frame, from_long
+from helixframe.plans.tables import materialise
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -29,7 +31,8 @@ def _cut(start: int, end: int) -> Column:
 def read_pdb(spark: SparkSession, path: str) -> Trajectory:
     """S2, S3, S8. A trajectory of PDB text: a frame a MODEL (one if there is none), atoms from the first.
 
-    A blank element is the first letter of the atom's name, a blank chain A, a blank residue UNK, a
+    Frames of several files follow one another in the order of the files' names; all hold the same atoms, which are
+    read from the first one.  A blank element is the first letter of the atom's name, a blank chain A, a blank residue UNK, a
     blank residue number the atom's own number.
     """
     order = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
@@ -47,8 +50,18 @@ def read_pdb(spark: SparkSession, path: str) -> Trajectory:
         F.when(_cut(76, 78) == "", F.regexp_extract(name, "[A-Z]", 0)).otherwise(_cut(76, 78)).alias("element"),
         *[_cut(30 + 8 * k, 38 + 8 * k).try_cast("double").alias(c) for k, c in enumerate("xyz")],
     )
-    atoms = rows.filter("frame = 0").select("atom_idx", "atom_name", "res_name", "chain_id", "res_seq", "element")
-    return from_long(rows.select("frame", "atom_idx", "x", "y", "z"), atoms)
+    numbered = rows.join(_frame_numbers(rows.select("file", "frame").distinct()).withColumnRenamed("t", "number"), ["file", "frame"])
+    atoms = numbered.filter("number = 0").select("atom_idx", "atom_name", "res_name", "chain_id", "res_seq", "element")
+    return from_long(numbered.select(F.col("number").alias("frame"), "atom_idx", "x", "y", "z"), atoms)
+
+
+def _frame_numbers(models: DataFrame) -> DataFrame:
+    """file, frame and t, the number from 0 of each (file, frame): files in order of their names, frames from 0 within one."""
+    sizes = models.groupBy("file").agg(F.count("*").alias("n"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))  # a row a file
+    order = Window.partitionBy("file").orderBy("frame")
+    return models.join(starts, "file").select("file", "frame", (F.col("start") + F.row_number().over(order) - 1).alias("t"))
 
 
 def parse_xyz(text: str) -> list[tuple[str, float, float, float]]:
@@ -74,32 +87,41 @@ def parse_xyz(text: str) -> list[tuple[str, float, float, float]]:
 
 
 def read_xyz(spark: SparkSession, path: str) -> Trajectory:
-    """S2. A trajectory of XYZ text, one or more frames in one file; atoms are residue UNK."""
-    whole = spark.read.text(path, wholetext=True).first()
-    lines = whole[0].splitlines() if whole else []
-    frames, at, names = [], 0, None
-    while at < len(lines) and lines[at].strip():
-        rows = parse_xyz("\n".join(lines[at:]))
-        names = names or [r[0] for r in rows]
-        frames.append((len(frames), [float(v) for r in rows for v in r[1:]]))
-        at += 2 + len(rows)
-    if names is None:
-        raise ValueError("no frame was read")
-    from helixframe.model import atoms_frame
+    """S2. A trajectory of XYZ text, one or more frames a file; atoms are residue UNK and read from the first frame.
 
-    atoms = atoms_frame(spark, [(k, n, "UNK", "A", k + 1, n) for k, n in enumerate(names)])
-    return Trajectory(spark.createDataFrame(frames, "frame long, xyz array<double>"), atoms)
+    Files are parsed by the executors; their frames follow one another in the order of the files' names.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+
+    def run(batches):
+        for b in batches:
+            for file, text in zip(b.file, b.value):
+                lines, at, k = text.splitlines(), 0, 0
+                while at < len(lines) and lines[at].strip():
+                    rows = parse_xyz("\n".join(lines[at : at + 2 + int(lines[at])] if lines[at].strip().isdigit() else lines[at:]))
+                    coordinates = [float(v) for r in rows for v in r[1:]]
+                    yield pd.DataFrame([(file, k, [r[0] for r in rows] if k == 0 else None, coordinates)], columns=["file", "frame", "names", "xyz"])
+                    at, k = at + 2 + len(rows), k + 1
+
+    frames = whole.mapInPandas(run, "file string, frame long, names array<string>, xyz array<double>")
+    frames = materialise(frames.join(_frame_numbers(frames.select("file", "frame")), ["file", "frame"]), "xyz-frames")
+    first = frames.filter("t = 0").first()
+    if first is None:
+        raise ValueError("no frame was read")
+    atoms = atoms_frame(spark, [(k, n, "UNK", "A", k + 1, n) for k, n in enumerate(first.names)])
+    return Trajectory(frames.select(F.col("t").alias("frame"), "xyz"), atoms)
 
 
 # ----------------------------------------------------------------------------------------------
 # Restraints
 
 
-def parse_restraints(text: str, column: int = 2) -> list[dict]:
+def parse_restraints(text: str, column: int = 1) -> list[dict]:
     """S7. The restraint blocks of a text: &rst opens one, &end or / closes it; without atoms it is dropped.
 
     Each has block_idx, iat, rstwt (all of its weights), r2, rk2 (the first nonzero of r2, r3 and of
-    rk2, rk3), the comment before it and a label.  A text without blocks is an error.
+    rk2, rk3), the comment before it and a label: the sign of the second weight, and a column counted from `column`.
+    A text without blocks is an error.
     """
     blocks, comment, now = [], "", None
     for line in text.splitlines():
@@ -139,7 +161,9 @@ def _close(blocks: list[dict], block: dict, column: int) -> None:
     if not block["iat"]:
         return
     n, at = len(block["iat"]), column + len(blocks)
-    block["label"] = f"r1−r2 (col {at})" if n == 4 and len(block["rstwt"]) == 2 else f"CV col {at} ({n} atoms)"
+    weights = block["rstwt"]
+    sign = "−" if len(weights) == 2 and weights[1] < 0 else "+"
+    block["label"] = f"r1{sign}r2 (col {at})" if n == 4 and len(weights) == 2 else f"CV col {at} ({n} atoms)"
     blocks.append({"block_idx": len(blocks), **block})
 
 
@@ -163,7 +187,7 @@ def read_restraints(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_poses(spark: SparkSession, path: str) -> DataFrame:
-    """S10. rank, affinity, rmsd_lb, rmsd_ub, coords of the models of docking output that have a coordinate."""
+    """S10. file, rank, affinity, rmsd_lb, rmsd_ub, coords of the models of docking output that have a coordinate."""
     order = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     lines = numbered_lines(spark, path)
     rank = F.sum(F.when(F.col("text").startswith("MODEL"), 1).otherwise(0)).over(order)
@@ -178,7 +202,7 @@ def read_poses(spark: SparkSession, path: str) -> DataFrame:
         F.array_sort(F.collect_list(F.when(is_atom, here))).alias("a"),
     )
     coords = F.transform("a", lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"), s["z"].alias("z")))
-    return packed.filter(F.size("a") > 0).select("rank", "affinity", "rmsd_lb", "rmsd_ub", coords.alias("coords"))
+    return packed.filter(F.size("a") > 0).select("file", "rank", "affinity", "rmsd_lb", "rmsd_ub", coords.alias("coords"))
 
 
 def receptor_center(spark: SparkSession, path: str) -> DataFrame:
@@ -188,18 +212,21 @@ def receptor_center(spark: SparkSession, path: str) -> DataFrame:
 
 
 def receptor_pdb(spark: SparkSession, path: str) -> DataFrame:
-    """S12. line, text of a PDBQT receptor as PDB: its own records dropped, atom lines cut to 80 columns."""
+    """S12. file, line, text of a PDBQT receptor as PDB: its own records dropped, atom lines cut to 80 columns."""
     lines = numbered_lines(spark, path).filter(~F.col("text").rlike("^(ROOT|ENDROOT|BRANCH|ENDBRANCH|TORSDOF)"))
     text = F.when(F.col("text").rlike("^(ATOM|HETATM)"), F.substring("text", 1, 80)).otherwise(F.col("text"))
-    return lines.select("line", text.alias("text"))
+    return lines.select("file", "line", text.alias("text"))
 
 
 def pose_pdb(spark: SparkSession, path: str, rank: int) -> DataFrame:
-    """S12. line, text of one model (from 1) of docking output; no such model is an error."""
+    """S12. file, line, text of one model (from 1) of each file of docking output, between a remark and END; no such model is an error."""
     order = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     lines = numbered_lines(spark, path)
     model = F.sum(F.when(F.col("text").startswith("MODEL"), 1).otherwise(0)).over(order)
     one = lines.withColumn("model", model).filter((F.col("model") == rank) & F.col("text").rlike("^(ATOM|HETATM)"))
     if one.isEmpty():
         raise ValueError(f"there is no model {rank}")
-    return one.select("line", F.substring("text", 1, 80).alias("text"))
+    files = one.groupBy("file").agg((F.min("line") - 1).alias("head"), (F.max("line") + 1).alias("tail"))
+    head = files.select("file", F.col("head").alias("line"), F.lit(f"REMARK  Docked pose {rank}").alias("text"))
+    tail = files.select("file", F.col("tail").alias("line"), F.lit("END").alias("text"))
+    return one.select("file", "line", F.substring("text", 1, 80).alias("text")).unionByName(head).unionByName(tail)

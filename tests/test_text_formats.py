@@ -88,7 +88,8 @@ RST = """# first
 def test_restraints(spark, tmp_path):
     a, b = structures.parse_restraints(RST)
     assert (a["iat"], a["rstwt"], a["r2"], a["rk2"], a["comment"]) == ([1, 2, 2, 3], [1.0, -1.0], -0.95, 150.0, "first")
-    assert a["label"] == "r1−r2 (col 2)" and b["label"] == "CV col 3 (2 atoms)"
+    assert a["label"] == "r1−r2 (col 1)" and b["label"] == "CV col 2 (2 atoms)"
+    assert structures.parse_restraints(RST.replace("-1.", "1."))[0]["label"] == "r1+r2 (col 1)"
     assert (b["iat"], b["r2"], b["rk2"], b["comment"]) == ([5, 6], 1.5, 20.0, "")
     with pytest.raises(ValueError, match="no restraint"):
         structures.parse_restraints("nothing")
@@ -130,13 +131,38 @@ def test_docking_output(spark, tmp_path):
     path = write(tmp_path / "out.pdbqt", VINA)
     rows = structures.read_poses(spark, path).orderBy("rank").collect()
     assert [(r.rank, r.affinity, r.rmsd_lb, r.rmsd_ub, len(r.coords)) for r in rows] == [(1, -7.5, 0, 0, 2), (2, -6.1, 1.25, 0, 1)]
-    assert structures.pose_pdb(spark, path, 2).first().text.startswith("ATOM      1  C")
+    write(tmp_path / "out2.pdbqt", VINA.replace("7.000", "9.000"))
+    pose = structures.pose_pdb(spark, f"{tmp_path}/out*.pdbqt", 2).orderBy("file", "line").collect()
+    assert [r.text[:22] for r in pose] == ["REMARK  Docked pose 2", "ATOM      1  C   LIG A", "END"] * 2
+    assert len({r.file for r in structures.read_poses(spark, f"{tmp_path}/out*.pdbqt").collect()}) == 2
     with pytest.raises(ValueError, match="no model"):
         structures.pose_pdb(spark, path, 9)
     kept = [r.text[:6] for r in structures.receptor_pdb(spark, path).orderBy("line").collect()]
     assert "ROOT" not in kept and "ATOM  " in kept
 
 
+def test_several_files_are_frames_one_after_another(spark, tmp_path):
+    for k, name in enumerate(("a", "b")):
+        write(tmp_path / f"{name}.pdb", "\n".join(f"ATOM  {i:5d}  CA  ALA A{i:4d}    {k + i:8.3f}{0:8.3f}{0:8.3f}  1.00  0.00           C" for i in (1, 2, 3)) + "\nEND\n")
+        write(tmp_path / f"{name}.xyz", "".join(f"2\n\nC {k}.0 0 {m}\nN 1 1 1\n" for m in range(2)))
+    pdb = structures.read_pdb(spark, f"{tmp_path}/*.pdb")
+    assert [(r.frame, len(r.xyz), r.xyz[0]) for r in pdb.frames.orderBy("frame").collect()] == [(0, 9, 1.0), (1, 9, 2.0)] and pdb.n_atoms == 3
+    xyz = structures.read_xyz(spark, f"{tmp_path}/*.xyz")
+    assert [(r.frame, r.xyz[0], r.xyz[2]) for r in xyz.frames.orderBy("frame").collect()] == [(0, 0, 0), (1, 0, 1), (2, 1, 0), (3, 1, 1)]
+    assert [r.atom_name for r in xyz.atom_rows] == ["C", "N"]
+
+
+def test_frames_without_coordinates_count_for_nothing(spark):
+    from helixframe.model import Trajectory, atoms_frame
+    from helixframe.operators import structural
+
+    atoms = atoms_frame(spark, [(0, "CA", "ALA", "A", 1, "C"), (1, "CB", "ALA", "A", 1, "C")])
+    rows = [(0, [0.0] * 6), (1, None), (2, [1.0] * 6), (3, [1.0] * 3)]
+    run = Trajectory(spark.createDataFrame(rows, "frame long, xyz array<double>"), atoms)
+    assert run.n_frames == 2 and run.mean.tolist() == [0.5] * 6
+    assert {r.atom_idx: r.rmsf for r in structural.rmsf(run).collect()} == pytest.approx({0: 0.75**0.5, 1: 0.75**0.5})
+
+
 def test_receptor_center(spark, tmp_path):
     row = "ATOM      1  C   ALA A   1    %8.3f%8.3f%8.3f  1.00  0.00          %2s"
     text = "\n".join([row % (0, 0, 0, "C"), row % (2, 4, 6, "N"), row % (90, 90, 90, "H"), row % (90, 90, 90, "HD"), "REMARK"])
