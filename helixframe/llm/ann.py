@@ -11,8 +11,10 @@ Queries and candidates meet in blocks of bounded size, so no task holds more tha
 each; a block hands on at most k rows a query.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do
-rows with a null id; a repeated id counts once, with its greatest vector; vectors of different
-lengths are not compared; ties go to the smaller id; with fewer candidates than k all are returned.
+rows with a null id; every other row is a candidate, repeated ones and those that share an id too,
+but for the rows of the query's own id; of several vectors under one query's id that of the most
+components, and then the greatest in byte order, is searched for; vectors of different lengths are
+not compared; ties go to the smaller id; with fewer candidates than k all are returned.
 """
 
 from __future__ import annotations
@@ -69,9 +71,9 @@ def usable(vector: Column) -> Column:
 
 
 def build_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = SEED) -> DataFrame:
-    """One row a usable vector: its components as doubles, code, norm and correction scalar."""
+    """One row a usable vector, in one pass without a shuffle: its components as doubles, code, norm and correction scalar."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("vec"))).groupBy("vec_id").agg(F.max("vec").alias("vec"))
+    rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("vec")))
 
     def run(batches):
         rotations: dict[int, np.ndarray] = {}
@@ -142,14 +144,19 @@ def search_block(queries: pa.Table, candidates: pa.Table, k: int, seed: int = SE
     return out
 
 
+def block_of(salt: int, blocks: int) -> Column:
+    """A row's block, by its id and vector, so that the rows of one id are dealt into many."""
+    return F.pmod(F.xxhash64("vec_id", "vec", F.lit(salt)), F.lit(blocks)).cast("int")
+
+
 def search(index: DataFrame, is_query: Column, k: int = 20, seed: int = SEED, epsilon: float = EPSILON) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest among all other rows of the index."""
     n, nq, dim = index.agg(F.count("*"), F.count(F.when(is_query, 1)), F.coalesce(F.max("dim"), F.lit(1))).first()
     nb = max(1, -(-n * dim // CANDIDATE_CELLS), min(SPREAD, -(-n // LEAST_BLOCK)))
     nqb = max(1, -(-nq * dim // QUERY_CELLS))
-    place = lambda salt, blocks: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(blocks)).cast("int")
-    candidates = index.withColumn("cb", place(1, nb)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nqb - 1))))
-    queries = index.filter(is_query).drop("code", "norm", "own").withColumn("qb", place(2, nqb))
+    candidates = index.withColumn("cb", block_of(1, nb)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nqb - 1))))
+    asked = index.filter(is_query).groupBy("vec_id").agg(F.max(F.struct("dim", "vec")).alias("asked"))
+    queries = asked.select("vec_id", "asked.*").withColumn("qb", block_of(2, nqb))
     queries = queries.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -65,7 +65,8 @@ def test_edges(spark):
     for r in ann.nearest(vectors).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     assert got == {
-        0: [(1, 1, 0.5), (2, 2, 0.5), (3, 20, 0.0), (4, 10, -1.0)], 20: [(1, 1, 1.0), (2, 2, 1.0), (3, 0, 0.0), (4, 10, -2.0)],
+        0: [(1, 1, 0.5), (2, 2, 0.5), (3, 2, 0.5), (4, 20, 0.0), (5, 10, -1.0)],
+        20: [(1, 1, 1.0), (2, 2, 1.0), (3, 2, 1.0), (4, 0, 0.0), (5, 10, -2.0)],
     }
     assert ann.nearest(vectors.limit(0)).count() == 0
     assert ann.nearest(vectors.filter("vec_id = 0")).count() == 0
@@ -75,3 +76,26 @@ def test_many_equal_vectors(spark):
     x = np.concatenate([np.ones((300, 8)), np.eye(8)])
     got = ann.nearest(frame(spark, range(308), x)).filter("query_id = 0").orderBy("rank").collect()
     assert [r.vec_id for r in got] == list(range(1, 21))
+
+
+def test_repeated_ids_are_candidates_each(spark):
+    """Every row but those of the query's own id is a candidate; one query an id."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (7, [1.0, 3.0]), (7, [2.0, 1.0]), (7, [2.0, 1.0]), (3, [0.0, -1.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    asked = max(np.array(v).tobytes() for i, v in rows if i == 0)
+    q = np.frombuffer(asked)
+    want = sorted(((-float(q @ np.array(v)), i) for i, v in rows if i != 0))
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == [(0, k, i, -s) for k, (s, i) in enumerate(want, 1)]
+
+
+def test_one_id_on_a_third_of_the_rows_is_dealt_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CANDIDATE_CELLS", 8 * 16)
+    rng = np.random.default_rng(5)
+    ids, x = [5] * 100 + list(range(100, 300)), rng.standard_normal((300, 8))
+    index = ann.build_index(frame(spark, ids, x)).cache()
+    blocks = index.filter("vec_id = 5").select(ann.block_of(1, 19).alias("b")).groupBy("b").count().collect()
+    assert len(blocks) == 19 and max(r["count"] for r in blocks) < 20
+    got = ann.search(index, F.col("vec_id") == 100, 20).toPandas()
+    x = x.astype(np.float32).astype(float)
+    want = sorted((-float(x[100] @ v), i) for i, v in zip(ids, x) if i != 100)[:20]
+    assert list(got.sort_values("rank").vec_id) == [i for _, i in want]
