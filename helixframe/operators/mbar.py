@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from helixframe.functions.expr import bin_index
 from helixframe.functions.lcg import Lcg
 from helixframe.plans.primitives import dense_index
+from helixframe.plans.tables import materialise
 
 # The gas constant in kcal/(mol K), the solver's tolerance and sweeps, bootstrap blocks, density points.
 GAS = 1.987204258e-3
@@ -108,7 +109,8 @@ class Mbar:
         numbered = dense_index(self.samples.select("window_idx", "x", "sample_idx"), "sample_idx", "at", by=("window_idx",))
         size = F.element_at(F.array(*[F.lit(max(1, int(m) // BLOCKS)) for m in self.n]), F.col("window_idx") + 1)
         block = F.least(F.lit(BLOCKS), F.floor(F.col("at") / size))
-        return numbered.select("window_idx", "x", block.cast("int").alias("block"))
+        # Every pass of the solver reads these; without the table each would number the samples again.
+        return materialise(numbered.select("window_idx", "x", block.cast("int").alias("block")), "mbar-blocks")
 
     def _draw(self, replicate: int) -> np.ndarray:
         """How often each block of each window is drawn, ten draws a window by the replicate's generator."""
