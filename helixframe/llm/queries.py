@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, jaccard, language_id, licenses, mixing, secrets, toxicity, url_filter, warc
+from . import ann, decontaminate, jaccard, language_id, licenses, merkle, mixing, secrets, tokens, toxicity, url_filter, warc
 from .common import table
 
 
@@ -67,10 +67,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    return merkle.documents_manifest(docs).rows()
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_language_id, op2_warc, op3_license_scans, op4_mixing, op5_nearest, op6_toxicity, op7_url_filters,
-        op8_secret_scans, op9_jaccard_join, op10_decontamination,
+        op8_secret_scans, op9_jaccard_join, op10_decontamination, op11_merkle_manifest, op12_token_counts,
     )
 }
 
@@ -133,5 +142,41 @@ WITH d AS (
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (r) LEFT JOIN s USING (r)
+""",
+    "op11_merkle_manifest": r"""
+WITH RECURSIVE b AS (
+  SELECT row_number() OVER () AS r, doc_id, CASE WHEN lang IS NULL THEN '-' ELSE '=' || lang END AS k, n_chars,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail,
+    xor(4294967295, list_reduce([4294967295] || list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i::BIGINT, 1))::BIGINT),
+      lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1))))) AS crc
+  FROM documents
+), d AS (
+  SELECT r, doc_id, k, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+    CASE WHEN crc % 7 = 0 THEN sha256(head || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || tail) END AS claimed
+  FROM b
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d
+), up(k, lv, l) AS (
+  SELECT k, 0, list(leaf ORDER BY pos) FROM o GROUP BY k
+  UNION ALL SELECT k, lv + 1, list_transform(range(1, len(l) + 1, 2), lambda i: sha256(l[i] || coalesce(l[i + 1], ''))) FROM up WHERE len(l) > 1
+), s AS (
+  SELECT k, l[1] AS subroot, row_number() OVER (ORDER BY k) - 1 AS pos FROM up WHERE len(l) = 1
+), tree(lv, l) AS (
+  SELECT 0, list(subroot ORDER BY k) FROM s
+  UNION ALL SELECT lv + 1, list_transform(range(1, len(l) + 1, 2), lambda i: sha256(l[i] || coalesce(l[i + 1], ''))) FROM tree WHERE len(l) > 1
+), steps AS (
+  SELECT r, 0 AS part, lv, (pos >> lv) & 1 AS side, coalesce(l[xor(pos >> lv, 1) + 1], '') AS sib FROM o JOIN up USING (k) WHERE len(l) > 1
+  UNION ALL SELECT r, 1, lv, (s.pos >> lv) & 1, coalesce(l[xor(s.pos >> lv, 1) + 1], '') FROM o JOIN s USING (k) JOIN tree ON len(l) > 1
+), p AS (
+  SELECT r, list(side || sib ORDER BY part, lv) AS path FROM steps GROUP BY r
+), f AS (
+  SELECT o.*, s.subroot, (SELECT l[1] FROM tree WHERE len(l) = 1) AS root, coalesce(path, []) AS path FROM o JOIN s USING (k) LEFT JOIN p USING (r)
+), g AS (
+  SELECT *, list_reduce([coalesce(claimed, leaf)] || path, lambda a, x: sha256(CASE WHEN x[1] = '1' THEN substr(x, 2) || a ELSE a || substr(x, 2) END)) AS folded_root FROM f
+)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda x: substr(x, 2)), '')) AS proof_sha256,
+  folded_root, folded_root = root AS verified
+FROM g
 """,
 }

@@ -1,0 +1,74 @@
+"""Token counts against the library's own encoding of whole texts."""
+
+from __future__ import annotations
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from helixframe.llm import queries, tokens
+from helixframe.llm.common import table
+
+SPECIAL = "<|endoftext|>"
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(tokens.vocabulary_path())
+
+
+def lengths(library, texts):
+    return [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_every_document(spark, medium, library):
+    docs = table(spark, medium, "documents").select("doc_id", "text").collect()
+    want = {r.doc_id: (len((r.text or "").encode()), n) for r, n in zip(docs, lengths(library, [r.text or "" for r in docs]))}
+    got = queries.op12_token_counts(spark, medium).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_tokens) for r in got} == want and len(got) == len(docs)
+    assert all(r.over_limit == (r.n_tokens > 2048) for r in got) and {r.over_limit for r in got} == {True, False}
+
+
+ODD = [
+    None, "", "  \t\n", "The cat's TAIL isn't here, they've said", f"a{SPECIAL}b {SPECIAL} <|startoftext|><|endoftext |> <|EndOfText|>", "İstanbul Été 中文 \U0001f600 naïve é",
+    "line one\x0bline\x0ctwo\x85three four　five\x1csix\x1dseven", "12345 1½ ٣٤ ⅷ", "Σίσυφος ΣΑΣ", "x" * 5000, "=" * 3000 + " " + "é" * 2000, "a\0b \0", "ﬁ ﬂ Å Å K",
+    "word " * 3000, "﻿bom zero​width", "'s 't 're ''ll 'D", "­soft­hyphen", " ́lone accent", "가각 각", SPECIAL * 3, "<|endoftext|",
+]
+
+
+@pytest.mark.parametrize("hot", [0, 3, tokens.HOT])
+def test_odd_texts(spark, library, hot):
+    rows = [(i, t, "clash", "x") for i, t in enumerate(ODD)] + [(3, ODD[3], "clash", "x")] * 2 + [(None, "no id", "clash", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string, key string").repartition(3)
+    got = tokens.count(docs, hot=hot)
+    assert got.columns == ["doc_id", "key", "n_bytes", "n_tokens", "over_limit"]
+    want = [(i, "x", len((t or "").encode()), n, n > 2048) for (i, t, *_), n in zip(rows, lengths(library, [r[1] or "" for r in rows]))]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_empty_table(no_docs):
+    assert tokens.count(no_docs.select("doc_id", "text")).count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \n\t'stdmlASΣİ<|>̣́\x1c\x85")), max_size=60))
+def test_any_text(library, text):
+    cut = tokens.pre_tokens(tokens.vocabulary_path())
+    got = sum(n * cut.pieces(p) for w, n in cut.words(text.encode()) for p in cut.of_word(w))
+    assert got == lengths(library, [text])[0]
+
+
+def test_a_vocabulary_that_keeps_white_space(spark, medium):
+    """Its texts are not cut beforehand."""
+    path = tokens.vocabulary_path("byte_bpe_50k.json")
+    assert not tokens.pre_tokens(path).by_word and tokens.pre_tokens(tokens.vocabulary_path()).by_word
+    docs = table(spark, medium, "documents").select("doc_id", "text").filter("doc_id < 40").unionByName(spark.createDataFrame([(-i, t) for i, t in enumerate(ODD)], "doc_id long, text string"))
+    rows = docs.collect()
+    want = lengths(Tokenizer.from_file(path), [r.text or "" for r in rows])
+    got = {r.doc_id: r.n_tokens for r in tokens.count(docs, path).collect()}
+    assert got == {r.doc_id: n for r, n in zip(rows, want)}
+
+
+def test_keys_stay_short():
+    assert tokens.key_of("x" * 64) == "x" * 64 and len(tokens.key_of("x" * 65)) == len(tokens.key_of("é" * 10**6)) == 65
