@@ -55,7 +55,7 @@ def test_empty_table(no_docs):
 @given(st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \n\t'stdmlASΣİ<|>̣́\x1c\x85")), max_size=60))
 def test_any_text(library, text):
     cut = tokens.pre_tokens(tokens.vocabulary_path())
-    got = sum(n * cut.pieces(p) for w, n in cut.words(text.encode()) for p in cut.of_word(w))
+    got = sum(cut.pieces(p) for parts in cut.of_words(cut.words(text.encode())) for p in parts)
     assert got == lengths(library, [text])[0]
 
 
@@ -70,5 +70,23 @@ def test_a_vocabulary_that_keeps_white_space(spark, medium):
     assert got == {r.doc_id: n for r, n in zip(rows, want)}
 
 
+def test_words_are_cut_together_as_by_themselves(spark, medium):
+    cut = tokens.pre_tokens(tokens.vocabulary_path())
+    words = sorted({w for r in table(spark, medium, "documents").collect() for w in cut.words((r.text or "").encode())} | {w for t in ODD if t for w in cut.words(t.encode())})
+    assert len(words) > 3 * tokens.TOGETHER
+    assert cut.of_words(words) == [cut.of_text(w.decode()) for w in words]
+
+
+def test_tables_of_words_start_anew(spark, medium, monkeypatch, library):
+    """A task's tables hold a few words only."""
+    monkeypatch.setattr(tokens, "KEPT", 50)
+    path, docs = tokens.vocabulary_path(), table(spark, medium, "documents").select("text").limit(60).collect()
+    score = tokens._summed(path, type("Sent", (), {"value": {"the": 1, ",": 1}}))
+    texts = [r.text for r in docs]
+    sums, rests = (c.to_pylist() for c in score(tokens.pa.array(texts, tokens.pa.string())))
+    cut = tokens.pre_tokens(path)
+    assert [n + sum(r["n"] * cut.pieces(r["key"]) for r in rest) for n, rest in zip(sums, rests)] == lengths(library, [t or "" for t in texts])
+
+
 def test_keys_stay_short():
     assert tokens.key_of("x" * 64) == "x" * 64 and len(tokens.key_of("x" * 65)) == len(tokens.key_of("é" * 10**6)) == 65
