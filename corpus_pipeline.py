@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm import decontaminate, jaccard, mixing, queries, secrets, toxicity
 from helixframe.llm.common import materialise, table
-from helixframe.plans.tables import discard, discard_since, written
+from helixframe.plans.tables import discard, scope
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,13 +60,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's result; what a stage wrote on its way goes when its documents are written."""
     docs, before = table(spark, sf_dir, "documents"), []
-    for k, (_, stage) in enumerate(STAGES):
-        mark = written()
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            paths: list[str] = []
-            docs = materialise(docs, f"pipeline-{k}", paths)
-            discard(spark, before)
-            discard_since(spark, mark, paths)
-            before = paths
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        paths: list[str] = []
+        with scope(spark, paths):
+            docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{k}", paths)
+        discard(spark, before)
+        before = paths
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-#: Tables that this process wrote and has not discarded, in order.
-_written: list[str] = []
+#: The tables that the innermost scope() of this thread has written; other threads have scopes of their own.
+_scope: ContextVar[list[str] | None] = ContextVar("helixframe-tables", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,7 +37,8 @@ def materialise(df: DataFrame, tag: str, paths: list[str] | None = None) -> Data
     """
     path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
-    _written.append(path)
+    if (own := _scope.get()) is not None:
+        own.append(path)
     if paths is not None:
         paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -47,15 +50,26 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
-    gone = set(paths)
-    _written[:] = [p for p in _written if p not in gone]
+    if (own := _scope.get()) is not None:
+        gone = set(paths)
+        own[:] = [p for p in own if p not in gone]
     paths.clear()
 
 
-def written() -> frozenset[str]:
-    return frozenset(_written)
-
+@contextmanager
+def scope(spark: SparkSession, keep: list[str]) -> Iterator[None]:
+    """Delete at the end what materialise() wrote inside, in this thread, but for `keep`.
 
-def discard_since(spark: SparkSession, mark: frozenset[str], keep: list[str]) -> None:
-    """Delete what materialise() wrote after written() gave `mark`, but for `keep`: nothing may read it any more."""
-    discard(spark, [p for p in _written if p not in mark and p not in keep])
+    `keep` is filled meanwhile, by the caller; nothing may read the other tables afterwards.  What is kept
+    belongs to the scope around, if there is one.
+    """
+    own: list[str] = []
+    token = _scope.set(own)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        kept = [p for p in own if p in keep]
+        discard(spark, [p for p in own if p not in keep])
+        if (outer := _scope.get()) is not None:
+            outer.extend(kept)
