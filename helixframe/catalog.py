@@ -20,7 +20,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 THRESHOLD = 0.03
 FORCE = 300.0
 CENTERS = [(-2.0, -2.0), (0.0, 0.0), (2.0, 2.0), (-2.0, 2.0)]
-SMILES = ["C", "CC", "c1ccccc1", "C(=O)O", "[NH4+]", "CCl", "Cc1ccccc1", "C1CC1CC(N)C(=O)O", "c1cc[nH]c1", "CCOC(=O)c1ccncc1", "O=C=O", "C#N"]
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -38,7 +37,7 @@ def query(sql: str | None = None, digits: int = 6) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir), digits)
         if sql is not None:
-            SQL[f.__name__] = _complete(sql, digits)
+            SQL[f.__name__] = complete(sql, digits)
         return f
 
     return add
@@ -52,6 +51,9 @@ VIEWS = {
     "atoms": """atoms AS (
   SELECT k::INT AS atom_idx, ['N','CA','C'][k%3+1] AS atom_name, ['ALA','GLY','SER','LEU','LYS','ASP','VAL'][k//3+1] AS res_name,
     'A' AS chain_id, (k//3+1)::BIGINT AS res_seq, ['N','C','C'][k%3+1] AS element FROM range(21) t(k))""",
+    "patoms": """patoms AS (
+  SELECT p_partkey::INT AS atom_idx, ['N','CA','C'][p_partkey%3+1] AS atom_name, ['ALA','GLY','SER','LEU','LYS','ASP','VAL'][(p_partkey//3)%7+1] AS res_name,
+    CASE WHEN p_size % 2 = 0 THEN 'A' ELSE 'B' END AS chain_id, (p_partkey//3+1)::BIGINT AS res_seq, ['N','C','C'][p_partkey%3+1] AS element FROM part)""",
     "cells": "cells AS (SELECT vec_id AS frame, 60.0::DOUBLE + vec_id % 7 AS a, 60.0::DOUBLE + vec_id % 5 AS b, 80.0::DOUBLE AS c FROM embeddings)",
     "windows": "windows AS (SELECT k::INT AS window_idx, -0.8::DOUBLE + (2.1::DOUBLE - -0.8::DOUBLE) * k / 29 AS val0 FROM range(30) t(k))",
     "cv": """cv AS (
@@ -71,11 +73,11 @@ VIEWS = {
   SELECT a.frame, a.atom_idx AS i, b.atom_idx AS j, sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2) AS d
   FROM traj a JOIN traj b ON a.frame = b.frame AND a.atom_idx < b.atom_idx)""",
 }
-_ORDER = ["traj", "atoms", "cells", "windows", "cv", "states", "total", "mean", "delta", "gram", "dccm", "edges", "pairs"]
+_ORDER = ["traj", "atoms", "patoms", "cells", "windows", "cv", "states", "total", "mean", "delta", "gram", "dccm", "edges", "pairs"]
 _NEEDS = {"cv": ["windows"], "mean": ["traj"], "delta": ["traj", "mean"], "gram": ["delta"], "dccm": ["gram"], "edges": ["dccm"], "pairs": ["traj"]}
 
 
-def _complete(sql: str, digits: int) -> str:
+def complete(sql: str, digits: int = 6) -> str:
     """The query with the views it names put in front; `{{expr}}` marks a double to be rounded."""
     import re
 
@@ -137,34 +139,34 @@ def stride_subsample(spark, sf_dir):
     return structural.stride(traj(spark, sf_dir), 3).long
 
 
-def _selected(spark, text):
-    return fixtures.atoms(spark).filter(compile_selection(text)).select("atom_idx", "atom_name", "res_name", "res_seq")
+def _selected(spark, sf_dir, text):
+    return fixtures.part_atoms(spark, sf_dir).filter(compile_selection(text)).select("atom_idx", "atom_name", "res_name", "res_seq")
 
 
-@query("SELECT atom_idx, atom_name, res_name, res_seq FROM atoms WHERE atom_name IN ('N', 'CA', 'C')")
+@query("SELECT atom_idx, atom_name, res_name, res_seq FROM patoms WHERE atom_name IN ('N', 'CA', 'C')")
 def select_backbone(spark, sf_dir):
-    return _selected(spark, "name N CA C")
+    return _selected(spark, sf_dir, "name N CA C")
 
 
-@query("SELECT atom_idx, atom_name, res_name, res_seq FROM atoms WHERE res_seq >= 2 AND res_seq <= 5 AND atom_name LIKE 'C%'")
+@query("SELECT atom_idx, atom_name, res_name, res_seq FROM patoms WHERE res_seq >= 2 AND res_seq <= 5 AND atom_name LIKE 'C%'")
 def select_resid_range(spark, sf_dir):
-    return _selected(spark, "resid >= 2 and resid <= 5 and name C*")
+    return _selected(spark, sf_dir, "resid >= 2 and resid <= 5 and name C*")
 
 
-@query("SELECT atom_idx, atom_name, res_name, res_seq FROM atoms WHERE NOT (res_name IN ('GLY', 'SER') OR atom_idx BETWEEN 0 AND 2)")
+@query("SELECT atom_idx, atom_name, res_name, res_seq FROM patoms WHERE NOT (res_name IN ('GLY', 'SER') OR atom_idx BETWEEN 0 AND 2)")
 def select_not(spark, sf_dir):
-    return _selected(spark, "not (resname GLY SER or index 0:2)")
+    return _selected(spark, sf_dir, "not (resname GLY SER or index 0:2)")
 
 
-@query("""SELECT atom_idx + 1 AS serial FROM atoms
+@query("""SELECT atom_idx + 1 AS serial FROM patoms
 WHERE res_seq IN (2, 3) OR upper(res_name) = 'LYS' OR atom_idx + 1 IN (1, 20)""")
 def mask_resolve(spark, sf_dir):
-    return resolve_mask(fixtures.atoms(spark), ":2,3 @1,20,99 :lys")
+    return resolve_mask(fixtures.part_atoms(spark, sf_dir), ":2,3 @1,20,0 :lys")
 
 
-@query("SELECT atom_idx, res_seq, res_name, chain_id FROM atoms")
+@query("SELECT atom_idx, res_seq, res_name, chain_id FROM patoms")
 def selection_residues(spark, sf_dir):
-    return fixtures.atoms(spark).select("atom_idx", "res_seq", "res_name", "chain_id")
+    return fixtures.part_atoms(spark, sf_dir).select("atom_idx", "res_seq", "res_name", "chain_id")
 
 
 @query("""WITH f AS (SELECT atom_idx, sqrt(avg(dx*dx) + avg(dy*dy) + avg(dz*dz)) AS v FROM delta GROUP BY atom_idx)
@@ -339,7 +341,7 @@ def optimal_path(spark, sf_dir):
 
 @query()
 def communities_gn(spark, sf_dir):
-    return network.communities(_edges(spark, sf_dir), fixtures.N_ATOMS, 4)
+    return network.communities(_edges(spark, sf_dir), fixtures.N_ATOMS)
 
 
 # ---------------------------------------------------------------------------------------------- free energy, clusters
@@ -423,9 +425,10 @@ def msm_transition_matrix(spark, sf_dir):
 # ---------------------------------------------------------------------------------------------- umbrella sampling
 
 
-@query("SELECT window_idx, {{val0}} AS val0 FROM windows")
+@query("SELECT window_idx, {{any_value(val0)}} AS val0, count(sample_idx) AS n FROM windows LEFT JOIN cv USING (window_idx) GROUP BY window_idx")
 def umbrella_windows(spark, sf_dir):
-    return fixtures.windows(spark).select("window_idx", "val0")
+    n = mbar.window_stats(fixtures.cv_samples(spark, sf_dir)).select("window_idx", "n")
+    return fixtures.windows(spark).join(n, "window_idx", "left").select("window_idx", "val0", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 _BETA = repr(mbar.beta())
@@ -457,7 +460,7 @@ def mbar_pmf_fixed_f(spark, sf_dir):
 
 @query()
 def mbar_pmf(spark, sf_dir):
-    return mbar.Mbar(fixtures.cv_samples(spark, sf_dir), fixtures.windows(spark), FORCE, n_boot=10).profile()
+    return mbar.Mbar(fixtures.cv_samples(spark, sf_dir), fixtures.windows(spark), FORCE, n_boot=50).profile()
 
 
 @query("""WITH s AS (SELECT window_idx, count(*) AS n, greatest(stddev_pop(x), 1e-12) * pow(count(*)::DOUBLE, -0.2) AS bw FROM cv GROUP BY window_idx),
@@ -473,11 +476,11 @@ def window_stats(spark, sf_dir):
     return mbar.window_stats(fixtures.cv_samples(spark, sf_dir))
 
 
-@query("""WITH b AS (SELECT k::INT AS bin, -0.8::DOUBLE + (k + 0.4) * 2.9 / 29 AS c FROM range(29) t(k))
-SELECT bin, {{c}} AS bin_center, arg_min(window_idx, abs(c - val0)) AS window_idx FROM b CROSS JOIN windows GROUP BY bin, c""")
+@query("""SELECT sample_idx, w.window_idx FROM cv CROSS JOIN windows w
+QUALIFY row_number() OVER (PARTITION BY sample_idx ORDER BY abs(x - w.val0), w.window_idx) = 1""")
 def nearest_window(spark, sf_dir):
-    bins = spark.range(29).select(F.col("id").cast("int").alias("bin"), (F.lit(-0.8) + (F.col("id") + 0.4) * 2.9 / 29).alias("bin_center"))
-    return mbar.nearest_window(bins, fixtures.windows(spark))
+    samples = fixtures.cv_samples(spark, sf_dir).select("sample_idx", "x")
+    return mbar.nearest_window(samples, fixtures.windows(spark), "x").select("sample_idx", "window_idx")
 
 
 # ---------------------------------------------------------------------------------------------- membrane
@@ -522,17 +525,27 @@ def membrane_summary(spark, sf_dir):
 # ---------------------------------------------------------------------------------------------- surface
 
 
-@query()
+#: Every point of every atom is tried against every other atom of its frame.
+_SURFACE = """sp AS (SELECT k, 1 - 2 * k / 91.0::DOUBLE AS y, pi() * (3 - sqrt(5)) * k AS phi FROM range(92) t(k)),
+sa AS (SELECT frame, atom_idx, res_name || ' ' || res_seq AS residue, x, y, z, CASE element WHEN 'C' THEN 1.70 ELSE 1.55 END::DOUBLE + 1.4 AS r FROM traj JOIN atoms USING (atom_idx)),
+sq AS (SELECT sa.frame, sa.atom_idx, k, sa.x + r * sqrt(greatest(0, 1 - sp.y*sp.y)) * cos(phi) AS px, sa.y + r * sp.y AS py, sa.z + r * sqrt(greatest(0, 1 - sp.y*sp.y)) * sin(phi) AS pz FROM sa CROSS JOIN sp),
+sc AS (SELECT sq.frame, sq.atom_idx, count(DISTINCT k) AS n FROM sq JOIN sa o ON o.frame = sq.frame
+  WHERE o.atom_idx <> sq.atom_idx AND (o.x-px)**2 + (o.y-py)**2 + (o.z-pz)**2 < o.r**2 GROUP BY sq.frame, sq.atom_idx),
+ser AS (SELECT sa.frame, (sa.atom_idx // 3)::INT AS res_idx, residue, sum(4 * pi() * r**2 * (92 - coalesce(n, 0)) / 92) AS sasa
+  FROM sa LEFT JOIN sc ON sc.frame = sa.frame AND sc.atom_idx = sa.atom_idx GROUP BY sa.frame, sa.atom_idx // 3, residue)"""
+
+
+@query(f"WITH {_SURFACE} SELECT frame, res_idx, residue, {{{{sasa}}}} AS sasa FROM ser")
 def sasa_residue_series(spark, sf_dir):
     return sasa.residue_series(traj(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {_SURFACE} SELECT res_idx, residue, {{{{avg(sasa)}}}} AS mean_sasa, {{{{stddev_pop(sasa)}}}} AS std_sasa FROM ser GROUP BY res_idx, residue")
 def sasa_per_residue(spark, sf_dir):
     return sasa.per_residue(sasa.residue_series(traj(spark, sf_dir)))
 
 
-@query()
+@query(f"WITH {_SURFACE} SELECT frame, {{{{sum(sasa)}}}} AS total_sasa FROM ser GROUP BY frame")
 def sasa_total(spark, sf_dir):
     return sasa.total(sasa.residue_series(traj(spark, sf_dir)))
 
@@ -631,9 +644,16 @@ def pdb_lines(spark, sf_dir):
     return sinks.pdb_lines(t, 0, structural.bfactors(structural.rmsf(t), "rmsf"))
 
 
-@query("SELECT ':1,3,7' AS mask, 3 AS n_atoms")
+@query("""WITH n AS (SELECT b.atom_idx FROM traj a JOIN traj b ON b.frame = a.frame
+  WHERE a.frame = 0 AND a.atom_idx = 0 AND sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2) <= 5.0)
+SELECT ':' || string_agg(DISTINCT res_seq::VARCHAR, ',' ORDER BY res_seq::VARCHAR) AS mask, count(*)::INT AS n_atoms FROM n JOIN atoms USING (atom_idx)""")
 def qm_region_mask(spark, sf_dir):
-    return sinks.region_mask(sinks.region_atoms(traj(spark, sf_dir), 0, [1, 8, 20, 99]))
+    """The residues with an atom within 5 Å of the first, in the first frame."""
+    t = traj(spark, sf_dir)
+    one = structural.frame_coordinates(t, 0)
+    x, y, z = one.filter("atom_idx = 0").select("x", "y", "z").first()
+    near = one.filter((F.col("x") - x) ** 2 + (F.col("y") - y) ** 2 + (F.col("z") - z) ** 2 <= 25.0)
+    return sinks.region_mask(sinks.region_atoms(t, 0, [r.atom_idx + 1 for r in near.collect()]))  # atoms of one region
 
 
 @query("""SELECT atom_idx + 1 AS serial, atom_name, res_name, res_seq, chain_id, element, {{x}} AS x, {{y}} AS y, {{z}} AS z
@@ -650,11 +670,12 @@ def qm_region_append(spark, sf_dir):
 
 @query()
 def ligand_properties(spark, sf_dir):
-    rows = spark.createDataFrame([(i, s) for i, s in enumerate(SMILES)], "mol_id int, smiles string")
-    return ligand_frames.properties(rows).select("mol_id", "smiles", "properties.*")
+    rows = fixtures.molecules(spark, sf_dir)
+    told = ligand_frames.properties(rows.select("smiles").distinct())
+    return rows.join(told, "smiles").select("mol_id", "smiles", "properties.*")
 
 
 @query()
 def ligand_coordinates(spark, sf_dir):
-    rows = spark.createDataFrame([(i, s) for i, s in enumerate(SMILES)], "mol_id int, smiles string")
-    return ligand_frames.minimised(rows, steps=50)
+    rows = fixtures.molecules(spark, sf_dir)
+    return rows.join(ligand_frames.minimised(rows.select("smiles").distinct().repartition(8), steps=50), "smiles")

@@ -1,13 +1,18 @@
-"""N21. Solvent-accessible surface area by rolling a probe over sphere points."""
+"""N21. Solvent-accessible surface area by rolling a probe over sphere points.
+
+Each pair of neighbouring atoms gives the points of the first's sphere that the second covers, as a
+mask of bits in two longs; the masks of an atom are OR-ed together, and the bits that are not set are
+its exposed points.  Pairs, masks and sums are columns and aggregations: the atoms of one frame may be
+spread over any number of tasks, and no task needs a frame whole.
+"""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.model import Trajectory
-from helixframe.plans.primitives import map_frames
 
 # Van der Waals radii in Å by element, the default radius, and the number of sphere points.
 RADII = {
@@ -16,6 +21,10 @@ RADII = {
 }
 DEFAULT_RADIUS = 1.70
 POINTS = 92
+#: Points of one mask: bits of a long.
+MASK_BITS = 46
+#: Atoms up to which all pairs of a frame are made from its row; beyond, a cell grid is joined.
+MAX_INROW_ATOMS = 64
 
 
 def sphere(n: int = POINTS) -> np.ndarray:
@@ -27,61 +36,76 @@ def sphere(n: int = POINTS) -> np.ndarray:
     return np.stack([ring * np.cos(turn), y, ring * np.sin(turn)], axis=1)
 
 
-def atom_areas(at: np.ndarray, radii: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """The exposed area of each atom of one frame; radii include the probe.
-
-    Atoms are put in cells as wide as two of the largest spheres, so an atom is tested against the
-    atoms of 27 cells and not against all.
-    """
-    n, width = len(at), 2 * radii.max()
-    cell = np.floor((at - at.min(axis=0)) / width).astype(np.int64)
-    members: dict[tuple, list[int]] = {}
-    for i, c in enumerate(map(tuple, cell.tolist())):
-        members.setdefault(c, []).append(i)
-    steps = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
-    out = np.empty(n)
-    for (x, y, z), own in members.items():
-        near = np.array([j for a, b, c in steps for j in members.get((x + a, y + b, z + c), ())])
-        for i in own:
-            close = near[(near != i) & (((at[near] - at[i]) ** 2).sum(axis=1) < (radii[i] + radii[near]) ** 2)]
-            spots = at[i] + radii[i] * points
-            covered = np.zeros(len(points), bool)
-            if len(close):
-                d2 = ((spots[:, None, :] - at[close][None, :, :]) ** 2).sum(axis=2)
-                covered = (d2 < radii[close] ** 2).any(axis=1)
-            out[i] = 4 * np.pi * radii[i] ** 2 * (~covered).sum() / len(points)
-    return out
-
-
-def residue_groups(traj: Trajectory) -> list[tuple[str, list[int]]]:
-    """Runs of consecutive atoms of one residue, labelled RES SEQ."""
-    groups: list[tuple[str, list[int]]] = []
-    for r in traj.atom_rows:
-        label = f"{r.res_name} {r.res_seq}"
-        if not groups or groups[-1][0] != label:
-            groups.append((label, []))
-        groups[-1][1].append(r.atom_idx)
-    return groups
-
-
-def residue_series(traj: Trajectory, probe: float = 1.4) -> DataFrame:
-    """frame, res_idx, residue, sasa of each residue in each frame, a frame at a time on the executors."""
-    radii = np.array([RADII.get(r.element, DEFAULT_RADIUS) for r in traj.atom_rows]) + probe
-    groups = residue_groups(traj)
-    owner = np.zeros(traj.n_atoms, int)
-    for g, (_, atoms) in enumerate(groups):
-        owner[atoms] = g
-    labels = [g[0] for g in groups]
-    points = sphere()
-
-    def make(frames, x):
-        areas = np.array([np.bincount(owner, atom_areas(f.reshape(-1, 3), radii, points), len(labels)) for f in x])
-        return {
-            "frame": np.repeat(frames, len(labels)), "res_idx": np.tile(np.arange(len(labels), dtype=np.int32), len(x)),
-            "residue": labels * len(x), "sasa": areas.ravel(),
-        }
-
-    return map_frames(traj, "frame long, res_idx int, residue string, sasa double", make)
+def _atom_table(traj: Trajectory, probe: float) -> DataFrame:
+    """atom_idx, r (the probe included), res_idx, residue; a residue is a run of consecutive atoms of one label RES SEQ."""
+    rows, previous, run = [], None, -1
+    for a in traj.atom_rows:
+        label = f"{a.res_name} {a.res_seq}"
+        run += label != previous
+        rows.append((a.atom_idx, RADII.get(a.element, DEFAULT_RADIUS) + probe, run, label))
+        previous = label
+    return traj.spark.createDataFrame(rows, "atom_idx int, r double, res_idx int, residue string")
+
+
+def _pairs_in_rows(traj: Trajectory, radii: list[float]) -> DataFrame:
+    """frame, i, r of atom i, r2 of atom j, and the vector u from j to i, for all atoms i and j of a frame's row, i itself included."""
+    r = F.array(*map(F.lit, radii))
+    atoms = F.sequence(F.lit(0), F.lit(len(radii) - 1))
+    at = lambda k, c: F.get("xyz", F.col(k) * 3 + c)
+    left = traj.whole_frames.select("frame", "xyz", F.explode(atoms).alias("i"))
+    left = left.select("frame", "xyz", "i", *[at("i", c).alias(f"a{c}") for c in range(3)])
+    both = left.withColumn("j", F.explode(atoms))
+    return both.select("frame", "i", F.get(r, "i").alias("r"), F.get(r, "j").alias("r2"), (F.col("i") == F.col("j")).alias("self"), *[(F.col(f"a{c}") - at("j", c)).alias(f"u{c}") for c in range(3)])
+
+
+def _pairs_in_cells(traj: Trajectory, atoms: DataFrame, width: float) -> DataFrame:
+    """The same for the atoms of cells as wide as two of the largest spheres and of their 26 neighbours."""
+    long = traj.where(traj.whole_frames).long.join(atoms.select("atom_idx", "r"), "atom_idx")
+    cell = [F.floor(F.col(c) / width) for c in "xyz"]
+    left = long.select("frame", F.col("atom_idx").alias("i"), "r", *[F.col(c).alias(f"a{k}") for k, c in enumerate("xyz")], *[c.alias(f"c{k}") for k, c in enumerate(cell)])
+    steps = F.explode(F.array(*[F.array(*map(F.lit, (a, b, c))) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]))
+    right = long.withColumn("s", steps).select(
+        "frame", F.col("atom_idx").alias("j"), F.col("r").alias("r2"), *[F.col(c).alias(f"b{k}") for k, c in enumerate("xyz")],
+        *[(c + F.col("s")[k]).alias(f"c{k}") for k, c in enumerate(cell)],
+    )
+    met = left.join(right, ["frame", "c0", "c1", "c2"])
+    return met.select("frame", "i", "r", "r2", (F.col("i") == F.col("j")).alias("self"), *[(F.col(f"a{c}") - F.col(f"b{c}")).alias(f"u{c}") for c in range(3)])
+
+
+def _mask(points: np.ndarray) -> Column:
+    """The bits of the points that lie within the other sphere: u . s below the threshold t of the pair."""
+    bits = [
+        F.when(F.col("u0") * float(x) + F.col("u1") * float(y) + F.col("u2") * float(z) < F.col("t"), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long"))
+        for k, (x, y, z) in enumerate(points)
+    ]
+    return F.aggregate(F.array(*bits), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+
+
+def atom_series(traj: Trajectory, probe: float = 1.4, max_inrow: int = MAX_INROW_ATOMS) -> DataFrame:
+    """frame, atom_idx, sasa: the exposed area of each atom in each frame."""
+    radii = [RADII.get(a.element, DEFAULT_RADIUS) + probe for a in traj.atom_rows]
+    if not radii:
+        return traj.spark.createDataFrame([], "frame long, atom_idx int, sasa double")
+    if len(radii) <= max_inrow:
+        pairs = _pairs_in_rows(traj, radii)
+    else:
+        pairs = _pairs_in_cells(traj, _atom_table(traj, probe), 2 * max(radii))
+    d2 = F.col("u0") * F.col("u0") + F.col("u1") * F.col("u1") + F.col("u2") * F.col("u2")
+    reach = F.col("r") + F.col("r2")
+    near = pairs.withColumn("d2", d2).filter(F.col("self") | (F.col("d2") < reach * reach))
+    # |u + r s|^2 < r2^2 solved for u . s; an atom does not cover itself.
+    limit = F.when(F.col("self"), F.lit(float("-inf"))).otherwise((F.col("r2") * F.col("r2") - F.col("r") * F.col("r") - F.col("d2")) / (2.0 * F.col("r")))
+    s = sphere()
+    masks = near.withColumn("t", limit).select("frame", "i", "r", _mask(s[:MASK_BITS]).alias("lo"), _mask(s[MASK_BITS:]).alias("hi"))
+    covered = masks.groupBy("frame", "i", "r").agg(F.bit_or("lo").alias("lo"), F.bit_or("hi").alias("hi"))
+    exposed = F.lit(POINTS) - F.bit_count("lo") - F.bit_count("hi")
+    return covered.select("frame", F.col("i").alias("atom_idx"), (F.lit(4 * np.pi) * F.col("r") * F.col("r") * exposed / F.lit(float(POINTS))).alias("sasa"))
+
+
+def residue_series(traj: Trajectory, probe: float = 1.4, max_inrow: int = MAX_INROW_ATOMS) -> DataFrame:
+    """frame, res_idx, residue, sasa of each residue in each frame."""
+    named = _atom_table(traj, probe).drop("r")
+    return atom_series(traj, probe, max_inrow).join(named, "atom_idx").groupBy("frame", "res_idx", "residue").agg(F.sum("sasa").alias("sasa"))
 
 
 def per_residue(areas: DataFrame) -> DataFrame:

@@ -1,21 +1,25 @@
-"""The surface series over all frames; its first 20 frames against DuckDB."""
+"""The surface against a plain reading of its definition, by rows and by cells."""
 
 from __future__ import annotations
 
+import numpy as np
+import pytest
+
 from helixframe import catalog
+from helixframe.operators import sasa
 from helixframe.sources import fixtures
-from tests.oracle import same
+from tests.builders import make
+
 
-#: The surface of the first frames: every point of every atom is tried against every other atom.
-FIRST_FRAMES = """WITH s AS (SELECT k, 1 - 2 * k / 91.0::DOUBLE AS y, pi() * (3 - sqrt(5)) * k AS phi FROM range(92) t(k)),
-r AS (SELECT atom_idx, CASE element WHEN 'C' THEN 1.70 ELSE 1.55 END::DOUBLE + 1.4 AS r FROM atoms),
-a AS (SELECT frame, atom_idx, x, y, z, r FROM traj JOIN r USING (atom_idx) WHERE frame < 20),
-q AS (SELECT a.frame, a.atom_idx, k, a.r, a.x + a.r * sqrt(greatest(0, 1 - s.y*s.y)) * cos(phi) AS px, a.y + a.r * s.y AS py, a.z + a.r * sqrt(greatest(0, 1 - s.y*s.y)) * sin(phi) AS pz FROM a CROSS JOIN s),
-e AS (SELECT frame, atom_idx, any_value(r) AS r, count(*) AS n FROM q WHERE NOT EXISTS (
-  SELECT 1 FROM a o WHERE o.frame = q.frame AND o.atom_idx <> q.atom_idx AND (o.x-px)**2 + (o.y-py)**2 + (o.z-pz)**2 < o.r**2) GROUP BY frame, atom_idx)
-SELECT a.frame, (a.atom_idx // 3)::INT AS res_idx, any_value(res_name) || ' ' || any_value(res_seq) AS residue,
-  {{sum(4 * pi() * a.r**2 * coalesce(e.n, 0) / 92)}} AS sasa
-FROM a JOIN atoms USING (atom_idx) LEFT JOIN e ON e.frame = a.frame AND e.atom_idx = a.atom_idx GROUP BY a.frame, a.atom_idx // 3"""
+def plain(x, radii):
+    """The area of each atom: every point of its sphere against every other atom."""
+    out = []
+    for i, (at, r) in enumerate(zip(x, radii)):
+        spots = at + r * sasa.sphere()
+        others = [j for j in range(len(x)) if j != i]
+        free = [all(((s - x[j]) ** 2).sum() >= radii[j] ** 2 for j in others) for s in spots]
+        out.append(4 * np.pi * r * r * sum(free) / sasa.POINTS)
+    return out
 
 
 def test_series_holds_every_frame(spark, small):
@@ -25,6 +29,43 @@ def test_series_holds_every_frame(spark, small):
     assert got.select("frame").distinct().count() == frames
 
 
-def test_first_frames_against_sql(spark, small):
-    got = catalog.QUERIES["sasa_residue_series"](spark, small)
-    same(got.filter("frame < 20"), catalog._complete(FIRST_FRAMES, 6), small)
+@pytest.mark.parametrize("max_inrow", [100, 0])
+def test_areas(spark, max_inrow):
+    """Elements of several radii, atoms that coincide, and others far away."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(scale=5, size=(3, 30, 3))
+    x[:, 7] = x[:, 3]
+    x[:, 9] += 100
+    kinds = ["C", "N", "O", "ZN", "H", "Xx"]
+    atoms = [(f"A{k}", "ALA", "A", k // 4, kinds[k % 6]) for k in range(30)]
+    t = make(spark, x, atoms)
+    radii = [sasa.RADII.get(a[4], 1.7) + 1.4 for a in atoms]
+    got = {(r.frame, r.atom_idx): r.sasa for r in sasa.atom_series(t, max_inrow=max_inrow).collect()}
+    assert len(got) == 90
+    for f in range(3):
+        assert [got[f, i] for i in range(30)] == pytest.approx(plain(x[f], radii), abs=1e-9)
+    assert got[0, 9] == pytest.approx(4 * np.pi * radii[9] ** 2)
+
+
+def test_many_atoms_take_the_cells(spark):
+    """A frame of thousands of atoms: one task holds cells, not the frame."""
+    rng = np.random.default_rng(5)
+    x = rng.uniform(0, 60, size=(1, 3000, 3))
+    t = make(spark, x)
+    got = {r.atom_idx: r.sasa for r in sasa.atom_series(t).collect()}
+    near = [0, 17, 2999]
+    assert len(got) == 3000
+    for i in near:
+        close = np.argsort(((x[0] - x[0][i]) ** 2).sum(axis=1))[:80]
+        assert got[i] == pytest.approx(plain(x[0][close], [3.1] * 80)[0])
+
+
+def test_plan_has_no_python(spark, small):
+    plan = sasa.residue_series(fixtures.trajectory(spark, small))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_frames_without_coordinates_count_for_nothing(spark):
+    t = make(spark, np.zeros((2, 2, 3)))
+    rows = t.frames.unionByName(spark.createDataFrame([(9, None), (10, [1.0])], "frame long, xyz array<double>"))
+    assert {r.frame for r in sasa.residue_series(t.where(rows)).collect()} == {0, 1}
