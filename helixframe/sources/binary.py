@@ -1,7 +1,8 @@
 """S2. Binary trajectories: DCD, NetCDF-3 (trajectories and restarts), TRR and XTC.
 
-A file is parsed whole by one task, many files in parallel; write long runs as several files.  Reading
-stops at a frame that ends too early, as a run that was cut off leaves it.  Lengths are in Å.
+The parsers decode bytes; sources.ranges cuts files of any size into ranges of frames for them, and
+read_frames() gives them small files whole.  Reading stops at a frame that ends too early, as a run that
+was cut off leaves it.  Lengths are in Å.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.model import Trajectory
@@ -290,7 +291,7 @@ PARSERS = {"dcd": parse_dcd, "nc": parse_netcdf, "ncrst": parse_netcdf, "trr": p
 
 
 def read_frames(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
-    """file, at, xyz, cell of the frames of the files at a path or glob; the kind is the suffix if not given."""
+    """file, at, xyz, cell of the frames of small files at a path or glob, a task a file; the kind is the suffix if not given."""
     kind = kind or path.rsplit(".", 1)[-1].lower()
     if kind not in PARSERS:
         raise ValueError(f"unknown trajectory format {kind!r}")
@@ -315,18 +316,20 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["file", "at", "xyz", "cell"])
 
 
-def read_trajectory(spark: SparkSession, path: str, atoms: DataFrame, kind: str | None = None) -> Trajectory:
-    """Frames of all files in the order of their names, numbered from 0; no frame is an error.
+def read_trajectory(spark: SparkSession, path: str, atoms: DataFrame, kind: str | None = None, stride: int = 1, first: int = 0, last: int | None = None) -> Trajectory:
+    """Every stride-th of the frames first..last (last not included) of all files in the order of their names, numbered
+    from 0; no frame is an error.
 
-    The frames are written out once, as columns, before they are numbered.
+    Files are read by many tasks each (sources.ranges); what is wanted is written out once, as columns.
     """
-    rows = materialise(read_frames(spark, path, kind), "frames")
-    sizes = rows.groupBy("file").agg(F.count("*").alias("n"))
-    start = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = rows.join(sizes.select("file", start.alias("start")), "file").withColumn("frame", F.col("start") + F.col("at"))
-    if rows.isEmpty():
+    from helixframe.sources import ranges
+
+    kind = kind or path.rsplit(".", 1)[-1].lower()
+    found = materialise(ranges.read_frames(ranges.frame_index(spark, path, kind), kind, stride, first, last), "frames")
+    if found.isEmpty():
         raise ValueError(f"no frame in {path}")
+    numbered = found.withColumn("frame", F.expr(f"(frame - {int(first)}L) div {int(stride)}L"))
     cells = None
-    if not rows.filter("cell is not null").isEmpty():
+    if not numbered.filter("cell is not null").isEmpty():
         cells = numbered.select("frame", *[F.col("cell")[k].alias(c) for k, c in enumerate("abc")])
     return Trajectory(numbered.select("frame", "xyz"), atoms, cells)
