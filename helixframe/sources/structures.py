@@ -116,6 +116,26 @@ def read_xyz(spark: SparkSession, path: str) -> Trajectory:
 # Restraints
 
 
+class RestraintReader:
+    """The restraint blocks of lines that come one by one; see parse_restraints()."""
+
+    def __init__(self, column: int = 1):
+        self.blocks: list[dict] = []
+        self.column, self._comment, self._now = column, "", None
+
+    def line(self, line: str) -> None:
+        bare = line.strip()
+        if bare.startswith("#"):
+            self._comment = bare.lstrip("#").strip()
+        elif "&rst" in bare.lower():
+            self._now = {"iat": [], "rstwt": [], "r2": 0.0, "rk2": 0.0, "comment": self._comment}
+        elif self._now is not None and (bare.lower().startswith("&end") or bare == "/"):
+            _close(self.blocks, self._now, self.column)
+            self._now, self._comment = None, ""
+        elif self._now is not None:
+            _fields(self._now, bare)
+
+
 def parse_restraints(text: str, column: int = 1) -> list[dict]:
     """S7. The restraint blocks of a text: &rst opens one, &end or / closes it; without atoms it is dropped.
 
@@ -123,21 +143,12 @@ def parse_restraints(text: str, column: int = 1) -> list[dict]:
     rk2, rk3), the comment before it and a label: the sign of the second weight, and a column counted from `column`.
     A text without blocks is an error.
     """
-    blocks, comment, now = [], "", None
+    reader = RestraintReader(column)
     for line in text.splitlines():
-        bare = line.strip()
-        if bare.startswith("#"):
-            comment = bare.lstrip("#").strip()
-        elif "&rst" in bare.lower():
-            now = {"iat": [], "rstwt": [], "r2": 0.0, "rk2": 0.0, "comment": comment}
-        elif now is not None and (bare.lower().startswith("&end") or bare == "/"):
-            _close(blocks, now, column)
-            now, comment = None, ""
-        elif now is not None:
-            _fields(now, bare)
-    if not blocks:
+        reader.line(line)
+    if not reader.blocks:
         raise ValueError("no restraint block")
-    return blocks
+    return reader.blocks
 
 
 def _fields(block: dict, line: str) -> None:
