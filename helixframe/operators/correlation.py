@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.model import Trajectory
 from helixframe.plans.primitives import close_pairs, displacement_products, entries, matrix
 
-#: Entries of a joint-histogram table that a task counts in at once.
-MAX_CELLS = 8_000_000
-
 
 def dccm_matrix(traj: Trajectory) -> np.ndarray:
     g = displacement_products(traj)
@@ -88,11 +84,18 @@ def prs_profiles(traj: Trajectory) -> DataFrame:
     return traj.spark.createDataFrame(rows, "atom_idx int, effectiveness double, sensitivity double")
 
 
+#: Atoms of a block, frames that a task codes at once, and frames whose joint counts are made in one group.
+NMI_BLOCK, NMI_CHUNK, NMI_FRAMES = 32, 4096, 65_536
+
+
 def mutual_information(traj: Trajectory) -> DataFrame:
     """N17. i, j, value: normalised mutual information of displacement lengths, both orders and the diagonal.
 
-    Lengths are binned by each atom's padded range; joint counts are added up within a task and by
-    pair and bin across tasks, in one pass for each band of atoms whose tables fit in MAX_CELLS.
+    Lengths are binned by each atom's padded range.  One pass over the frames makes a byte code of each
+    atom in each frame, packed by blocks of NMI_BLOCK atoms; every two blocks of the same frames meet in one
+    group, which counts the joint codes of their atoms, so neither the atoms nor the frames are bounded by
+    what a task holds.  Bytes were preferred to one bitmap a bin: counting a pair of atoms takes one look-up a
+    frame, where bitmaps take bins x bins words for every 64 frames.
     """
     mean, n, frames = traj.mean, traj.n_atoms, traj.n_frames
     bins = int(min(50, max(5, np.floor(np.sqrt(frames)))))
@@ -104,44 +107,70 @@ def mutual_information(traj: Trajectory) -> DataFrame:
     low, high = spread[0], spread[1]
     pad = (high - low) * 0.01 + 1e-12
     low, width = low - pad, (high - low) + 2 * pad
-    band = max(1, min(n, MAX_CELLS // max(1, n * bins * bins)))
-
-    def counter(first: int, rows: int):
-        pair = (np.arange(rows)[None, :, None] * n + np.arange(n)[None, None, :]) * bins * bins
-
-        def run(batches):
-            count = np.zeros(rows * n * bins * bins, np.int64)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                at = np.clip(((lengths(matrix(b.column(0))) - low) / width * bins).astype(int), 0, bins - 1)
-                for lo in range(0, len(at), 64):
-                    some = at[lo : lo + 64]
-                    cell = pair + some[:, first : first + rows, None] * bins + some[:, None, :]
-                    count += np.bincount(cell.ravel(), minlength=len(count))
+    blocks, groups = -(-n // NMI_BLOCK), max(1, -(-frames // NMI_FRAMES))
+
+    def coded(batches):
+        from pyspark import TaskContext
+
+        task, k, held, rows = TaskContext.get().partitionId(), 0, [], 0
+
+        def packed():
+            codes = np.concatenate(held)
+            parts = [codes[:, b * NMI_BLOCK : (b + 1) * NMI_BLOCK].tobytes() for b in range(blocks)]
+            where = hash((task, k)) % groups
+            return pa.RecordBatch.from_pydict({"g": [where] * blocks, "chunk": [f"{task:08d}-{k:08d}"] * blocks, "b": range(blocks), "codes": parts}, schema=_CODES)
+
+        for b in batches:
+            for lo in range(0, b.num_rows, NMI_CHUNK):
+                x = matrix(b.column(0).slice(lo, NMI_CHUNK))
+                held.append(np.clip(((lengths(x) - low) / width * bins).astype(int), 0, bins - 1).astype(np.uint8))
+                rows += len(x)
+                if rows >= NMI_CHUNK:
+                    yield packed()
+                    k, held, rows = k + 1, [], 0
+        if held:
+            yield packed()
+
+    def counted(t: pa.Table) -> pa.Table:
+        p, q = t["p"][0].as_py(), t["q"][0].as_py()
+        sizes = [min(NMI_BLOCK, n - b * NMI_BLOCK) for b in (p, q)]
+        t = t.sort_by("chunk")
+        sides = []
+        for b, size in zip((p, q), sizes):
+            own = t.filter(pa.compute.equal(t["b"], b))
+            sides.append(np.concatenate([np.frombuffer(c, np.uint8).reshape(-1, size) for c in own["codes"].to_pylist()]).astype(np.int64))
+        left, right = sides
+        out = []
+        for a in range(sizes[0]):  # one atom of the one block with all of the other
+            cell = (np.arange(sizes[1]) * bins + left[:, a, None]) * bins + right
+            count = np.bincount(cell.ravel(), minlength=sizes[1] * bins * bins)
             at = np.flatnonzero(count)
-            found = at // (bins * bins)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "i": (first + found // n).astype(np.int32), "j": (found % n).astype(np.int32),
-                    "b": (at % (bins * bins)).astype(np.int32), "n": count[at],
-                }
-            )
-
-        return run
-
-    schema = "i int, j int, b int, n long"
-    parts = [traj.frames.select("xyz").mapInArrow(counter(lo, min(n, lo + band) - lo), schema) for lo in range(0, n, band)]
-    joint = reduce(DataFrame.unionByName, parts).groupBy("i", "j", "b").agg(F.sum("n").alias("n"))
+            out.append((np.full(len(at), p * NMI_BLOCK + a), q * NMI_BLOCK + at // (bins * bins), at % (bins * bins), count[at]))
+        i, j, cell, count = (np.concatenate(c) for c in zip(*out))
+        there = i <= j
+        return pa.table({"i": i[there].astype(np.int32), "j": j[there].astype(np.int32), "b": cell[there].astype(np.int32), "n": count[there]})
+
+    codes = traj.whole_frames.select("xyz").mapInArrow(coded, "g long, chunk string, b int, codes binary")
+    # A block meets every other once, the one of the lower number first; it is sent once for each.
+    other = F.sequence(F.lit(0), F.lit(max(0, blocks - 1)))
+    met = codes.withColumn("o", F.explode(other)).select("g", "chunk", "b", "codes", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"))
+    counts = met.groupBy("g", "p", "q").applyInArrow(counted, "i int, j int, b int, n long")
+    joint = counts.groupBy("i", "j", "b").agg(F.sum("n").alias("n"))
     share = F.col("n") / F.lit(float(frames))
-    entropy = joint.groupBy("i", "j").agg(F.sum(-share * F.ln(share)).alias("h"))
-    own = entropy.filter("i = j").select(F.col("i").alias("k"), "h")
+    upper = joint.groupBy("i", "j").agg(F.sum(-share * F.ln(share)).alias("h"))
+    own = upper.filter("i = j").select(F.col("i").alias("k"), "h")
     hi, hj = own.select(F.col("k").alias("i"), F.col("h").alias("hi")), own.select(F.col("k").alias("j"), F.col("h").alias("hj"))
     scale = F.sqrt(F.col("hi") * F.col("hj"))
     value = F.when(F.col("i") == F.col("j"), 1.0).when(scale < 1e-12, 0.0).otherwise(
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(F.col("hi") + F.col("hj") - F.col("h"), scale)))
     )
-    return entropy.join(hi, "i").join(hj, "j").select("i", "j", value.alias("value"))
+    told = upper.join(hi, "i").join(hj, "j").select("i", "j", value.alias("value"))
+    # Both orders of a pair from one row, the diagonal once.
+    both = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
+    return told.select(F.explode(both).alias("at"), "value").select("at.i", "at.j", "value")
+
+
+_CODES = pa.schema([("g", pa.int64()), ("chunk", pa.string()), ("b", pa.int32()), ("codes", pa.binary())])
 
 
 def _ranges(traj: Trajectory, lengths) -> np.ndarray:
@@ -158,7 +187,7 @@ def _ranges(traj: Trajectory, lengths) -> np.ndarray:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(3, dtype=np.int32) * out.shape[1]), pa.array(out.ravel()))
             yield pa.RecordBatch.from_arrays([pa.array([0, 1]), lists], names=["i", "v"])
 
-    parts = traj.frames.select("xyz").mapInArrow(run, "i long, v array<double>").select("i", F.posexplode("v").alias("k", "x"))
+    parts = traj.whole_frames.select("xyz").mapInArrow(run, "i long, v array<double>").select("i", F.posexplode("v").alias("k", "x"))
     rows = parts.groupBy("k").agg(F.min(F.when(F.col("i") == 0, F.col("x"))).alias("lo"), F.max(F.when(F.col("i") == 1, F.col("x"))).alias("hi")).collect()
     out = np.zeros((2, traj.n_atoms))
     for r in rows:

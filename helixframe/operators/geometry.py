@@ -48,7 +48,7 @@ def series(
         F.struct(F.lit(n).alias("series_idx"), F.lit(label).alias("label"), F.lit(kind).alias("kind"), F.lit(unit).alias("unit"), value.alias("value"))
         for n, (label, kind, unit, value) in enumerate(made)
     ]
-    rows = traj.frames.select(F.col(key).alias("t"), F.inline(F.array(*structs)))
+    rows = traj.whole_frames.select(F.col(key).alias("t"), F.inline(F.array(*structs)))
     return rows.select("series_idx", "label", "kind", "unit", "t", "value")
 
 

@@ -1,18 +1,22 @@
 """Principal components, elastic networks and entropy: small dense eigenproblems over distributed sums.
 
 The matrices have 3N rows for N atoms; they are summed on the executors and decomposed on the
-driver, so N is bounded by primitives.MAX_ROWS.  Eigenvectors have a fixed sign: their largest component, the
+driver, so N is bounded by primitives.MAX_ROWS, but for the leading components of PCA, which need no matrix.  Eigenvectors have a fixed sign: their largest component, the
 first of equal ones, is positive.
 """
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 from pyspark.sql import DataFrame
 
 from helixframe.model import Trajectory
 from helixframe.operators.structural import square_fluctuations
-from helixframe.plans.primitives import MAX_ROWS, covariance, entries, map_frames
+from helixframe.plans.primitives import MAX_ROWS, covariance, entries, map_frames, summed_vectors
+
+_LOG = logging.getLogger(__name__)
 
 # Constants of the quasi-harmonic entropy.
 BOLTZMANN, AVOGADRO, HBAR = 1.380649e-23, 6.02214076e23, 1.054571817e-34
@@ -24,24 +28,93 @@ def _eigh(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(m) > MAX_ROWS:
         raise ValueError(f"{len(m)} rows; at most {MAX_ROWS} are decomposed, analyse a selection")
     values, vectors = np.linalg.eigh(m)
-    if len(m):
-        lead = np.abs(vectors).argmax(axis=0)
-        vectors = vectors * np.where(vectors[lead, np.arange(len(m))] < 0, -1.0, 1.0)
-    return values, vectors
+    return values, _signed(vectors)
+
+
+def _signed(vectors: np.ndarray) -> np.ndarray:
+    if not vectors.size:
+        return vectors
+    lead = np.abs(vectors).argmax(axis=0)
+    return vectors * np.where(vectors[lead, np.arange(vectors.shape[1])] < 0, -1.0, 1.0)
+
+
+#: Rows up to which the covariance is decomposed whole (72 MB); beyond, the leading components are found by themselves.
+DENSE_ROWS = 3_000
+#: Vectors that a pass over the frames multiplies, those of the basis at most, and the residual to stop at.
+BLOCK, MAX_BASIS, RESIDUAL = 10, 400, 1e-9
+
+
+def leading_components(traj: Trajectory, k: int = 20, block: int = BLOCK, max_basis: int = MAX_BASIS, seed: int = 7) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The k largest eigenvalues of the covariance, their vectors as columns, and whether they have converged.
+
+    Block Krylov iteration from random vectors, orthogonal throughout: a pass over the frames multiplies
+    the covariance with a block, as (x - mean) times its own product with the block, summed on the executors. The 3N x 3N matrix is
+    never made; the driver holds the basis, 3N by max_basis numbers at most, and what it was multiplied to.
+    A component has converged if its residual is RESIDUAL of the largest eigenvalue; the basis may also
+    come to hold all that the frames span, which is exact.
+    """
+    mean, frames = traj.mean, max(1, traj.n_frames)
+    n = len(mean)
+    k = min(k, n)
+    rng = np.random.default_rng(seed)
+    basis, images = np.zeros((n, 0)), np.zeros((n, 0))
+    new = np.linalg.qr(rng.normal(size=(n, min(block, n))))[0]
+    while True:
+        def product(x, q=new):
+            d = x - mean
+            return (d @ q).T @ d
+
+        found = summed_vectors(traj, product, new.shape[1])
+        image = found.T / frames if found.size else np.zeros_like(new)
+        basis, images = np.hstack([basis, new]), np.hstack([images, image])
+        small = basis.T @ images
+        values, inside = np.linalg.eigh((small + small.T) / 2)
+        lead = np.arange(len(values))[::-1][:k]
+        values, vectors = values[lead], basis @ inside[:, lead]
+        top = max(values[0], 0.0) if len(values) else 0.0
+        rest = np.linalg.norm(images @ inside[:, lead] - vectors * values, axis=0)
+        if len(lead) == k and (rest <= RESIDUAL * top).all():
+            return np.maximum(values, 0), _signed(vectors), True
+        new = image - basis @ (basis.T @ image)
+        new -= basis @ (basis.T @ new)
+        q, r = np.linalg.qr(new)
+        there = np.abs(np.diag(r)) > 1e-10 * max(top, 1e-300)
+        if not there.any() or basis.shape[1] >= n:  # the basis holds all that the frames span
+            more = k - len(values)
+            if more > 0:
+                values = np.append(values, np.zeros(more))
+                fill = rng.normal(size=(n, more))
+                vectors = np.linalg.qr(np.hstack([vectors, fill]))[0]
+            return np.maximum(values, 0), _signed(vectors), True
+        if basis.shape[1] + there.sum() > max_basis:
+            return np.maximum(values, 0), _signed(vectors), False
+        new = q[:, there][:, : n - basis.shape[1]]
+        new -= basis @ (basis.T @ new)
+        new = np.linalg.qr(new)[0]
 
 
 class Pca:
-    """N4. Components of the coordinates' covariance in descending order."""
+    """N4. Components of the coordinates' covariance in descending order.
+
+    Of up to DENSE_ROWS coordinates these are all components; of more the leading ones, whose shares are of
+    the total variance all the same, since the trace is summed by itself.
+    """
 
-    def __init__(self, traj: Trajectory):
+    def __init__(self, traj: Trajectory, components: int = 20, dense_rows: int = DENSE_ROWS):
         self.traj = traj
-        values, vectors = _eigh(covariance(traj))
-        size = np.abs(values).sum()
-        self.values, self.vectors = values[::-1], vectors[:, ::-1]
-        self.ratios = np.abs(self.values) / size if size else np.zeros(len(values))
+        if 3 * traj.n_atoms <= dense_rows:
+            values, vectors = _eigh(covariance(traj))
+            self.values, self.vectors = values[::-1], vectors[:, ::-1]
+            size = np.abs(values).sum()
+        else:
+            self.values, self.vectors, converged = leading_components(traj, components)
+            if not converged:
+                _LOG.warning("the leading components have not converged within %d vectors", MAX_BASIS)
+            size = square_fluctuations(traj).sum()
+        self.ratios = np.abs(self.values) / size if size else np.zeros(len(self.values))
 
     def variance(self) -> DataFrame:
-        """component (from 1), eigenvalue, explained_variance; all components."""
+        """component (from 1), eigenvalue, explained_variance of the components that were found."""
         rows = [(k + 1, float(v), float(r)) for k, (v, r) in enumerate(zip(self.values, self.ratios))]
         return self.traj.spark.createDataFrame(rows, "component int, eigenvalue double, explained_variance double")
 

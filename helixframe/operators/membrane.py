@@ -29,7 +29,7 @@ class Membrane:
         """frame, median, h: the headgroups' heights with their lipids."""
         table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(lipid).alias("lipid")) for a, lipid in self.heads])
         heads = F.transform(table, lambda s: F.struct(F.get("xyz", s["a"] * 3 + self.axis).alias("z"), s["lipid"].alias("lipid")))
-        rows = self.traj.frames.select("frame", heads.alias("h"))
+        rows = self.traj.whole_frames.select("frame", heads.alias("h"))
         middle = F.get(F.array_sort(F.transform("h", lambda s: s["z"])), F.lit(len(self.heads) // 2))
         return rows.withColumn("median", middle)
 
@@ -91,5 +91,5 @@ class Membrane:
             structs.append(F.struct(F.lit(k).alias("pair"), F.lit(f"{a.atom_name}{a.res_seq}").alias("label"), (0.5 * (3.0 * cosine * cosine - 1.0)).alias("s")))
         if not structs:
             return self.traj.spark.createDataFrame([], "pair int, label string, abs_scd double")
-        rows = self.traj.frames.select(F.inline(F.array(*structs)))
+        rows = self.traj.whole_frames.select(F.inline(F.array(*structs)))
         return rows.groupBy("pair", "label").agg(F.abs(F.avg("s")).alias("abs_scd"))

@@ -16,10 +16,13 @@ def _per_atom(traj: Trajectory, values: np.ndarray, name: str) -> DataFrame:
 
 
 def rmsd(traj: Trajectory) -> DataFrame:
-    """N1. frame, rmsd: root mean square deviation from the first frame, without superposition."""
-    first = traj.frames.orderBy("frame").limit(1).collect()  # one frame's coordinates
+    """N1. frame, rmsd: root mean square deviation from the first whole frame, without superposition.
+
+    Here as in all measures a frame counts if it has a coordinate for each atom; others give no row.
+    """
+    first = traj.whole_frames.orderBy("frame").limit(1).collect()  # one frame's coordinates
     if not first:
-        return traj.frames.select("frame", F.lit(None).cast("double").alias("rmsd"))
+        return traj.whole_frames.select("frame", F.lit(None).cast("double").alias("rmsd"))
     reference = np.array(first[0].xyz)
 
     def make(frames, x):

@@ -13,8 +13,10 @@ from typing import Any
 from pyspark.sql import DataFrame
 
 from helixframe.model import Trajectory
-from helixframe.operators import correlation, dihedrals, geometry, linalg, network, sasa, structural, thermo
+from helixframe.operators import correlation, dihedrals, geometry, linalg, mbar, network, sasa, structural, thermo
 from helixframe.operators.membrane import Membrane
+from helixframe.sinks import structures
+from helixframe.sources import umbrella
 
 
 @dataclass(frozen=True)
@@ -40,6 +42,29 @@ def _clusters(run: Session, n_clusters: int, method: str, lag: int, n_macro: int
     return out
 
 
+def _umbrella(run: Session) -> tuple[DataFrame, DataFrame]:
+    if run.samples is None or run.windows is None:
+        raise ValueError("the session has no umbrella windows; give it samples and windows")
+    return run.samples, run.windows
+
+
+def _exports(run: Session, names: list[str] | None, params: dict) -> dict[str, DataFrame]:
+    from helixframe.sinks import exports
+
+    return {n: exports.table(run, n, params) for n in (exports.EXPORTS if names is None else names)}
+
+
+def _bfactors(run: Session, of: str) -> DataFrame:
+    """The values by residue, or by atom, that an analysis gives."""
+    if of == "sasa":
+        return structural.bfactors_from_residues(run.traj, sasa.per_residue(run.get("sasa")), "mean_sasa")
+    values = run.get(of)
+    value = next(c for c, t in values.dtypes if t == "double")
+    return structural.bfactors(values, value)
+
+
+_MBAR = {"force": 300.0, "temperature": 300.0, "n_bins": None, "n_boot": 50}
+
 ANALYSES: dict[str, Analysis] = {
     "rmsd": Analysis(lambda run: structural.rmsd(run.traj)),
     "rmsf": Analysis(lambda run: structural.rmsf(run.traj)),
@@ -66,14 +91,29 @@ ANALYSES: dict[str, Analysis] = {
     "geometry_series": Analysis(lambda run, **p: geometry.series(run.traj, **p), {"pairs": [(0, 1)]}),
     "sasa": Analysis(lambda run, probe: sasa.residue_series(run.traj, probe), {"probe": 1.4}),
     "membrane": Analysis(lambda run, headgroup, normal: Membrane(run.traj, headgroup, normal), {"headgroup": "P", "normal": 2}),
+    "bfactors": Analysis(_bfactors, {"of": "rmsf"}),
+    "frame": Analysis(lambda run, frame: structural.frame_coordinates(run.traj, frame), {"frame": 0}),
+    "window_stats": Analysis(lambda run: mbar.window_stats(_umbrella(run)[0])),
+    "window_density": Analysis(lambda run, low, high: mbar.window_density(_umbrella(run)[0], low, high), {"low": -0.8, "high": 2.1}),
+    "window_frames": Analysis(lambda run, kind: umbrella.window_frames(run.traj.spark, _umbrella(run)[1], run.traj.atoms, kind), {"kind": None}),
+    "mbar": Analysis(lambda run, force, temperature, n_bins, n_boot: mbar.Mbar(*_umbrella(run), force, temperature, n_bins, n_boot), _MBAR),
+    "pmf": Analysis(lambda run, **p: run.get("mbar", **p).profile(), _MBAR),
+    "free_energies": Analysis(lambda run, **p: run.get("mbar", **p).free_energies(), _MBAR),
+    "region": Analysis(lambda run, frame, serials: structures.region_atoms(run.traj, frame, serials), {"frame": 0, "serials": [1]}),
+    "region_mask": Analysis(lambda run, **p: structures.region_mask(run.get("region", **p)), {"frame": 0, "serials": [1]}),
+    "region_xyz": Analysis(lambda run, **p: structures.region_xyz(run.get("region", **p)), {"frame": 0, "serials": [1]}),
+    "region_orca": Analysis(lambda run, **p: structures.region_orca(run.get("region", **p)), {"frame": 0, "serials": [1]}),
+    "pdb": Analysis(lambda run, frame, of: structures.pdb_lines(run.traj, frame, None if of is None else run.get("bfactors", of=of)), {"frame": 0, "of": None}),
+    "export_wide": Analysis(lambda run: structures.export_wide(run.get("rmsd"), run.get("rmsf"), run.get("radius_of_gyration"))),
+    "batch_export": Analysis(_exports, {"names": None, "params": {}}),
 }
 
 
 class Session:
-    """One trajectory and the results computed of it."""
+    """One trajectory, perhaps with umbrella windows (window_idx, val0, ...) and their samples, and the results computed of them."""
 
-    def __init__(self, traj: Trajectory):
-        self.traj, self._kept = traj, {}
+    def __init__(self, traj: Trajectory, samples: DataFrame | None = None, windows: DataFrame | None = None):
+        self.traj, self.samples, self.windows, self._kept = traj, samples, windows, {}
 
     def get(self, name: str, **params) -> Any:
         analysis = ANALYSES.get(name)

@@ -48,11 +48,13 @@ def test_mutual_information(spark):
     assert np.diag(m) == pytest.approx(1) and m == pytest.approx(m.T) and 0 <= m.min() and m.max() <= 1
 
 
-def test_mutual_information_in_bands(spark, monkeypatch):
-    t = noise(spark, frames=60)
-    whole = square(correlation.mutual_information(t), 6)
-    monkeypatch.setattr(correlation, "MAX_CELLS", 1)
-    assert square(correlation.mutual_information(t), 6) == pytest.approx(whole)
+def test_mutual_information_in_blocks(spark, monkeypatch):
+    """Blocks of atoms that do not come out even, several chunks a task and several groups of frames."""
+    t = noise(spark, frames=60, atoms=7)
+    whole = square(correlation.mutual_information(t), 7)
+    for name, size in (("NMI_BLOCK", 3), ("NMI_CHUNK", 4), ("NMI_FRAMES", 17)):
+        monkeypatch.setattr(correlation, name, size)
+    assert square(correlation.mutual_information(t), 7) == pytest.approx(whole)
 
 
 def test_perturbation_response(spark):

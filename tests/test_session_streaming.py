@@ -11,10 +11,12 @@ from tests.builders import noise, values
 
 
 def test_every_analysis_builds(spark):
-    run = Session(noise(spark, frames=30, atoms=6))
+    samples = spark.range(300).select((F.col("id") % 3).cast("int").alias("window_idx"), F.col("id").alias("sample_idx"), (F.col("id") % 3 + F.sin("id") / 3).alias("x"))
+    windows = spark.createDataFrame([(k, float(k)) for k in range(3)], "window_idx int, val0 double")
+    run = Session(noise(spark, frames=30, atoms=6), samples, windows)
     run.get("enm", cutoff=50.0)
     for name in ANALYSES:
-        if name in ("nma_overlap", "optimal_paths", "dihedral_time_series"):
+        if name in ("nma_overlap", "optimal_paths", "dihedral_time_series", "window_frames"):
             continue
         out = run.get(name)
         assert out is not None, name
@@ -23,6 +25,35 @@ def test_every_analysis_builds(spark):
     assert "pca" in run.computed()
 
 
+def test_umbrella_sampling_by_name(spark):
+    """Windows, their free energies and the profile, as a user asks for them one after another."""
+    from helixframe.operators import mbar
+
+    samples = spark.range(900).select((F.col("id") % 3).cast("int").alias("window_idx"), F.col("id").alias("sample_idx"), (F.col("id") % 3 / 2 + F.sin("id") / 2).alias("x"))
+    windows = spark.createDataFrame([(k, k / 2) for k in range(3)], "window_idx int, val0 double")
+    run = Session(noise(spark), samples, windows)
+    asked = {"force": 5.0, "n_bins": 8, "n_boot": 0}
+    want = mbar.Mbar(samples, windows, 5.0, n_bins=8, n_boot=0).profile().collect()
+    assert [str(r) for r in run.get("pmf", **asked).collect()] == [str(r) for r in want] and len(want) == 8
+    assert run.get("pmf", **asked) is run.get("pmf", **asked) and run.get("free_energies", **asked).count() == 3
+    assert [r.n for r in run.get("window_stats").collect()] == [300] * 3
+    with pytest.raises(ValueError, match="no umbrella windows"):
+        Session(noise(spark)).get("mbar")
+
+
+def test_values_regions_and_exports_by_name(spark):
+    run = Session(noise(spark, frames=20, atoms=6))
+    b = values(run.get("bfactors"), "atom_idx", "bfactor")
+    assert min(b) == 0 and max(b) == 100
+    assert values(run.get("bfactors", of="sasa"), "atom_idx", "bfactor")
+    assert run.get("region_mask", frame=3, serials=[2, 5]).first().mask == ":2,5"
+    assert "  0.00" not in run.get("pdb", frame=1, of="rmsf").orderBy("line").first().text[60:66] or b[0] == 0
+    out = run.get("batch_export", names=["rg", "cluster_populations"], params={"clustering": {"n_clusters": 2}})
+    assert out["rg"].columns == ["frame", "rg_angstrom"] and out["cluster_populations"].count() == 2
+    with pytest.raises(ValueError, match="no_such"):
+        run.get("batch_export", names=["no_such"])
+
+
 def test_results_are_kept_by_parameters(spark):
     run = Session(noise(spark))
     assert run.get("contacts", cutoff=8.0) is run.get("contacts")

@@ -137,21 +137,10 @@ def test_lone_atom_and_hidden_atom(spark):
     assert sasa.total(sasa.residue_series(near)).first().total_sasa < 8 * np.pi * 3.1**2
 
 
-def test_surface_against_all_pairs(spark):
-    t = noise(spark, frames=2, atoms=12)
-    x = np.array(t.frames.orderBy("frame").first().xyz).reshape(-1, 3)
-    radii, points = np.full(12, 3.1), sasa.sphere()
-    want = []
-    for i in range(12):
-        spots = x[i] + 3.1 * points
-        free = [all(((p - x[j]) ** 2).sum() >= 3.1**2 for j in range(12) if j != i) for p in spots]
-        want.append(4 * np.pi * 3.1**2 * sum(free) / 92)
-    assert sasa.atom_areas(x, radii, points) == pytest.approx(want)
-
-
 def test_consecutive_residues_are_grouped(spark):
     atoms = [("A", "ALA", "A", 1, "C"), ("B", "ALA", "A", 1, "C"), ("A", "GLY", "A", 2, "C"), ("A", "ALA", "A", 1, "C")]
-    assert [g for g, _ in sasa.residue_groups(make(spark, np.zeros((1, 4, 3)), atoms))] == ["ALA 1", "GLY 2", "ALA 1"]
+    rows = sasa.residue_series(make(spark, np.zeros((1, 4, 3)), atoms)).orderBy("res_idx").collect()
+    assert [(r.res_idx, r.residue) for r in rows] == [(0, "ALA 1"), (1, "GLY 2"), (2, "ALA 1")]
 
 
 def bilayer(spark, cells=None):
@@ -221,3 +210,46 @@ def test_anm(spark):
     assert 0 < net.overlap().orderBy("mode").collect()[-1].cumulative <= 1 + 1e-9
     with pytest.raises(ValueError, match="does not move"):
         linalg.ElasticNetwork(make(spark, np.repeat(np.random.default_rng(0).normal(size=(1, 8, 3)), 3, axis=0)), cutoff=50).overlap()
+
+
+# -- leading components
+
+
+@pytest.mark.parametrize(("frames", "atoms"), [(300, 12), (20, 15)])
+def test_leading_components_against_all(spark, frames, atoms):
+    """More frames than coordinates, and fewer, so that the frames span less than is asked for."""
+    rng = np.random.default_rng(3)
+    slow = rng.normal(size=(frames, 4)) * [9, 5, 3, 2]
+    x = slow @ rng.normal(size=(4, 3 * atoms)) + rng.normal(scale=0.5, size=(frames, 3 * atoms))
+    t = make(spark, x.reshape(frames, atoms, 3))
+    whole, lead = linalg.Pca(t), linalg.Pca(t, components=8, dense_rows=0)
+    assert len(lead.values) == 8
+    assert lead.values == pytest.approx(whole.values[:8], rel=1e-8) and lead.ratios == pytest.approx(whole.ratios[:8], rel=1e-8)
+    assert np.abs(lead.vectors[:, :4] - whole.vectors[:, :4]).max() < 1e-6
+    assert np.abs(lead.vectors.T @ lead.vectors - np.eye(8)).max() < 1e-9
+
+
+def test_leading_components_of_the_given_frames(spark, small):
+    """Variances that hardly differ: the basis grows until it holds them all."""
+    from helixframe.sources import fixtures
+
+    t = fixtures.trajectory(spark, small)
+    whole, lead = linalg.Pca(t), linalg.Pca(t, components=20, dense_rows=0)
+    assert lead.values == pytest.approx(whole.values[:20], rel=1e-8)
+
+
+def test_leading_components_of_many_coordinates(spark):
+    """100,000 coordinates: no square matrix is made."""
+    rng = np.random.default_rng(9)
+    modes, n = rng.normal(size=(3, 99_999)), 33_333
+    x = (rng.normal(size=(25, 3)) * [5, 3, 1]) @ modes
+    t = make(spark, x.reshape(25, n, 3))
+    lead = linalg.Pca(t, components=5)
+    want = np.linalg.svd(x - x.mean(axis=0), compute_uv=False) ** 2 / 25
+    assert lead.values[:3] == pytest.approx(want[:3], rel=1e-8) and abs(lead.values[3:]).max() < 1e-6 * want[0]
+    assert lead.ratios[:3].sum() == pytest.approx(1) and lead.projection().count() == 25
+
+
+def test_static_frames_have_no_components(spark):
+    lead = linalg.Pca(make(spark, np.ones((5, 4, 3))), components=3, dense_rows=0)
+    assert (lead.values == 0).all() and (lead.ratios == 0).all()

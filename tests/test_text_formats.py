@@ -250,6 +250,22 @@ def test_project(spark, tmp_path):
     assert project.as_json(values).filter(F.col("value").contains("1.5")).count() == 1
 
 
+def test_saving_again_adds_to_a_project(spark, tmp_path, monkeypatch):
+    """Other tools' results, settings and files stay; a save that is cut off changes nothing."""
+    at = str(tmp_path / "p")
+    one = lambda v: spark.createDataFrame([(v,)], "v int")
+    project.save(spark, at, {"selection": "all", "name": "first"}, {"a": one(1), "b": one(2)}, {"topology": ("a.pdb", b"A")})
+    project.save(spark, at, {"selection": "name CA"}, {"b": one(3), "c": one(4)}, {"notes": ("n.txt", b"N")})
+    show = lambda: {k: df.first().v for k, df in project.load(spark, at)[1].items()}
+    meta, _, files = project.load(spark, at)
+    assert show() == {"a": 1, "b": 3, "c": 4} and (meta["selection"], meta["name"]) == ("name CA", "first")
+    assert {r.role for r in files.collect()} == {"topology", "notes"}
+    broken = one(5).withColumn("v", F.raise_error(F.lit("cut off")).cast("int"))
+    with pytest.raises(Exception, match="cut off"):
+        project.save(spark, at, {"selection": "none"}, {"a": one(6), "b": broken})
+    assert show() == {"a": 1, "b": 3, "c": 4} and project.load(spark, at)[0]["selection"] == "name CA"
+
+
 def test_residues_around_an_atom(spark):
     from helixframe.selection import residue_mates, surroundings
 
