@@ -3,14 +3,15 @@
 A softmax classifier, trained on a labelled table, gives each document's posterior over domains.
 A nonnegative rate a document is then fitted, such that the expected tokens of each domain, the sum
 over documents of rate x tokens x posterior, match the targets.  The fit is projected-gradient
-least squares from rates of one: an iteration sums K totals over all documents and steps each
-document's rate by its posterior times the K residuals, cut at zero.  Only these K sums meet on the
-driver; a document's rate is a function of its posterior and of the residuals so far.
+least squares from rates of one: an iteration sums K totals and a K x K matrix over all documents and
+steps each document's rate by the inner product of its posterior with K weighted residuals, cut at zero.  Only
+these sums meet on the driver; a document's rate is a function of its posterior and of the steps so far.
 
 Learning uses a sample of about DOCS_PER_DOMAIN documents a domain, chosen by a hash of the id, and
 at most WINDOW_CHARS characters of each; one executor's task fits it.  The sums and rates cover
-every document.  If the targets cannot be met, the fit ends when it no longer gains, and a warning
-names the shares reached.
+every document.  The fit ends when the targets are met.  If a step shows that no rates can meet them (a
+direction in which every posterior lies on one side and the targets on the other), it ends when it
+no longer gains; a warning then names the shares reached and the error that remains at least.
 
 Edge cases: null and empty texts have no tokens, a posterior like any other text, and a rate, but
 weigh nothing; unlabelled documents are mixed like labelled ones; null labels or domains are ignored
@@ -39,10 +40,8 @@ DOCS_PER_DOMAIN = 400
 LEXICAL, SHAPES = 512, 24
 DENSE = 5
 #: Iterations of the fit at most, those whose rates are recomputed in one expression, those in which the error must
-#: fall by a tenth for targets to be in reach, and the error to stop at.
-MAX_STEPS, CHAIN_STEPS, STALL, TOLERANCE = 500, 10, 10, 1e-4
-#: A domain's weight in the least squares is one over its share, of at least this.
-LEAST_SHARE = 1e-9
+#: fall by a tenth when targets are out of reach, those that may be worse than one before them, and the error to stop at.
+MAX_STEPS, CHAIN_STEPS, STALL, REMEMBERED, TOLERANCE = 500, 10, 10, 6, 1e-4
 
 _LOG = logging.getLogger(__name__)
 
@@ -179,57 +178,121 @@ def posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text") -> D
 # Fit of the rates
 
 
-def _stepped(rate: Column, residuals: list[np.ndarray], k: int) -> Column:
-    """The rate after a step for each of the residual vectors."""
-    for c in residuals:
+def _stepped(rate: Column, moves: list[np.ndarray], k: int) -> Column:
+    """The rate after a step along each of the moves, one number a domain."""
+    for c in moves:
         move = reduce(lambda a, b: a + b, [F.lit(float(c[j])) * F.col(f"p{j}") for j in range(k)])
         rate = F.greatest(F.lit(0.0), rate - move)
     return rate
 
 
+def _sums(base: DataFrame, moves: list[np.ndarray], k: int) -> tuple[float, np.ndarray, np.ndarray, float]:
+    """In one pass: all tokens; the tokens of each domain at the stepped rates; the Gram matrix of the posteriors of the
+    documents whose rate is not zero; and the least inner product of a document's posterior with the last move.
+
+    A task adds up a matrix of K rows, the rows of all tasks are added on the executors, and K rows come to the driver.
+    """
+
+    def run(batches):
+        total, had, gram, low = 0.0, np.zeros(k), np.zeros((k, k)), np.inf
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t, rate, *columns = (c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns)
+            p = np.stack(columns, axis=1)
+            for c in moves:
+                rate = np.maximum(0, rate - p @ c)
+            total += t.sum()
+            had += (t * rate) @ p
+            used = rate > 0
+            gram += (p[used] * t[used, None]).T @ p[used]
+            if moves and (t > 0).any():
+                low = min(low, float((p[t > 0] @ moves[-1]).min()))
+        rows = np.column_stack([np.full(k, total), had, gram])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array([low] * k)], names=["j", "v", "low"])
+
+    def add(t: pa.Table) -> pa.Table:
+        v = sum(np.frombuffer(x, float) for x in t["v"].to_pylist())
+        return pa.table({"j": t["j"][:1], "v": pa.array([v.tobytes()], pa.binary()), "low": pa.array([min(t["low"].to_pylist())])})
+
+    schema = "j long, v binary, low double"
+    parts = base.select("n_tokens", "rate", *[f"p{j}" for j in range(k)]).mapInArrow(run, schema)
+    found = sorted(parts.groupBy("j").applyInArrow(add, schema).collect(), key=lambda r: r.j)
+    if not found:
+        return 0.0, np.zeros(k), np.zeros((k, k)), np.inf
+    v = np.array([np.frombuffer(r.v, float) for r in found])
+    return float(v[0, 0]), v[:, 1], v[:, 2:], found[0].low
+
+
+def _inverse(gram: np.ndarray) -> np.ndarray:
+    """The inverse over the directions in which the posteriors differ."""
+    values, vectors = np.linalg.eigh(gram)
+    there = values > 1e-12 * max(values[-1], 1e-300)
+    return (vectors[:, there] / values[there]) @ vectors[:, there].T
+
+
+def out_of_reach(move: np.ndarray, low: float, targets: np.ndarray) -> float:
+    """What the largest error is at least, whatever the rates are, by a move and its least product with a posterior.
+
+    Posteriors sum to one, so the move less `low` has no negative product with any of them, and none with
+    what nonnegative rates can give; a negative product with the targets is then an error that remains.
+    """
+    raised = move - low
+    size = np.abs(raised).sum()
+    return float(-(targets @ raised) / size) if size and np.isfinite(low) else 0.0
+
+
 def fit_rates(rows: DataFrame, targets: np.ndarray, max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE) -> tuple[DataFrame, dict]:
     """rows with `rate`, and the fit's report.
 
     rows: n_tokens and p0..pK-1, one row a document; targets: K shares of all tokens, of which those that
     are NaN stand for the share that the domain has, and the others are scaled to what these leave.
+
+    The least squares weigh residuals by the inverse of the posteriors' Gram matrix, so that a step of length one
+    meets the targets at once as long as no rate is cut at zero, however alike the posteriors are.  Where rates are cut, the
+    matrix of the documents that are not is taken, unless the squares have not fallen below the largest of the last few steps.
+    The fit ends when the targets are met.  If they are shown to be out of reach, plain steps from rates of one
+    lead down to where STALL of them no longer gain a tenth.
+
     Every CHAIN_STEPS steps the rates are written out, so that no expression grows with the steps.
     """
-    k = len(targets)
-    post = [F.col(f"p{j}") for j in range(k)]
-    tokens = F.col("n_tokens").cast("double")
-    sums = [F.sum(tokens)] + [F.sum(tokens * post[i] * post[j]) for i in range(k) for j in range(i, k)]
-    first = rows.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()
-    total = first[0] or 0.0
-    report = {"steps": 0, "error": None, "tokens": total, "met": True}
-    if not total or not k:
-        return rows.withColumn("rate", F.lit(1.0)), report
-    gram = np.zeros((k, k))
-    gram[np.triu_indices(k)] = np.array(first[1:], float) / total
-    gram = gram + np.triu(gram, 1).T
+    k, spark = len(targets), rows.sparkSession
+    one = rows.withColumn("rate", F.lit(1.0))
+    report = {"steps": 0, "error": None, "tokens": 0.0, "met": True, "least_error": 0.0}
+    total, had, full, _ = _sums(one, [], k) if k else (0.0, None, None, 0.0)
+    report["tokens"] = total
+    if not total:
+        return one, report
+    gram = full = full / total
     share, kept = gram.sum(axis=1), np.isnan(targets)
     rest, wanted = 1 - share[kept].sum(), np.where(kept, 0, targets)
     targets = np.where(kept, share, wanted / wanted.sum() * rest if wanted.sum() else 0)
-    weight = 1 / np.maximum(share, LEAST_SHARE)
-    root = np.sqrt(weight)
-    step = 1 / np.linalg.eigvalsh(root[:, None] * gram * root)[-1]
-    base, pending = rows.withColumn("rate", F.lit(1.0)), []
-    written: list[str] = []
-    best, stalled = np.inf, 0
+    whole = _inverse(full)
+    base, moves, written = one, [], []
+    squares: list[float] = []
+    best, stalled, least, plain = np.inf, 0, 0.0, False
     while True:
-        rate = _stepped(F.col("rate"), pending, k)
-        had = base.agg(*[F.sum(tokens * p * rate).alias(f"s{j}") for j, p in enumerate(post)]).first()
-        residual = np.array(had, float) / total - targets
+        residual = had / total - targets
         error = float(np.abs(residual).max())
         best, stalled = (error, 0) if error < 0.9 * best else (best, stalled + 1)
-        if error < tolerance or stalled >= STALL or report["steps"] >= max_steps:
-            report |= {"error": error, "shares": (residual + targets).tolist(), "targets": targets.tolist(), "met": error < tolerance}
-            return base.withColumn("rate", rate), report
-        pending.append(step * weight * residual)
-        report["steps"] += 1
-        if len(pending) == CHAIN_STEPS:
+        if error < tolerance or report["steps"] >= max_steps or (plain and stalled >= STALL):
+            report |= {"error": error, "shares": (residual + targets).tolist(), "targets": targets.tolist(), "met": error < tolerance, "least_error": least}
+            return base.withColumn("rate", _stepped(F.col("rate"), moves, k)), report
+        squares.append(float(residual @ whole @ residual))
+        steep = not plain and gram.any() and squares[-1] <= max(squares[-1 - REMEMBERED : -1], default=np.inf)
+        move = (_inverse(gram) if steep else whole) @ residual
+        if len(moves) == CHAIN_STEPS:
             before, written = written, []
-            base, pending = materialise(base.withColumn("rate", _stepped(F.col("rate"), pending, k)), "mix-rates", written), []
-            discard(rows.sparkSession, before)
+            base, moves = materialise(base.withColumn("rate", _stepped(F.col("rate"), moves, k)), "mix-rates", written), []
+            discard(spark, before)
+        moves.append(move)
+        report["steps"] += 1
+        _, had, gram, low = _sums(base, moves, k)
+        gram = gram / total
+        least = max(least, out_of_reach(move, low, targets))
+        if least > tolerance and not plain:
+            plain, base, moves, best, stalled = True, one, [], np.inf, 0
+            had, gram = share * total, full
 
 
 def mix(
@@ -247,7 +310,7 @@ def mix(
     rated, report = fit_rates(scored, np.array([float(targets.get(d, np.nan)) for d in model.domains]))
     if not report["met"]:
         reached = ", ".join(f"{d} {a:.4f} of {b:.4f}" for d, a, b in zip(model.domains, report["shares"], report["targets"]))
-        _LOG.warning("targets are not met after %d steps: %s", report["steps"], reached)
+        _LOG.warning("targets are not met after %d steps, with an error of %.4g where %.4g is the least: %s", report["steps"], report["error"], report["least_error"], reached)
     best = F.lit(None).cast("string")
     if k:
         top = F.greatest(*[F.col(f"p{j}") for j in range(k)]) if k > 1 else F.col("p0")
