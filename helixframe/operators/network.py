@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import heapq
-import math
 from collections import deque
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.plans.tables import materialise
+from helixframe.plans.tables import discard, materialise
 
 #: Edges that the driver holds as adjacency lists and hands to the executors (about 100 MB).
 MAX_EDGES = 5_000_000
@@ -105,87 +103,151 @@ def betweenness(graph: DataFrame, n: int) -> DataFrame:
     return parts.groupBy("node").agg((F.sum("b") / F.lit(scale)).alias("betweenness"))
 
 
-def girvan_newman(near: dict[int, list], n: int, max_communities: int = 10) -> list[list[int]]:
-    """N10. Communities by taking away the edge of most shortest paths, ties to the least (i, j)."""
-    near = {v: list(e) for v, e in near.items()}
-
-    def parts() -> list[list[int]]:
-        seen: set[int] = set()
-        out = []
-        for v in range(n):
-            if v in seen:
-                continue
-            group, queue = [], [v]
-            seen.add(v)
-            while queue:
-                x = queue.pop()
-                group.append(x)
-                for w, _ in near.get(x, ()):
-                    if w not in seen:
-                        seen.add(w)
-                        queue.append(w)
-            out.append(sorted(group))
-        return out
-
-    found = parts()
-    while len(found) < max_communities and any(near.values()):
+def _component(near: dict[int, list], v: int) -> list[int]:
+    seen, queue = {v}, [v]
+    while queue:
+        for w, _ in near.get(queue.pop(), ()):
+            if w not in seen:
+                seen.add(w)
+                queue.append(w)
+    return sorted(seen)
+
+
+def _edge_sums(spark: SparkSession, near: dict[int, list], members: list[int], local_work: int) -> dict[tuple[int, int], float]:
+    """What all shortest paths of one component give to each of its edges.
+
+    Sources are dealt over the executors, each task adding up its own; a component whose nodes times edges are
+    at most local_work is less work than a job is.
+    """
+    own = {v: near[v] for v in members if near.get(v)}
+
+    def of(sources) -> dict[tuple[int, int], float]:
         total: dict[tuple[int, int], float] = {}
-        for s in range(n):
-            for e, x in _dependencies(near, s)[1].items():
+        for s in sources:
+            for e, x in _dependencies(own, s)[1].items():
                 total[e] = total.get(e, 0.0) + x
-        top = max(total.values())
-        a, b = min(e for e, x in total.items() if x >= top - 1e-9)
+        return total
+
+    if len(members) * sum(map(len, own.values())) <= local_work:
+        return of(members)
+    shared = spark.sparkContext.broadcast(own)
+
+    def run(batches):
+        import pyarrow as pa
+
+        total: dict[tuple[int, int], float] = {}
+        for b in batches:
+            for s in b.column(0).to_pylist():
+                for e, x in _dependencies(shared.value, s)[1].items():
+                    total[e] = total.get(e, 0.0) + x
+        kinds = (pa.int64(), pa.int64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([e[0] for e in total], [e[1] for e in total], total.values()), kinds)], names=["a", "b", "x"])
+
+    sources = spark.createDataFrame([(v,) for v in members], "v long").repartition(max(1, min(len(members), spark.sparkContext.defaultParallelism)))
+    summed = sources.mapInArrow(run, "a long, b long, x double").groupBy("a", "b").agg(F.sum("x").alias("x"))
+    return {(r.a, r.b): r.x for r in summed.collect()}  # an entry an edge
+
+
+#: Nodes times edges of a component up to which its edges' sums are made on the driver.
+LOCAL_WORK = 4_000_000
+
+
+def girvan_newman(spark: SparkSession, near: dict[int, list], n: int, max_communities: int = 10, local_work: int | None = None) -> list[list[int]]:
+    """N10. Communities by taking away the edge of most shortest paths, ties to the least (i, j).
+
+    A removal changes the paths of the component that it was in only, so only that component's sums are made anew.
+    """
+    near, work = {v: list(e) for v, e in near.items()}, LOCAL_WORK if local_work is None else local_work
+    parts: dict[int, list[int]] = {}
+    seen: set[int] = set()
+    for v in range(n):
+        if v not in seen:
+            parts[v] = _component(near, v)
+            seen.update(parts[v])
+    sums = {lead: _edge_sums(spark, near, members, work) for lead, members in parts.items() if len(members) > 1}
+    while len(parts) < max_communities and any(sums.values()):
+        top = max(x for total in sums.values() for x in total.values())
+        a, b = min(e for total in sums.values() for e, x in total.items() if x >= top - 1e-9)
+        lead = next(k for k, total in sums.items() if (a, b) in total)
         near[a] = [x for x in near[a] if x[0] != b]
         near[b] = [x for x in near[b] if x[0] != a]
-        found = parts()
-    return found
+        del parts[lead], sums[lead]
+        for v in (a, b):
+            members = _component(near, v)
+            if members[0] not in parts:
+                parts[members[0]] = members
+                sums[members[0]] = _edge_sums(spark, near, members, work)
+    return [parts[k] for k in sorted(parts)]
 
 
 def communities(graph: DataFrame, n: int, max_communities: int = 10) -> DataFrame:
     """node, community, size; communities numbered by their least node.
 
-    The removal of edges is sequential by definition, and bounded here by the edges of one matrix.
+    The removal of edges is sequential by definition; the paths that each removal needs are counted on the executors.
     """
-    found = girvan_newman(adjacency(graph), n, max_communities)
+    found = girvan_newman(graph.sparkSession, adjacency(graph), n, max_communities)
     rows = [(v, k, len(g)) for k, g in enumerate(found) for v in g]
     return graph.sparkSession.createDataFrame(rows, "node int, community int, size int")
 
 
-def shortest_path(near: dict[int, list], source: int, sink: int) -> tuple[list[int], list[float]] | None:
-    """The nodes and cumulative costs of the path of least -ln(weight); the first found of equal ones."""
-    best, back, done = {source: 0.0}, {}, set()
-    queue = [(0.0, source)]
-    while queue:
-        cost, v = heapq.heappop(queue)
-        if v in done:
-            continue
-        done.add(v)
-        if v == sink:
-            break
-        for w, weight in near.get(v, ()):
-            new = cost - math.log(weight)
-            if w not in done and new < best.get(w, math.inf):
-                best[w], back[w] = new, v
-                heapq.heappush(queue, (new, w))
-    if sink not in done:
-        return None
-    path = [sink]
-    while path[-1] != source:
-        path.append(back[path[-1]])
-    path.reverse()
-    return path, [best[v] for v in path]
-
-
-def optimal_path(graph: DataFrame, n: int, source: int, sink: int) -> DataFrame:
-    """N12. hop (from 1), src, dst, cumulative cost; empty if source and sink are one node."""
+_REACHED = "node long, cost double, back_cost double, back long, open boolean"
+
+
+def _relaxed(reached: DataFrame, links: DataFrame, limit: float, goal: float | None) -> DataFrame:
+    """The nodes reached after those that are open and cost at most the limit have passed on their costs.
+
+    A node keeps the least cost, and of equal ones the predecessor of least cost and then number; it is open
+    again if its cost has fallen.  Costs beyond the goal's lead nowhere.
+    """
+    front = reached.filter(F.col("open") & (F.col("cost") <= limit)).select(F.col("node").alias("src"), "cost")
+    new = front.join(links, "src").select(F.col("dst").alias("node"), (F.col("cost") + F.col("c")).alias("cost"), F.col("cost").alias("back_cost"), F.col("src").alias("back"))
+    if goal is not None:
+        new = new.filter(F.col("cost") <= goal)
+    had = reached.withColumn("open", F.col("open") & (F.col("cost") > limit)).withColumn("old", F.col("cost"))
+    both = had.unionByName(new.withColumns({"open": F.lit(False), "old": F.lit(None).cast("double")}))
+    # The start has no predecessor; nothing may take its place at equal cost.
+    order = F.struct("cost", F.coalesce("back_cost", F.lit(-1.0)).alias("k"), "back_cost", "back")
+    best = both.groupBy("node").agg(F.min(order).alias("m"), F.max("old").alias("old"), F.max("open").alias("open"))
+    fallen = F.col("old").isNull() | (F.col("m.cost") < F.col("old"))
+    return best.select("node", "m.cost", "m.back_cost", "m.back", (F.col("open") | fallen).alias("open"))
+
+
+def optimal_path(graph: DataFrame, n: int, source: int, sink: int, delta: float | None = None) -> DataFrame:
+    """N12. hop (from 1), src, dst, cumulative cost of the path of least -ln(weight); empty if source and sink are one node.
+
+    Delta-stepping over the table of edges: a round passes on the costs of the open nodes within `delta` (the
+    mean cost of an edge) of the cheapest, as a join, and writes what is reached.  It ends when no open node is cheaper than the sink, so
+    the driver sees two numbers a round and in the end the path.  Of paths of equal cost the one
+    whose nodes have predecessors of least cost, and then of least number, is given.
+    """
     if not (0 <= source < n and 0 <= sink < n):
         raise ValueError(f"nodes are 0 to {n - 1}")
-    found = shortest_path(adjacency(graph), source, sink)
-    if found is None:
+    spark = graph.sparkSession
+    told = "hop int, src int, dst int, cost double"
+    if source == sink:
+        return spark.createDataFrame([], told)
+    kept: list[str] = []
+    links = materialise(graph.select(F.col("src").cast("long"), F.col("dst").cast("long"), (-F.ln("weight")).alias("c")), "links", kept)
+    width = links.agg(F.avg("c")).first()[0] if delta is None else delta
+    reached, before = spark.createDataFrame([(source, 0.0, None, None, True)], _REACHED), []
+    while True:
+        goal = F.max(F.when(F.col("node") == sink, F.col("cost")))
+        lowest, there = reached.agg(F.min(F.when(F.col("open"), F.col("cost"))), goal).first()
+        if lowest is None or (there is not None and lowest >= there):
+            break
+        paths: list[str] = []
+        reached = materialise(_relaxed(reached, links, lowest + (width or 0.0), there), "reached", paths)
+        discard(spark, before)
+        before = paths
+    if there is None:
         raise ValueError(f"no path leads from {source} to {sink} at this threshold")
-    path, cost = found
-    rows = [(k, path[k - 1], path[k], float(cost[k])) for k in range(1, len(path))]
-    return graph.sparkSession.createDataFrame(rows, "hop int, src int, dst int, cost double")
+    path, at = [], sink
+    while at != source:
+        row = reached.filter(F.col("node") == at).first()
+        path.append((row.back, at, row.cost))
+        at = row.back
+    discard(spark, before + kept)
+    return spark.createDataFrame([(k + 1, a, b, float(c)) for k, (a, b, c) in enumerate(reversed(path))], told)
 
 
 def nodes_of(spark: SparkSession, n: int) -> DataFrame:

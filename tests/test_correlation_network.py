@@ -114,6 +114,77 @@ def test_communities_of_two_cliques(spark):
     assert {r.node: r.community for r in rows} == {k: k // 4 for k in range(8)} and {r.size for r in rows} == {4}
 
 
+def plain_communities(near, n, most):
+    """All shortest paths of the whole graph anew for every edge taken away."""
+    near = {v: list(e) for v, e in near.items()}
+
+    def parts():
+        left, out = set(range(n)), []
+        while left:
+            group, queue = set(), [min(left)]
+            while queue:
+                v = queue.pop()
+                if v not in group:
+                    group.add(v)
+                    queue += [w for w, _ in near.get(v, ())]
+            out.append(sorted(group))
+            left -= group
+        return out
+
+    while len(parts()) < most and any(near.values()):
+        total = {}
+        for s in range(n):
+            for e, x in network._dependencies(near, s)[1].items():
+                total[e] = total.get(e, 0.0) + x
+        a, b = min(e for e, x in total.items() if x >= max(total.values()) - 1e-9)
+        near[a] = [x for x in near[a] if x[0] != b]
+        near[b] = [x for x in near[b] if x[0] != a]
+    return parts()
+
+
+@pytest.mark.parametrize("local_work", [10**9, 0])
+def test_communities_against_counting_all_anew(spark, local_work):
+    """Ties throughout (a ring, equal cliques), several components, and random graphs."""
+    rng = np.random.default_rng(8)
+    ring = [(k, (k + 1) % 6, 1.0) for k in range(6)] + [(7, 8, 1.0), (8, 9, 1.0)]
+    cliques = [(a, b, 1.0) for g in (range(4), range(4, 8), range(8, 11)) for a, b in itertools.combinations(g, 2)] + [(0, 4, 1.0), (4, 8, 1.0)]
+    loose = [(a, b, 0.5) for a, b in itertools.combinations(range(12), 2) if rng.random() < 0.2]
+    for pairs, n, most in ((ring, 11, 6), (cliques, 11, 3), (loose, 12, 5))[: 3 if local_work else 2]:
+        near = network.adjacency(graph(spark, pairs))
+        assert network.girvan_newman(spark, near, n, most, local_work) == plain_communities(near, n, most)
+
+
+def plain_path(pairs, source, sink):
+    """The least cost over all simple paths, by trying them all; of equal ones by predecessors from the sink."""
+    near, best = {}, {}
+    for a, b, w in pairs:
+        near.setdefault(a, []).append((b, -np.log(w)))
+        near.setdefault(b, []).append((a, -np.log(w)))
+    stack = [(source, 0.0, (source,))]
+    while stack:
+        v, cost, path = stack.pop()
+        best[v] = min(best.get(v, np.inf), cost)
+        stack += [(w, cost + c, (*path, w)) for w, c in near.get(v, ()) if w not in path]
+    if sink not in best:
+        return None
+    path = [sink]
+    while path[-1] != source:
+        path.append(min((best[v], v) for v, c in near[path[-1]] if best[v] + c == best[path[-1]])[1])
+    return path[::-1], best[sink]
+
+
+@pytest.mark.parametrize("delta", [None, 0.2, 100.0])
+def test_optimal_path_against_trying_all(spark, delta):
+    """Equal costs by powers of a half, a detour that is cheaper than an edge, and random weights."""
+    rng = np.random.default_rng(3)
+    ties = [(0, 1, 0.5), (0, 2, 0.5), (1, 3, 0.25), (2, 3, 0.25), (3, 4, 0.5), (0, 4, 0.0625), (1, 4, 0.125)]
+    loose = [(a, b, round(rng.uniform(0.05, 0.95), 3)) for a, b in itertools.combinations(range(8), 2) if rng.random() < 0.4] + [(0, 7, 0.01)]
+    for pairs, sink in ((ties, 4), (loose, 7))[: 2 if delta is None else 1]:
+        want, cost = plain_path(pairs, 0, sink)
+        rows = network.optimal_path(graph(spark, pairs), 9, 0, sink, delta).orderBy("hop").collect()
+        assert [0, *[r.dst for r in rows]] == want and [r.src for r in rows] == want[:-1] and rows[-1].cost == pytest.approx(cost)
+
+
 def test_optimal_path(spark):
     g = graph(spark, [(0, 1, 0.9), (1, 2, 0.9), (0, 2, 0.5), (3, 4, 0.9)])
     rows = network.optimal_path(g, 5, 0, 2).orderBy("hop").collect()
