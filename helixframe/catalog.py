@@ -517,7 +517,10 @@ def lipid_order(spark, sf_dir):
     return Membrane(traj(spark, sf_dir), "N").order()
 
 
-@query()
+@query(f"""WITH {_LEAF}, u AS (SELECT frame, count(DISTINCT atom_idx // 3) FILTER (WHERE up) AS nu, count(DISTINCT atom_idx // 3) FILTER (WHERE NOT up) AS nl,
+  abs(coalesce(avg(z) FILTER (WHERE up), 0) - coalesce(avg(z) FILTER (WHERE NOT up), 0)) AS t FROM l GROUP BY frame),
+v AS (SELECT u.*, CASE WHEN nu > 0 THEN a * b / nu ELSE 0 END AS apl FROM u JOIN cells USING (frame))
+SELECT {{{{avg(t)}}}} AS mean_thickness, {{{{avg(apl)}}}} AS mean_apl, arg_min(nu, frame)::INT AS n_upper, arg_min(nl, frame)::INT AS n_lower FROM v""")
 def membrane_summary(spark, sf_dir):
     return Membrane(traj(spark, sf_dir), "N").summary()
 
@@ -638,7 +641,11 @@ def dccm_pivot(spark, sf_dir):
     return sinks.pivot_matrix(cells, fixtures.N_ATOMS)
 
 
-@query()
+@query("""WITH f AS (SELECT atom_idx, sqrt(avg(dx*dx) + avg(dy*dy) + avg(dz*dz)) AS v FROM delta GROUP BY atom_idx),
+b AS (SELECT atom_idx, (v - (SELECT min(v) FROM f)) / ((SELECT max(v) FROM f) - (SELECT min(v) FROM f)) * 100 AS b FROM f)
+SELECT atom_idx::BIGINT AS line, printf('ATOM  %5d  %s %s %s%4d    %8.3f%8.3f%8.3f  1.00%6.2f          %s', atom_idx + 1, rpad(atom_name, 3, ' '), res_name, chain_id, res_seq,
+  x, y, z, b, lpad(element, 2, ' ')) AS text FROM traj JOIN atoms USING (atom_idx) JOIN b USING (atom_idx) WHERE frame = 0
+UNION ALL SELECT * FROM (VALUES (220::BIGINT, 'TER'), (221::BIGINT, 'END'))""")
 def pdb_lines(spark, sf_dir):
     t = traj(spark, sf_dir)
     return sinks.pdb_lines(t, 0, structural.bfactors(structural.rmsf(t), "rmsf"))
