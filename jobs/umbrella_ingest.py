@@ -94,7 +94,7 @@ def report(parts: DataFrame, windows: DataFrame, config: dict) -> DataFrame:
 def run(spark: SparkSession, tables: str, out: str, config: dict | None = None) -> DataFrame:
     """Take in what is new under TABLES/events.parquet and renew the report; the report."""
     config = defaults(__file__) if config is None else config
-    windows = _windows(spark, config).persist()  # a row a window
+    windows = _windows(spark, config)
     taken = []
 
     def take(batch: DataFrame, number: int) -> None:
@@ -115,10 +115,10 @@ def run(spark: SparkSession, tables: str, out: str, config: dict | None = None)
     finally:
         query.stop()
     log.info("read %s/events.parquet: %d new samples in %d batches", tables, sum(taken), len(taken))
-    if taken or not _there(spark, f"{out}/report"):
-        parts = spark.read.schema(PARTIALS).parquet(f"{out}/partials") if _there(spark, f"{out}/partials") else spark.createDataFrame([], PARTIALS)
+    # Also if nothing was new: the run before may have been cut off between its last batch and the report.
+    if _there(spark, f"{out}/partials"):
+        parts = spark.read.schema(PARTIALS).parquet(f"{out}/partials")
         write_partitions(report(parts, windows, config), f"{out}/report", "measure")
-    windows.unpersist()
     made = read(spark, out)
     log.info("wrote %s/report: %d rows", out, made.count())
     return made

@@ -144,8 +144,9 @@ def test_two_runs_over_growing_input(spark, small, growing, caplog):
     names, want = duck_rows(queries.SQL["job2_umbrella_ingest"], small)
     got = rows_of(report.withColumn("value", F.round("value", 6) + 0.0))
     assert got == want
-    # A third run finds nothing new and changes nothing.
-    assert rows_of(umbrella_ingest.run(spark, f"{root}/tables", f"{root}/out")) == rows_of(report)
+    # A third run finds nothing new and writes the same report again.
+    before = rows_of(report)
+    assert rows_of(umbrella_ingest.run(spark, f"{root}/tables", f"{root}/out")) == before
     assert samples_taken(spark, f"{root}/out").count() == events.count()
 
 
@@ -169,6 +170,21 @@ def test_a_run_that_was_cut_off_is_made_good(spark, growing, monkeypatch):
     assert report.filter("measure = 'n'").agg(F.sum("value")).first()[0] == events.count()
 
 
+def test_a_report_that_was_not_written_is_made_good(spark, growing, monkeypatch):
+    """Cut off between the last batch and the report: the next run has nothing new to take, and still tells of all."""
+    root, events, add = growing
+    add("a", events.filter("event_id < 400"))
+    umbrella_ingest.run(spark, f"{root}/tables", f"{root}/out")
+    add("b", events.filter("event_id >= 400"))
+    real = umbrella_ingest.report
+    monkeypatch.setattr(umbrella_ingest, "report", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        umbrella_ingest.run(spark, f"{root}/tables", f"{root}/out")
+    monkeypatch.setattr(umbrella_ingest, "report", real)
+    made = umbrella_ingest.run(spark, f"{root}/tables", f"{root}/out")
+    assert made.filter("measure = 'n'").agg(F.sum("value")).first()[0] == events.count()
+
+
 def test_odd_samples_and_empty_input(spark, growing):
     root, events, add = growing
     add("none", events.limit(0))
