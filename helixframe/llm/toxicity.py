@@ -10,9 +10,9 @@ Labelled tokens come from labelled documents: a word of a toxic document is labe
 form or a prefix of it is a seed, found in many toxic and hardly any other labelled documents; near
 copies of a toxic document count once.  How many are enough follows from how many features there are
 to choose from, and if none is enough the best ones are taken.  Seeds are counted on the executors
-over whole texts of about SEED_DOCS labelled documents, the weights are fitted by one executor's
-task on about FIT_DOCS of them, at most WINDOW_CHARS characters of each.  All are chosen by a hash of
-the id from outside the held-out fold; these bounds hold whatever the corpus's size.
+over the whole texts of all labelled documents outside the held-out fold, so that a language with few of them has its words
+too.  The weights are fitted by one executor's task on about FIT_DOCS of these, chosen by a hash of the id,
+and at most WINDOW_CHARS characters of each; these bounds hold whatever the corpus's size.
 
 Edge cases: null and empty texts score like a text without toxic words; with no toxic or no other
 label, or no word that tells them apart, every document scores 0; null labels are ignored, and of
@@ -37,9 +37,10 @@ from pyspark.sql import types as T
 
 from .common import WORD_TABLE, WordIds, append_columns, discard, fitted, fold, held_out, kept_rows, materialise, sample_by_class, slices, texts_of, utf8
 
-#: Labelled documents by label, about so many: those in which seeds are counted, and those on which weights are fitted.
-SEED_DOCS = {1: 8000, 0: 16_000}
+#: Labelled documents by label on which weights are fitted, about so many.
 FIT_DOCS = {1: 1000, 0: 2000}
+#: Labels up to which their table is sent to all tasks that read texts (some 100 MB); more are joined by a shuffle.
+MAX_BROADCAST_LABELS = 2_000_000
 CHAIN_WORDS = 128
 BUCKETS, NEAR = 1 << 15, 1 << 13
 #: A seed's toxic documents, times the log odds of that class, exceed the log of the number of features by this: that
@@ -336,21 +337,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 30
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicModel:
-    """A model from bounded samples of the labelled documents outside the held-out fold."""
+    """A model from the labelled documents outside the held-out fold: seeds of all, weights of a bounded sample."""
     marked = (
         labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y"))
         .filter(F.col("__y").isin(0, 1) & (fold("__id") != 0)).groupBy("__id").agg(F.max("__y").alias("__y"))
     )
-
-    def chosen(sizes: dict[int, int]) -> DataFrame:
-        parts = [sample_by_class(marked.filter(F.col("__y") == y), "__id", "__y", n) for y, n in sizes.items()]
-        return parts[0].unionByName(parts[1])
-
     whole = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__t")).filter(F.col("__t").isNotNull())
-    seeds = count_seeds(whole.join(F.broadcast(chosen(SEED_DOCS)), "__id"))
+    few = marked.limit(MAX_BROADCAST_LABELS + 1).count() <= MAX_BROADCAST_LABELS
+    seeds = count_seeds(whole.join(F.broadcast(marked) if few else marked, "__id"))
     if not seeds:
         return ToxicModel()
-    sample = texts_of(docs, chosen(FIT_DOCS), id_col, text_col, "__y")
+    parts = [sample_by_class(marked.filter(F.col("__y") == y), "__id", "__y", n) for y, n in FIT_DOCS.items()]
+    sample = texts_of(docs, parts[0].unionByName(parts[1]), id_col, text_col, "__y")
     return fitted(sample, lambda rows: fit([(t, y) for _, t, y in rows], seeds), ["__id", "__t", "__y"])
 
 
