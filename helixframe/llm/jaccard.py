@@ -487,18 +487,25 @@ def _verify(rows: DataFrame, threshold: float) -> DataFrame:
 def _member_sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """members with `shingles`, read again from the text of each set's first document.
 
-    An id may repeat with other texts; only a row whose set has the member's print counts.
+    An id may repeat with other texts; only a row whose set has the member's print counts.  Of the rows that
+    repeat it a task gives the first, so what meets in a group follows the sets and not the rows.
     """
     names = ["comp", "node", "block", "blocks", "copies"]
 
     def run(batches):
-        make = Shingler()
+        make, given = Shingler(), set()
         for b in batches:
+            new = [k for k, n in enumerate(b.column(3).to_pylist()) if n not in given]
+            b = b.take(pa.array(new, pa.int64()))
             texts = [t or b"" for t in utf8(b.column(0))]
-            prints = b.column(1).to_pylist()
+            prints, nodes = b.column(1).to_pylist(), b.column(3).to_pylist()
             for lo, hi in slices(texts):
                 sets = make(texts[lo:hi])
-                good = [k for k, s in enumerate(sets) if xxhash.xxh3_128_digest(s.tobytes()) == prints[lo + k]]
+                good = []
+                for k, s in enumerate(sets):
+                    if nodes[lo + k] not in given and xxhash.xxh3_128_digest(s.tobytes()) == prints[lo + k]:
+                        given.add(nodes[lo + k])
+                        good.append(k)
                 part = b.slice(lo, hi - lo).take(pa.array(good, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(2 + k) for k in range(len(names))] + [pa.array([sets[k].tobytes() for k in good], pa.binary())],

@@ -204,3 +204,18 @@ def test_a_very_long_text(spark):
     long = " ".join(f"w{i}" for i in range(60_000))
     rows = [(1, long), (2, long + " end"), (3, long[: len(long) // 2]), (4, "short text of a few words")]
     assert got(jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"))) == [(1, 1, 1), (2, 1, 1), (3, 3, 0), (4, 4, 0)]
+
+
+def test_rows_that_repeat_a_document_add_one_set_a_task(spark):
+    """Thousands of rows of one id: the set travels once from each task, however the rows with other texts lie between."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(7, text)] * 3000 + [(7, "another text altogether of more than five words")] * 50 + [(8, text + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    prints = {r.n_shingles: r.print for r in jaccard.embed(docs, "doc_id", "text").collect()}
+    schema = "rep_id long, print binary, comp long, node long, block long, blocks long, copies long"
+    members = spark.createDataFrame([(7, prints[36], 1, 70, 0, 1, 3000), (8, prints[37], 1, 80, 0, 1, 1)], schema)
+    made = jaccard._member_sets(docs, members, "doc_id", "text")
+    got = collections.Counter(r.node for r in made.select("node").collect())
+    assert got[80] == 1 and 1 <= got[70] <= made.rdd.getNumPartitions()
+    joined = jaccard.join(docs).groupBy("doc_id", "class_id", "n_links").count().collect()
+    assert sorted(map(tuple, joined)) == [(7, 7, 49, 50), (7, 7, 3000, 3000), (8, 7, 3000, 1)]
