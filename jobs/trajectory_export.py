@@ -12,6 +12,7 @@ same tables and configuration leave the same rows.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,9 +33,12 @@ def run(spark: SparkSession, tables: str, out: str, config: dict | None = None)
     session = Session(traj)
     for name in names:
         made = exports.table(session, name, config["analyses"])
+        if config["csv"]:  # read twice, computed once
+            made = made.persist(StorageLevel.DISK_ONLY)
         write_partitions(exports.tidy(made, name).withColumn("export", F.lit(name)), f"{out}/values", "export")
         if config["csv"]:
             exports.write_csv(made, name, f"{out}/csv/{name}")
+            made.unpersist()
     values = read(spark, out)
     for r in values.groupBy("export").count().orderBy("export").collect():  # a row an export
         log.info("wrote %s/values/export=%s: %d rows", out, r.export, r["count"])
