@@ -64,9 +64,9 @@ def cv_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples_of(read(spark, sf_dir, "events").select("event_id", "value"), windows(spark))
 
 
-def samples_of(events: DataFrame, windows: DataFrame) -> DataFrame:
+def samples_of(events: DataFrame, windows: DataFrame, n_windows: int = N_WINDOWS) -> DataFrame:
     """The same of any events (event_id, value) and windows (window_idx, val0); events without an id have no window."""
-    dealt = events.select((F.col("event_id") % N_WINDOWS).cast("int").alias("window_idx"), F.col("event_id").alias("sample_idx"), "value")
+    dealt = events.select((F.col("event_id") % n_windows).cast("int").alias("window_idx"), F.col("event_id").alias("sample_idx"), "value")
     joined = dealt.join(F.broadcast(windows.select("window_idx", "val0")), "window_idx")  # a row a window
     return joined.select("window_idx", "sample_idx", (F.col("val0") + (F.col("value") - 50.0) / 250.0).alias("x"))
 

@@ -99,7 +99,7 @@ def run(spark: SparkSession, tables: str, out: str, config: dict | None = None)
 
     def take(batch: DataFrame, number: int) -> None:
         events = batch.select("event_id", "value")
-        samples = fixtures.samples_of(events, windows).filter(F.col("window_idx").isNotNull() & F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < float("inf")))
+        samples = fixtures.samples_of(events, windows, config["windows"]["n"]).filter(F.col("window_idx").isNotNull() & F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < float("inf")))
         write_partitions(samples.withColumn("batch", F.lit(number).cast("long")), f"{out}/samples", "batch", "window_idx")
         stored = spark.read.schema("sample_idx long, x double, batch long, window_idx int").parquet(f"{out}/samples").filter(F.col("batch") == number)
         write_partitions(partials(stored, config).withColumn("batch", F.lit(number).cast("long")), f"{out}/partials", "batch")

@@ -11,7 +11,6 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__
 from helixframe.sinks import exports
 from helixframe.sources import fixtures
 from jobs import common, queries, trajectory_export, umbrella_ingest
@@ -27,7 +26,6 @@ def test_against_sql(spark, small, name):
     before = settings(spark)
     same(queries.QUERIES[name](spark, small), queries.SQL[name], small)
     assert settings(spark) == before
-    assert name in __spark_entry__.queries() and name in __spark_entry__.oracle_sql()
 
 
 # ---------------------------------------------------------------------------------------------- job 1
@@ -197,6 +195,17 @@ def test_odd_samples_and_empty_input(spark, growing):
     assert report["histogram", 4, 0] == report["histogram", 4, 57] == 1 and not any(w in (1, 2, 3) for _, w, _ in report)
 
 
+def test_other_windows_and_bins(spark, small, growing):
+    root, events, add = growing
+    add("a", events)
+    config = common.defaults(umbrella_ingest.__file__) | {"windows": {"n": 4, "low": 0.0, "high": 3.0}, "bins": 10}
+    made = umbrella_ingest.run(spark, f"{root}/tables", f"{root}/out", config)
+    report = {(r.measure, r.window_idx): r.value for r in made.filter("bin = -1").collect()}
+    assert {w for _, w in report} == {0, 1, 2, 3} and sum(report["n", w] for w in range(4)) == events.count()
+    assert made.filter("measure = 'histogram'").agg(F.max("bin"), F.sum("value")).first() == (9, events.count())
+    assert report["mean", 3] == pytest.approx(3.0, abs=0.1)
+
+
 def test_state_of_batches_combines_without_loss(spark):
     """Values far from zero, over many small parts: the spread keeps its digits."""
     config = common.defaults(umbrella_ingest.__file__)

@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__
 from helixframe import catalog
+from jobs import queries
 from tests.oracle import same
 
 
@@ -22,4 +23,5 @@ def test_runs(spark, small, name):
 def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["i", "j", "value"] and df.count() == 441
-    assert set(catalog.QUERIES) <= set(__spark_entry__.queries()) and set(catalog.SQL) <= set(__spark_entry__.oracle_sql())
+    for own in (catalog, queries):
+        assert set(own.QUERIES) <= set(__spark_entry__.queries()) and set(own.SQL) <= set(__spark_entry__.oracle_sql())
