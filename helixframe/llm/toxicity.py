@@ -47,8 +47,8 @@ BUCKETS, NEAR = 1 << 15, 1 << 13
 #: any feature does so by chance has a probability of about exp(-SEED_MARGIN).
 SEED_MARGIN = 4.0
 SEED_RATIO = 20.0
-#: Features that a task counts, and words that it remembers, before it passes them on.
-COUNTED_FEATURES = 100_000
+#: Words whose features a task remembers, and features of other documents that it counts before it passes them on.
+REMEMBERED_WORDS, COUNTED_FEATURES = 50_000, 300_000
 
 FIELDS = T.StructType(
     [
@@ -230,7 +230,7 @@ def count_seeds(labelled: DataFrame) -> set[int]:
             others = 0
             for text, label in zip(texts, labels):
                 words = [w for w in tokens(text) if w and w != b"\n"]
-                if len(features) > COUNTED_FEATURES:
+                if len(features) > REMEMBERED_WORDS:
                     features.clear()
                 found = set()
                 for w in set(words):
@@ -243,11 +243,11 @@ def count_seeds(labelled: DataFrame) -> set[int]:
                 else:
                     others += 1
                     misses.update(found)
+                    if len(misses) > COUNTED_FEATURES:
+                        yield rows(list(misses), [None] * len(misses), list(misses.values()))
+                        misses.clear()
             if others:
                 yield rows([None], [None], [others])
-            if len(misses) > COUNTED_FEATURES:
-                yield rows(list(misses), [None] * len(misses), list(misses.values()))
-                misses.clear()
         if misses:
             yield rows(list(misses), [None] * len(misses), list(misses.values()))
 
