@@ -5,6 +5,7 @@ samples of each window's share and of the products of shares; the driver solves
 free energies from these by Newton steps.  A step that does not improve is replaced by the
 self-consistent one, which has the same fixed point.  Bootstrap replicates are sets of weights,
 since drawing blocks again only repeats samples, and all replicates are solved in the same passes.
+They share a sample's exponentials, so what a pass does for each replicate is matrix products.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ GAS = 1.987204258e-3
 TOLERANCE, MAX_SWEEPS, BLOCKS, KDE_POINTS = 1e-8, 500, 10, 60
 #: The largest change of a free energy, in kT, that a Newton step makes.
 MAX_STEP = 4.0
+#: How far, in kT, a replicate's free energies may spread about the first one's for the two to share exponentials.
+MAX_SPREAD = 200.0
+#: Products of exponentials that a task holds at once (8 MB).
+MAX_PRODUCTS = 1_000_000
 
 
 def beta(temperature: float = 300.0) -> float:
@@ -86,6 +91,74 @@ def one_sweep(samples: DataFrame, windows: DataFrame, fc: float, temperature: fl
     return new.crossJoin(F.broadcast(base)).select("k", (F.col("f") - F.col("f0")).alias("f"))  # one row
 
 
+def _alike(f: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The replicates that can share exponentials with the first: of samples in the same windows, and of free energies near its own.
+
+    Within MAX_SPREAD what underflows of a shared exponential is less than e^-300 of any replicate's sum.
+    """
+    return ((n > 0) == (n[0] > 0)).all(axis=1) & (np.ptp(f - f[0], axis=1) <= MAX_SPREAD)
+
+
+def _together(u: np.ndarray, f: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """exp(f_k - u_k) of each sample by the first replicate's f, over the largest; each replicate's factors of these; its sums; and their logs' shift.
+
+    Replicates differ by f and n, which no sample has a part in, so exponentials are taken once and summed by one matrix product.
+    """
+    base = f[0] - u
+    top = base[:, n[0] > 0].max(axis=1)
+    gap = f - f[0]
+    middle = (gap.max(axis=1) + gap.min(axis=1)) / 2
+    e, factor = np.exp(base - top[:, None]), np.exp(gap - middle[:, None])
+    return e, factor, e @ (n * factor).T, top[:, None] + middle
+
+
+def _apart(u: np.ndarray, f: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One replicate's n_k exp(f_k - u_k) of each sample over their sum, and the sum's log."""
+    t = np.where(n > 0, np.log(np.where(n > 0, n, 1)) + f - u, -np.inf)
+    top = t.max(axis=1)
+    e = np.exp(t - top[:, None])
+    total = e.sum(axis=1)
+    return e / total[:, None], top + np.log(total)
+
+
+def replicate_sums(u: np.ndarray, mass: np.ndarray, f: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each replicate the sums of exp(f_k - u_k - D) and of the products of shares, over samples of reduced biases u and weights mass (sample x replicate)."""
+    reps, k = n.shape
+    first, second = np.zeros((reps, k)), np.zeros((reps, k, k))
+    same = _alike(f, n)
+    if same.any():
+        e, factor, total, _ = _together(u, f[same], n[same])
+        per = mass[:, same] / total
+        first[same] = factor * (per.T @ e)
+        each, products = np.ascontiguousarray(e.T), np.empty((k * (k + 1) // 2, len(u)))
+        i, j = np.triu_indices(k)
+        starts = np.searchsorted(i, np.arange(k))
+        for a, lo in enumerate(starts):
+            np.multiply(each[a], each[a:], out=products[lo : lo + k - a])
+        own = n[same] * factor
+        upper = (products @ (per / total)).T * own[:, i] * own[:, j]
+        whole = np.zeros((len(own), k, k))
+        whole[:, i, j] = whole[:, j, i] = upper
+        second[same] = whole
+    for r in np.flatnonzero(~same):
+        share, log_total = _apart(u, f[r], n[r])
+        first[r] = mass[:, r] @ np.exp(f[r] - u - log_total[:, None])
+        second[r] = share.T @ (share * mass[:, r, None])
+    return first, second
+
+
+def replicate_weights(u: np.ndarray, mass: np.ndarray, f: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """mass x exp(-D), sample x replicate."""
+    out = np.empty(mass.shape)
+    same = _alike(f, n)
+    if same.any():
+        _, _, total, shift = _together(u, f[same], n[same])
+        out[:, same] = mass[:, same] * np.exp(-(shift + np.log(total)))
+    for r in np.flatnonzero(~same):
+        out[:, r] = mass[:, r] * np.exp(-_apart(u, f[r], n[r])[1])
+    return out
+
+
 class Mbar:
     """The converged model of windows (window_idx 0..K-1, val0) and samples (window_idx, sample_idx, x)."""
 
@@ -133,29 +206,28 @@ class Mbar:
         """Sums over samples for each replicate: shares and products of shares, or (log) each bin's weight."""
         centers, scale, weights, bins, low, high = self.centers, self.beta * 0.5 * self.fc, self.weights, self.bins, self.low, self.high
         k, reps = len(centers), len(f)
-        logn = np.log(np.where(n > 0, n, 1))
+        table = np.ascontiguousarray(weights.transpose(1, 2, 0)).reshape(-1, reps)
+        step = max(1, MAX_PRODUCTS // (k * (k + 1) // 2))
 
         def run(batches):
             first, second = np.zeros((reps, k)), np.zeros((reps, k, k))
             heap = np.zeros((reps, bins))
-            for b in batches:
-                w, x, block = (b.column(i).to_numpy() for i in range(3))
-                u = scale * (x[:, None] - centers[None, :]) ** 2
-                inside = (x >= low) & (x <= high)
-                at = np.clip(((x - low) / ((high - low) / bins)).astype(int), 0, bins - 1)
-                for r in range(reps):
-                    mass = weights[r, w, block]
-                    t = np.where(n[r] > 0, logn[r] + f[r] - u, -np.inf)
-                    top = t.max(axis=1)
-                    e = np.exp(t - top[:, None])
-                    total = e.sum(axis=1)
+            for whole in batches:
+                for b in (whole.slice(lo, step) for lo in range(0, whole.num_rows, step)):
+                    w, x, block = (b.column(i).to_numpy() for i in range(3))
+                    if log:
+                        inside = (x >= low) & (x <= high)
+                        w, x, block = w[inside], x[inside], block[inside]
+                    u = scale * (x[:, None] - centers[None, :]) ** 2
+                    mass = table[w * (BLOCKS + 1) + block]
                     if log:
-                        value = mass[inside] * np.exp(-(top + np.log(total))[inside])
-                        heap[r] += np.bincount(at[inside], value, bins)
+                        at = np.clip(((x - low) / ((high - low) / bins)).astype(int), 0, bins - 1)
+                        cell = at[:, None] + np.arange(reps) * bins
+                        heap += np.bincount(cell.ravel(), replicate_weights(u, mass, f, n).ravel(), reps * bins).reshape(reps, bins)
                     else:
-                        share = e / total[:, None]
-                        first[r] += mass @ np.exp(f[r] - u - (top + np.log(total))[:, None])
-                        second[r] += share.T @ (share * mass[:, None])
+                        shares, products = replicate_sums(u, mass, f, n)
+                        first += shares
+                        second += products
             out = heap if log else np.concatenate([first, second.reshape(reps, -1)], axis=1)
             width = out.shape[1]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(reps + 1, dtype=np.int32) * width), pa.array(out.ravel()))

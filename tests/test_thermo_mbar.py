@@ -178,3 +178,45 @@ def test_density_integrates_to_one(spark):
     frame, _ = samples(spark)
     d = mbar.window_density(frame.filter("window_idx = 2"), 0.0, 5.0).orderBy("point").collect()
     assert len(d) == 60 and sum(r.density for r in d) * (d[1].x - d[0].x) == pytest.approx(1, abs=0.02)
+
+
+def replicates(reps, seed=8):
+    """Biases of samples, weights, and the replicates' free energies and counts, some of them unlike the first one's."""
+    rng = np.random.default_rng(seed)
+    centers = np.linspace(0, 3, 7)
+    u = 40 * (rng.uniform(-0.2, 3.2, 500)[:, None] - centers) ** 2
+    f, n = rng.normal(0, 3, (reps, 7)), rng.integers(50, 90, (reps, 7)).astype(float)
+    n[:, 5] = 0  # a window without samples
+    if reps > 3:
+        n[2, 1] = 0  # one that this replicate drew nothing of
+        f[3] += np.linspace(-400, 400, 7)  # far from all others
+    return u, rng.integers(0, 3, (500, reps)).astype(float), f, n
+
+
+def test_sums_of_replicates_are_those_of_each_by_itself():
+    u, mass, f, n = replicates(6)
+    assert mbar._alike(f, n).tolist() == [True, True, False, False, True, True]
+    first, second = mbar.replicate_sums(u, mass, f, n)
+    logs = mbar.replicate_weights(u, mass, f, n)
+    for r in range(6):
+        some = n[r] > 0
+        t = np.log(n[r][some]) + f[r][some] - u[:, some]
+        d = t.max(axis=1) + np.log(np.exp(t - t.max(axis=1, keepdims=True)).sum(axis=1))
+        single, share = np.exp(f[r] - u - d[:, None]), np.zeros(u.shape)
+        share[:, some] = np.exp(t - d[:, None])
+        assert first[r] == pytest.approx(mass[:, r] @ single, rel=1e-10)
+        assert second[r] == pytest.approx((share * mass[:, r, None]).T @ share, rel=1e-10, abs=1e-250)
+        assert logs[:, r] == pytest.approx(mass[:, r] * np.exp(-d), rel=1e-10)
+
+
+def test_replicates_share_the_exponentials_of_a_sample(monkeypatch):
+    """What a pass exponentiates does not grow with the replicates, which are most of a profile's work."""
+    taken, exp = [], np.exp
+    monkeypatch.setattr(mbar.np, "exp", lambda x, *a, **k: taken.append(np.size(x)) or exp(x, *a, **k))
+
+    def cost(reps):
+        taken.clear()
+        mbar.replicate_sums(*replicates(reps)[:2], *(np.repeat(v[:1], reps, axis=0) for v in replicates(1)[2:]))
+        return sum(taken)
+
+    assert cost(51) < 1.5 * cost(1)
