@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +16,8 @@ from helixframe.plans.primitives import dense_index
 from helixframe.plans.tables import materialise
 
 MAX_LLOYD = 200
+#: Frames of a file of projected frames, and so of a task of each of the many steps that read them.
+STEP_FRAMES = 65_536
 
 
 def free_energy_surface(points: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
@@ -82,23 +88,43 @@ def lloyd_step(points: DataFrame, centers: list[tuple[float, float]]) -> list[tu
     return moved
 
 
+def _nearest_of(centers: list[tuple[float, float]], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """nearest() of arrays, by the same arithmetic; a distance that is no number is the farthest."""
+    d = np.stack([(x - cx) * (x - cx) + (y - cy) * (y - cy) for cx, cy in centers])
+    return np.where(np.isnan(d), np.inf, d).argmin(axis=0)
+
+
+def _step_sums(points: DataFrame, now: list[tuple[float, float]], before: list[tuple[float, float]] | None) -> np.ndarray:
+    """Of the points nearest to each centre: their number, the sums of their coordinates, and how many had another one before (the first, if None)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, len(now)))
+        for b in batches:
+            x, y = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            near = _nearest_of(now, x, y)
+            old = 0 if before is None else _nearest_of(before, x, y)
+            for row, weights in zip(total, (None, x, y, near != old)):
+                row += np.bincount(near, weights, len(now))
+        yield pa.RecordBatch.from_pydict({"task": [TaskContext.get().partitionId()], "v": [total.ravel()]}, pa.schema([("task", pa.int32()), ("v", pa.list_(pa.float64()))]))
+
+    rows = points.select("pc1", "pc2").mapInArrow(run, "task int, v array<double>").collect()  # a row a task
+    found = [np.reshape(r.v, (4, -1)) for r in sorted(rows, key=lambda r: r.task)]
+    return np.sum(found, axis=0) if found else np.zeros((4, len(now)))
+
+
 def kmeans(points: DataFrame, k: int, steps: int = MAX_LLOYD, centers: list | None = None) -> list[tuple[float, float]]:
     """N18. Centres after Lloyd's steps, up to no change of any assignment.
 
     points: t (0, 1, ...), pc1, pc2.  One pass a step: it counts the points whose nearest centre
-    changed and sums up the new centres.
+    changed and sums up the new centres.  The centres go to the tasks as numbers and not as literals of a
+    plan, which every task would compile anew in every step.
     """
     before: list | None = None
     now = centers or seed_centers(points, k)
     for _ in range(steps):
-        old = F.lit(0) if before is None else nearest(before)
-        rows = points.groupBy(nearest(now).alias("k")).agg(
-            F.avg("pc1").alias("x"), F.avg("pc2").alias("y"), F.count(F.when(nearest(now) != old, 1)).alias("changed")
-        ).collect()
-        before, now = now, list(now)
-        for r in rows:
-            now[r.k] = (r.x, r.y)
-        if not sum(r.changed for r in rows):
+        n, x, y, changed = _step_sums(points, now, before)
+        before, now = now, [(float(x[i] / n[i]), float(y[i] / n[i])) if n[i] else c for i, c in enumerate(now)]
+        if not changed.sum():
             break
     # Assignments belong to the centres before the last move, as the loop's did; at rest they agree.
     return now
@@ -198,4 +224,4 @@ class MarkovModel:
 
 def points_of(projection: DataFrame) -> DataFrame:
     """t, frame, pc1, pc2 of a projection, with t counting the frames in order; written out, since steps read it often."""
-    return materialise(dense_index(projection, "frame", "t").select("t", "frame", "pc1", "pc2"), "points")
+    return materialise(dense_index(projection, "frame", "t").select("t", "frame", "pc1", "pc2"), "points", per_file=STEP_FRAMES)

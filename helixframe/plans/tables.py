@@ -29,14 +29,15 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/helixframe/{tag}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, tag: str, paths: list[str] | None = None) -> DataFrame:
+def materialise(df: DataFrame, tag: str, paths: list[str] | None = None, per_file: int | None = None) -> DataFrame:
     """Write the frame to the shared folder and read it back, which cuts its lineage.
 
     The files outlive lost executors, and what follows never recomputes the frame.  The path is
-    added to `paths`, for discard() once nothing reads the table any more.
+    added to `paths`, for discard() once nothing reads the table any more.  per_file: rows of a file at
+    most, for a table of few bytes whose rows are much work, which one file would leave to one task.
     """
     path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    (df.write if per_file is None else df.write.option("maxRecordsPerFile", per_file)).parquet(path)
     if (own := _scope.get()) is not None:
         own.append(path)
     if paths is not None:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helixframe.functions.lcg import CLUSTER_SEED, Lcg
 from helixframe.operators import mbar, thermo
@@ -63,6 +64,39 @@ def test_ties_go_to_the_first_centre(spark):
     assert thermo.assign(frame, [(1.0, 0.0), (-1.0, 0.0)]).first().cluster == 0
 
 
+def test_steps_compile_nothing_anew(spark):
+    """Centres that move are no part of a step's code: of two hundred steps, compiling each was most of the time."""
+    frame, at = points(spark, n=3000)
+    compiled = spark._jvm.org.apache.spark.metrics.source.CodegenMetrics.METRIC_COMPILATION_TIME()
+    start = [(0.0, 0.0), (0.1, 0.0), (0.2, 0.0)]
+    thermo.kmeans(frame, 3, steps=1, centers=start)
+    before = compiled.getCount()
+    found = thermo.kmeans(frame, 3, centers=start)
+    assert compiled.getCount() == before
+    centers, steps = np.array(start), 0
+    while steps == 0 or not np.array_equal(near, was):
+        was = near if steps else None
+        near, steps = ((at[:, None] - centers[None]) ** 2).sum(axis=2).argmin(axis=1), steps + 1
+        centers = np.array([at[near == k].mean(axis=0) for k in range(3)])
+    assert steps > 2 and np.array(found) == pytest.approx(centers)
+
+
+def test_steps_choose_centres_as_columns_do(spark):
+    """Ties, and coordinates that are no numbers."""
+    at = [(0, 0.0, 0.0), (1, 1.0, 0.0), (2, 0.5, 0.0), (3, float("nan"), 0.0), (4, float("inf"), 0.0), (5, 0.5, 0.7)]
+    frame, centers = spark.createDataFrame(at, "t long, pc1 double, pc2 double"), [(1.0, 0.0), (0.0, 0.0), (1.0, 0.0)]
+    want = values(thermo.assign(frame, centers), "t", "cluster")
+    assert thermo._nearest_of(centers, *np.array([p[1:] for p in at]).T).tolist() == want
+
+
+def test_points_are_spread_over_files(spark, monkeypatch):
+    """A few bytes a frame would make one file, and all steps one task's work."""
+    monkeypatch.setattr(thermo, "STEP_FRAMES", 20)
+    frame, _ = points(spark)
+    found = thermo.points_of(frame.select(F.col("t").alias("frame"), "pc1", "pc2").coalesce(1))
+    assert values(found, "t", "t") == list(range(90)) and len(found.inputFiles()) >= 5
+
+
 def states(spark, path):
     return spark.createDataFrame(list(enumerate(path)), "t long, state int")
 
