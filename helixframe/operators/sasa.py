@@ -1,13 +1,15 @@
 """N21. Solvent-accessible surface area by rolling a probe over sphere points.
 
 Each pair of neighbouring atoms gives the points of the first's sphere that the second covers, as a
-mask of bits in two longs; the masks of an atom are OR-ed together, and the bits that are not set are
+mask of bits in a few longs; the masks of an atom are OR-ed together, and the bits that are not set are
 its exposed points.  Pairs, masks and sums are columns and aggregations: the atoms of one frame may be
 spread over any number of tasks, and no task needs a frame whole.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +23,9 @@ RADII = {
 }
 DEFAULT_RADIUS = 1.70
 POINTS = 92
-#: Points of one mask: bits of a long.
-MASK_BITS = 46
+#: Points of one mask. Each mask has a function of its own in the compiled aggregation, which holds the mask's bits more than
+#: once; beyond 8,000 bytes the JVM would not compile it, and a pair of atoms would take ten times as long.
+MASK_BITS = 12
 #: Atoms up to which all pairs of a frame are made from its row; beyond, a cell grid is joined.
 MAX_INROW_ATOMS = 64
 
@@ -73,12 +76,15 @@ def _pairs_in_cells(traj: Trajectory, atoms: DataFrame, width: float) -> DataFra
 
 
 def _mask(points: np.ndarray) -> Column:
-    """The bits of the points that lie within the other sphere: u . s below the threshold t of the pair."""
+    """The bits of the points that lie within the other sphere: u . s below the threshold t of the pair.
+
+    A tree of plain operators, which is compiled; functions of arrays are not.
+    """
     bits = [
         F.when(F.col("u0") * float(x) + F.col("u1") * float(y) + F.col("u2") * float(z) < F.col("t"), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long"))
         for k, (x, y, z) in enumerate(points)
     ]
-    return F.aggregate(F.array(*bits), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    return reduce(Column.bitwiseOR, bits)
 
 
 def atom_series(traj: Trajectory, probe: float = 1.4, max_inrow: int = MAX_INROW_ATOMS) -> DataFrame:
@@ -95,10 +101,12 @@ def atom_series(traj: Trajectory, probe: float = 1.4, max_inrow: int = MAX_INROW
     near = pairs.withColumn("d2", d2).filter(F.col("self") | (F.col("d2") < reach * reach))
     # |u + r s|^2 < r2^2 solved for u . s; an atom does not cover itself.
     limit = F.when(F.col("self"), F.lit(float("-inf"))).otherwise((F.col("r2") * F.col("r2") - F.col("r") * F.col("r") - F.col("d2")) / (2.0 * F.col("r")))
-    s = sphere()
-    masks = near.withColumn("t", limit).select("frame", "i", "r", _mask(s[:MASK_BITS]).alias("lo"), _mask(s[MASK_BITS:]).alias("hi"))
-    covered = masks.groupBy("frame", "i", "r").agg(F.bit_or("lo").alias("lo"), F.bit_or("hi").alias("hi"))
-    exposed = F.lit(POINTS) - F.bit_count("lo") - F.bit_count("hi")
+    # A coordinate that is missing covers nothing; without nulls the code of a bit is shorter by half.
+    known = [F.coalesce(F.col(f"u{c}"), F.lit(float("nan"))).alias(f"u{c}") for c in range(3)]
+    shown = near.select("frame", "i", "r", F.coalesce(limit, F.lit(float("-inf"))).alias("t"), *known)
+    parts = [sphere()[k : k + MASK_BITS] for k in range(0, POINTS, MASK_BITS)]
+    covered = shown.groupBy("frame", "i", "r").agg(*[F.bit_or(_mask(part)).alias(f"m{n}") for n, part in enumerate(parts)])
+    exposed = reduce(lambda left, n: left - F.bit_count(f"m{n}"), range(len(parts)), F.lit(POINTS))
     return covered.select("frame", F.col("i").alias("atom_idx"), (F.lit(4 * np.pi) * F.col("r") * F.col("r") * exposed / F.lit(float(POINTS))).alias("sasa"))
 
 

@@ -31,14 +31,21 @@ def run(spark: SparkSession, tables: str, out: str, config: dict | None = None)
     traj = fixtures.trajectory(spark, tables)
     log.info("read %s/embeddings.parquet: %d frames of %d atoms", tables, traj.n_frames, traj.n_atoms)
     session = Session(traj)
-    for name in names:
-        made = exports.table(session, name, config["analyses"])
-        if config["csv"]:  # read twice, computed once
-            made = made.persist(StorageLevel.DISK_ONLY)
-        write_partitions(exports.tidy(made, name).withColumn("export", F.lit(name)), f"{out}/values", "export")
-        if config["csv"]:
-            exports.write_csv(made, name, f"{out}/csv/{name}")
-            made.unpersist()
+    shared = []
+    if {"sasa_per_residue", "sasa_total"} <= set(names):  # most of the work, and two exports of it
+        shared.append(session.get("sasa", **config["analyses"].get("sasa", {})).persist(StorageLevel.DISK_ONLY))
+    try:
+        for name in names:
+            made = exports.table(session, name, config["analyses"])
+            if config["csv"]:  # read twice, computed once
+                made = made.persist(StorageLevel.DISK_ONLY)
+            write_partitions(exports.tidy(made, name).withColumn("export", F.lit(name)), f"{out}/values", "export")
+            if config["csv"]:
+                exports.write_csv(made, name, f"{out}/csv/{name}")
+                made.unpersist()
+    finally:
+        for df in shared:
+            df.unpersist()
     values = read(spark, out)
     for r in values.groupBy("export").count().orderBy("export").collect():  # a row an export
         log.info("wrote %s/values/export=%s: %d rows", out, r.export, r["count"])

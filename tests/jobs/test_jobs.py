@@ -71,6 +71,20 @@ def test_nineteen_files_with_their_headers(spark, exported):
             assert {quoted(t[0]) for t in texts} == {header} and sum(len(t) - 1 for t in texts) > 0, name
 
 
+def test_the_surface_is_computed_once_for_its_exports(spark, small, tmp_path, monkeypatch):
+    plans, write = [], trajectory_export.write_partitions
+
+    def seen(df, *rest):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        write(df, *rest)
+
+    monkeypatch.setattr(trajectory_export, "write_partitions", seen)
+    config = common.defaults(trajectory_export.__file__) | {"exports": ["sasa_per_residue", "sasa_total"], "csv": False}
+    trajectory_export.run(spark, small, str(tmp_path / "out"), config)
+    assert len(plans) == 2 and all("InMemoryTableScan" in p for p in plans)
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
 def test_decimals_and_order_of_the_files(spark, small, exported):
     out, _, values = exported
     rows = [x.split(",") for t in lines_of(spark, f"{out}/csv/rmsd") for x in t[1:]]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 
@@ -65,6 +67,27 @@ def test_plan_has_no_python(spark, small):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+@pytest.mark.parametrize("max_inrow", [100, 0])
+def test_masks_are_compiled(spark, small, max_inrow):
+    """By Spark, which leaves functions of arrays to be interpreted, and by the JVM, which leaves functions of over 8,000 bytes."""
+    areas = sasa.atom_series(fixtures.trajectory(spark, small), max_inrow=max_inrow)
+    spark.conf.set("spark.sql.adaptive.enabled", False)  # else there is no code before the query runs
+    try:
+        plan = areas.select("*")._jdf.queryExecution().executedPlan()
+        code = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(plan)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "aggregate(array(" not in plan.toString() and "bit_or" in code
+    assert max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)) < 8000
+
+
+def test_a_missing_coordinate_covers_nothing(spark):
+    t = make(spark, np.zeros((1, 3, 3)))
+    rows = spark.createDataFrame([(0, [0.0, 0.0, 0.0, None, 0.0, 0.0, 0.0, float("nan"), 0.0])], "frame long, xyz array<double>")
+    got = {r.atom_idx: r.sasa for r in sasa.atom_series(t.where(rows)).collect()}
+    assert [got[i] for i in range(3)] == pytest.approx([4 * np.pi * 3.1**2] * 3)
+
+
 def test_frames_without_coordinates_count_for_nothing(spark):
     t = make(spark, np.zeros((2, 2, 3)))
     rows = t.frames.unionByName(spark.createDataFrame([(9, None), (10, [1.0])], "frame long, xyz array<double>"))
